@@ -86,3 +86,25 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         last = tuple(a[-1] for a in arrays)
     if held:
         yield pa.Table.from_batches(held)
+
+
+def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, c in zip(columns(batch, "block").to_pylist(), columns(batch, "counts").to_pylist(), strict=True):
+            c = np.frombuffer(c, np.int64)
+            total[k] = total[k] + c if k in total else c
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], ["block", "counts"])
+
+
+def summed(blocks: DataFrame, size: int, n_blocks: int) -> np.ndarray:
+    """Sum of count vectors of a fixed ``size`` that tasks sent as ``n_blocks`` rows (block int, counts binary) each."""
+    out = np.zeros((n_blocks, size // n_blocks), np.int64)
+    for r in blocks.repartition(n_blocks, "block").mapInArrow(_sum_blocks, "block int, counts binary").collect():
+        out[r.block] = np.frombuffer(r.counts, np.int64)
+    return out.ravel()
+
+
+def as_blocks(counts: np.ndarray, n_blocks: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(range(n_blocks), pa.int32()), pa.array([b.tobytes() for b in counts.astype(np.int64).reshape(n_blocks, -1)], pa.binary())], ["block", "counts"])
