@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofgrid.llm import language_id, ngram_join, quality_rules, suffix_dedup
+from proofgrid.llm import language_id, ngram_join, piece_codec, quality_rules, suffix_dedup
 from proofgrid.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.round_trips(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -29,7 +33,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op6_quality_rules, op9_ngram_jaccard_join, op10_language_id)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op6_quality_rules, op8_sentencepiece, op9_ngram_jaccard_join, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
