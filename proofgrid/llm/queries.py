@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofgrid.llm import language_id, ngram_join, piece_codec, quality_rules, suffix_dedup
+from proofgrid.llm import exact_dedup, language_id, mixing, ngram_join, piece_codec, quality_rules, suffix_dedup
 from proofgrid.llm.common import table
 
 
@@ -16,6 +16,14 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(spark, f"{sf_dir}/documents.parquet")
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,8 +41,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op6_quality_rules, op8_sentencepiece, op9_ngram_jaccard_join, op10_language_id)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_exact_dedup, op3_source_mixing, op6_quality_rules, op8_sentencepiece, op9_ngram_jaccard_join, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_exact_dedup": exact_dedup.SQL, "op3_source_mixing": mixing.SQL}
