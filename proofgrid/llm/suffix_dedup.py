@@ -5,9 +5,10 @@ another one. Every window of that length holds an anchor: the place of the least
 strings, which depends on the window's bytes alone. So two equal windows hold equal anchors at equal
 offsets, and only suffixes at anchors (about 1 in 85 bytes) need to meet:
 
-1. ``anchors``: (hash, text) pairs; hashes that occur once are dropped after a count with partial sums.
-2. Texts that keep anchors send the bytes around each, equal surroundings once for each chunk of texts: of
-   equal ones, all are covered, and one goes on to meet those of other tasks.
+1. ``anchors``: rows of an anchor's hash and a digest of its surroundings (the bytes that windows with it can
+   hold); hashes that occur once are dropped after a count with partial sums. Where hash and digest (128 bits
+   together) agree, all surroundings are covered whole, and one of them stands for the others.
+2. Texts send the bytes around their other anchors whose hash has surroundings of several kinds.
 3. Surroundings that share an anchor are suffix-sorted rightwards and leftwards from it: prefix polynomial
    hashes and binary search give common extensions, so a comparison in the mergesort takes a logarithmic
    number of steps. Extensions between neighbours are verified byte by byte; if a hash collided, the group
@@ -22,11 +23,13 @@ of their own (they cover each other); the id may be null or repeated; other colu
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofgrid.llm.common import chunks, columns, cut
@@ -95,26 +98,36 @@ def anchors(texts: list[bytes | None], length: int, gram: int) -> tuple[np.ndarr
     return who[new], place[new], h[new]
 
 
+def around(t: bytes, place: int, length: int, gram: int) -> tuple[int, int]:
+    """The bytes that any window with the anchor at ``place`` can hold."""
+    return max(0, place + gram - length), min(len(t), place + length)
+
+
+def digest(part: bytes) -> int:
+    return int.from_bytes(blake2b(part, digest_size=8).digest(), "little", signed=True)
+
+
 def _send_anchors(length: int, gram: int):
+    """Rows (h, d, k1, k2, n): a hash of an anchor, a digest of its surroundings, and how often the text has both."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in chunks(batches):
-            who, _, h = anchors(texts, length, gram)
+            who, place, h = anchors(texts, length, gram)
             if not len(who):
                 continue
-            order = np.lexsort((h, who))
-            who, h = who[order], h[order]
-            new = np.ones(len(who), bool)
-            new[1:] = (who[1:] != who[:-1]) | (h[1:] != h[:-1])
-            at = np.flatnonzero(new)
-            n = np.diff(np.append(at, len(who)))
-            ids = [columns(rows, k).to_numpy(zero_copy_only=False)[who[at]] for k in ("k1", "k2")]
-            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), *map(pa.array, ids), pa.array(n.astype(np.int32))], ["h", "k1", "k2", "n"])
+            spans = [around(texts[i], a, length, gram) for i, a in zip(who.tolist(), place.tolist(), strict=True)]
+            d = [digest(texts[i][s:e]) for i, (s, e) in zip(who.tolist(), spans, strict=True)]
+            # anchors near both ends of a short text can have the same surroundings: these are one
+            times = Counter((i, x, y) for i, x, y, _ in {(i, x, y, s) for i, x, y, (s, _) in zip(who.tolist(), h.view(np.int64).tolist(), d, spans, strict=True)})
+            i, x, y = (np.array(c, np.int64) for c in zip(*times, strict=True))
+            ids = [columns(rows, k).to_numpy(zero_copy_only=False)[i] for k in ("k1", "k2")]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (x, y, *ids, np.array(list(times.values()), np.int32)))], ["h", "d", "k1", "k2", "n"])
 
     return run
 
 
 def _send_surroundings(length: int, gram: int):
-    """Rows (key, around, off, k1, k2, start, known): the bytes around each wanted anchor; known: already covered here.
+    """Rows (key, around, off, k1, k2, start, known): the bytes around each wanted anchor; known: already covered.
 
     A row without ``around`` is a span that needs no more work: ``start`` to ``off``.
     """
@@ -124,47 +137,62 @@ def _send_surroundings(length: int, gram: int):
             wanted = columns(rows, "wanted").to_pylist()
             k1, k2 = (columns(rows, k).to_pylist() for k in ("k1", "k2"))
             who, place, h = anchors([t if w else None for t, w in zip(texts, wanted, strict=True)], length, gram)
-            h = h.view(np.int64)
+            h = h.view(np.int64).tolist()
+            place = place.tolist()
             seen: dict[tuple[int, bytes], list] = {}
-            bounds = np.searchsorted(who, np.arange(len(texts) + 1))
+            bounds = np.searchsorted(who, np.arange(len(texts) + 1)).tolist()
             spans: list[tuple] = []
             sent: set[tuple[int, int, int, int]] = set()
 
-            def add(key: int, i: int, start: int, end: int, off: int, seen=seen, spans=spans, sent=sent, texts=texts, k1=k1, k2=k2) -> None:
+            def add(key: int, i: int, start: int, end: int, off: int, known: bool, seen=seen, spans=spans, sent=sent, texts=texts, k1=k1, k2=k2) -> None:
                 if (own := (key, i, start, end)) in sent:  # another anchor of the text, with the same hash, near its ends or a STEP away
                     return
                 sent.add(own)
-                around = texts[i][start:end]
-                if (old := seen.get((key, around))) is None:
-                    seen[key, around] = [off, k1[i], k2[i], start, False]
+                part = texts[i][start:end]
+                if (old := seen.get((key, part))) is None:
+                    seen[key, part] = [off, k1[i], k2[i], start, known]
                     return
                 if not old[4]:
                     old[4] = True
-                    spans.append((old[1], old[2], old[3], old[3] + len(around)))
-                spans.append((k1[i], k2[i], start, end))
+                    spans.append((old[1], old[2], old[3], old[3] + len(part)))
+                if not known:
+                    spans.append((k1[i], k2[i], start, end))
 
             for i, want in enumerate(wanted):
                 if not want:
                     continue
-                hot = {w["h"]: w["hot"] for w in want}
-                size = len(texts[i])
+                modes: dict[int, dict[int, dict]] = {}
+                for w in want:
+                    modes.setdefault(w["h"], {})[w["d"]] = w
+                t = texts[i]
+                whole: list[list[int]] = []
                 for x in range(bounds[i], bounds[i + 1]):
-                    key = int(h[x])
-                    if key not in hot:
+                    own = modes.get(h[x])
+                    if own is None:
                         continue
-                    a = int(place[x])
-                    if not hot[key]:
-                        add(key, i, max(0, a + gram - length), min(size, a + length), min(a, length - gram))
+                    a = place[x]
+                    s, e = around(t, a, length, gram)
+                    mode = own.get(digest(t[s:e]))
+                    if mode is None:
                         continue
-                    for back in range(0, length - gram + 1, STEP):
-                        s, e = a - back, a - back + length - STEP + 1
-                        if s >= 0 and e <= size:
-                            part = np.frombuffer(texts[i][s:e], np.uint8)
-                            own = int(mixed(prefix_hash(part)[-1:] ^ U(key & 0xFFFFFFFFFFFFFFFF)).view(np.int64)[0])
-                            first = max(0, s - STEP + 1)
-                            if (last := min(size, s + length)) - first >= length:
-                                add(own, i, first, last, s - first)
-            made = [(key, around, *rest) for (key, around), rest in seen.items() if len(around) >= length]
+                    if mode["known"]:
+                        if whole and s <= whole[-1][1]:
+                            whole[-1][1] = max(e, whole[-1][1])
+                        else:
+                            whole.append([s, e])
+                    if mode["send"] and not mode["hot"]:
+                        add(h[x], i, s, e, a - s, mode["known"])
+                    elif mode["send"]:
+                        for back in range(0, length - gram + 1, STEP):
+                            s, e = a - back, a - back + length - STEP + 1
+                            if s >= 0 and e <= len(t):
+                                part = np.frombuffer(t[s:e], np.uint8)
+                                key = int(mixed(prefix_hash(part)[-1:] ^ U(h[x] & 0xFFFFFFFFFFFFFFFF)).view(np.int64)[0])
+                                first = max(0, s - STEP + 1)
+                                if (last := min(len(t), s + length)) - first >= length:
+                                    add(key, i, first, last, s - first, mode["known"])
+                spans.extend((k1[i], k2[i], s, e) for s, e in whole)
+            made = [(key, part, *rest) for (key, part), rest in seen.items() if len(part) >= length]
             made += [(0, None, e, a, b, s, True) for a, b, s, e in spans]
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*made, strict=True), (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()), strict=True)], ["key", "around", "off", "k1", "k2", "start", "known"])
@@ -376,9 +404,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, n_bytes, starts, stops, kept): the removed runs of each text and the bytes that stay (binary,
     as a run may end inside a character). See the module for the method and for odd inputs."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("k1"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("k2"))
-    found = cut(texts.select("text", "k1", "k2").mapInArrow(_send_anchors(length, gram), "h long, k1 long, k2 long, n int"), "anchors")
-    again = found.groupBy("h").agg(F.sum("n").alias("times")).filter("times > 1").select("h", (F.col("times") > hot).alias("hot"))
-    wanted = found.join(again, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "hot")).alias("wanted"))
+    found = cut(texts.select("text", "k1", "k2").mapInArrow(_send_anchors(length, gram), "h long, d long, k1 long, k2 long, n int"), "anchors")
+    again = found.groupBy("h").agg(F.sum("n").alias("times")).filter("times > 1").select("h")
+    # all windows run in the partitions of the join on h: equal surroundings first, then their kinds
+    same, ranked, shared = Window.partitionBy("h", "d"), Window.partitionBy("h", "d").orderBy("k1", "k2"), Window.partitionBy("h")
+    placed = found.join(again, "h").withColumn("known", F.sum("n").over(same) > 1).withColumn("first", F.row_number().over(ranked) == 1)
+    placed = placed.withColumn("kinds", F.sum(F.col("first").cast("int")).over(shared)).withColumn("send", F.col("first") & (F.col("kinds") > 1)).filter("known OR send")
+    wanted = placed.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "d", "known", "send", (F.col("kinds") > hot).alias("hot"))).alias("wanted"))
     around = texts.join(wanted, ["k1", "k2"], "left").select("text", "k1", "k2", "wanted").mapInArrow(_send_surroundings(length, gram), "key long, around binary, off int, k1 long, k2 long, start int, known boolean")
     # a span has no key of its own: any partition will do
     dealt = around.withColumn("key", F.when(F.col("around").isNull(), F.xxhash64("k1", "k2", "start")).otherwise(F.col("key")))
