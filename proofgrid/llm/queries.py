@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofgrid.llm import exact_dedup, language_id, mixing, ngram_join, piece_codec, quality_rules, suffix_dedup
+from proofgrid.llm import exact_dedup, language_id, license_scan, line_dedup, mixing, ngram_join, piece_codec, quality_rules, suffix_dedup, url_filter
 from proofgrid.llm.common import table
 
 
@@ -24,10 +24,23 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.round_trips(table(spark, sf_dir, "documents"))
 
@@ -41,7 +54,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_exact_dedup, op3_source_mixing, op6_quality_rules, op8_sentencepiece, op9_ngram_jaccard_join, op10_language_id)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_exact_dedup, op3_source_mixing, op4_url_filter, op5_line_dedup, op6_quality_rules, op7_license_scan, op8_sentencepiece, op9_ngram_jaccard_join, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
