@@ -345,3 +345,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         profile.join(whole, ["node", "check", "n_shingles"], "left")
         .select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("class_id")).alias("component_id"))
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose id is the least of their component. Of rows that share id and text one stays; rows
+    without an id stay unless a row with one is linked to them."""
+    comps = jaccard_components(docs, id_col, text_col, **options)
+    ids = comps.filter("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")).distinct()
+    keyed = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("_text", F.xxhash64(text_col))
+    return keyed.join(ids, "_id", "left_semi").dropDuplicates(["_id", "_text"]).select(*docs.columns)
