@@ -411,7 +411,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = found.join(again, "h").withColumn("known", F.sum("n").over(same) > 1).withColumn("first", F.row_number().over(ranked) == 1)
     placed = placed.withColumn("kinds", F.sum(F.col("first").cast("int")).over(shared)).withColumn("send", F.col("first") & (F.col("kinds") > 1)).filter("known OR send")
     wanted = placed.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "d", "known", "send", (F.col("kinds") > hot).alias("hot"))).alias("wanted"))
-    around = texts.join(wanted, ["k1", "k2"], "left").select("text", "k1", "k2", "wanted").mapInArrow(_send_surroundings(length, gram), "key long, around binary, off int, k1 long, k2 long, start int, known boolean")
+    # doc_id goes along unused, so that both joins of the texts read one exchange
+    around = texts.join(wanted, ["k1", "k2"], "left").select("doc_id", "text", "k1", "k2", "wanted").mapInArrow(_send_surroundings(length, gram), "key long, around binary, off int, k1 long, k2 long, start int, known boolean")
     # a span has no key of its own: any partition will do
     dealt = around.withColumn("key", F.when(F.col("around").isNull(), F.xxhash64("k1", "k2", "start")).otherwise(F.col("key")))
     spans = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_resolve(length), "k1 long, k2 long, start int, stop int")
