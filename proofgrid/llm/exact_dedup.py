@@ -28,6 +28,8 @@ STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    # files grow as they are written: small stores in many partitions don't reserve disk
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
