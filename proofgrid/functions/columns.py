@@ -94,7 +94,7 @@ def safe_text(c: Column, most: int = 128) -> Column:
 
 
 def normal_path(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.translate(c, "\\", "/"), r"/(\./)+|/{2,}", "/"), r"^\./", "")
+    return F.regexp_replace(F.regexp_replace(F.translate(c, "\\", "/"), r"/(\.?/)+", "/"), r"^\./", "")
 
 
 def is_unsafe_path(c: Column) -> Column:
