@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from proofgrid.plans import data, drift, lookups, model, provenance, rollups, statistics  # noqa: F401
+    from proofgrid.plans import data, drift, extras, lookups, model, provenance, rollups, statistics  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

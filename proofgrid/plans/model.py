@@ -114,9 +114,9 @@ def anomaly_index(spark, d):
     return st.robust_z(s, "l", ["all"]).select("cls", F.round(-F.col("z"), 6).alias("anomaly"))
 
 
-@query()
-def activation_split(spark, d):
-    """Two clusters of each class's activations, with the minority's share and the silhouette, by k-means per class."""
+def split_classes(rows):
+    """Two clusters of each class's activations (cls, vec_id, embedding): the minority's share and the silhouette. At most
+    2,000 rows of a class are split, the first by a hash of the id: the detector's own bound."""
     import numpy as np
     import pandas as pd
 
@@ -139,5 +139,10 @@ def activation_split(spark, d):
         s = float(np.where(n[side] > 1, (z - a) / np.maximum(np.maximum(a, z), 1e-12), 0).mean()) if n.min() else 0.0
         return pd.DataFrame([(int(key[0]), len(x), float(n.min() / len(x)), s)], columns=["cls", "n", "minority", "silhouette"])
 
-    rows = b.vectors(spark, d).withColumn("_i", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("vec_id"), "vec_id"))).filter("_i <= 2000")  # the detector's own bound
-    return rows.select(F.col("label").alias("cls"), "vec_id", "embedding").groupBy("cls").applyInPandas(split, "cls int, n long, minority double, silhouette double")
+    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy("cls").orderBy(F.xxhash64("vec_id"), "vec_id"))).filter("_i <= 2000")
+    return rows.select("cls", "vec_id", "embedding").groupBy("cls").applyInPandas(split, "cls int, n long, minority double, silhouette double")
+
+
+@query()
+def activation_split(spark, d):
+    return split_classes(b.vectors(spark, d).select(F.col("label").alias("cls"), "vec_id", "embedding"))
