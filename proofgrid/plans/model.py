@@ -137,10 +137,10 @@ def split_classes(rows):
         a = own[np.arange(len(x)), side] / np.maximum(n[side] - 1, 1)
         z = own[np.arange(len(x)), 1 - side] / np.maximum(n[1 - side], 1)
         s = float(np.where(n[side] > 1, (z - a) / np.maximum(np.maximum(a, z), 1e-12), 0).mean()) if n.min() else 0.0
-        return pd.DataFrame([(int(key[0]), len(x), float(n.min() / len(x)), s)], columns=["cls", "n", "minority", "silhouette"])
+        return pd.DataFrame([(key[0], len(x), float(n.min() / len(x)), s)], columns=["cls", "n", "minority", "silhouette"])
 
     rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy("cls").orderBy(F.xxhash64("vec_id"), "vec_id"))).filter("_i <= 2000")
-    return rows.select("cls", "vec_id", "embedding").groupBy("cls").applyInPandas(split, "cls int, n long, minority double, silhouette double")
+    return rows.select("cls", "vec_id", "embedding").groupBy("cls").applyInPandas(split, f"cls {dict(rows.dtypes)['cls']}, n long, minority double, silhouette double")
 
 
 @query()
