@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 WORD = f"[^{SPACE}]+"
 #: Bytes of text that a pass over texts handles at once (a longer text is handled alone).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+#: Bytes of an Arrow batch that Spark sends to a Python worker, whatever the length of its rows.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +37,12 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches bounded in bytes: 10,000 long texts would not fit a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,17 +54,15 @@ def text_or_empty(name: str = "text") -> Column:
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Slices of the batches whose texts hold at most ``limit`` bytes together, with the texts as UTF-8."""
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text))
-        texts = column.cast(pa.large_binary()).to_pylist()
+        column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
         start = size = 0
-        for i, t in enumerate(texts):
-            n = len(t) if t else 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
             if size and size + n > limit:
-                yield batch.slice(start, i - start), texts[start:i]
+                yield batch.slice(start, i - start), column.slice(start, i - start).to_pylist()
                 start, size = i, 0
             size += n
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        if start < batch.num_rows:
+            yield batch.slice(start), column.slice(start).to_pylist()
 
 
 def columns(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofgrid.llm.common import chunks, columns
+from proofgrid.llm.common import bounded, chunks, columns
 from proofgrid.llm.kernels import U, mixed, powers
 
 WIDTH = 1 << 14
@@ -120,7 +120,7 @@ def _predict(model):
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = 1_000, landmarks: int = 256, ridge: float = 1e-2) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): learned where crc32 of the id as text, modulo 3, is not 1."""
-    spark = docs.sparkSession
+    spark = bounded(docs.sparkSession)
     held = F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     thin = docs.filter(~held & letter & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"))

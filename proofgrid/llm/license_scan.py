@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofgrid.llm.common import chunks, columns
+from proofgrid.llm.common import bounded, chunks, columns
 from proofgrid.llm.kernels import Words
 from proofgrid.llm.licenses import TEMPLATES
 
@@ -146,6 +146,7 @@ def _scan(templates: dict[str, str], least: float):
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, least: float = 0.75) -> DataFrame:
     """(doc_id, license, matched_words, template_words, start, stop, coverage) of every match that covers ``least`` of
     its template; start and stop count characters."""
+    bounded(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scan(templates or TEMPLATES, least), f"doc_id {kind}, license string, matched_words long, template_words long, start long, stop long")
     return out.withColumn("coverage", F.col("matched_words") / F.col("template_words"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofgrid.llm.common import chunks, columns, cut, groups
+from proofgrid.llm.common import bounded, chunks, columns, cut, groups
 from proofgrid.llm.kernels import U, mixed, shingle_sets
 from proofgrid.operators.components import connected_components
 
@@ -313,7 +313,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     A null id takes part in links but is never the least id of a component unless all its ids are null.
     """
-    spark = docs.sparkSession
+    spark = bounded(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     seen = cut(texts.mapInArrow(_profile("doc_id", "text", n), "doc_id long, n_shingles long, node long, check long, block int, counts binary"), "profile")
     profile = seen.filter("block IS NULL").select("doc_id", "n_shingles", "node", "check")

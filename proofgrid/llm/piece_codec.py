@@ -14,6 +14,7 @@ Columns other than the id and the text are ignored; rows may repeat.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
@@ -25,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofgrid.llm.common import chunks, columns
+from proofgrid.llm.common import bounded, chunks, columns
 
 MARK = "▁"
 #: Segments of more characters than this are contracted with a heap rather than in rounds.
 LONG = 64
 #: Segments whose ids a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 _SPAN = 64  # above the longest piece in bytes
 
 
@@ -100,9 +101,10 @@ class Codec:
         own = f"[{re.escape(inner)}]"
         self.split = re.compile(f"{MARK}+{own}*|{own}+|[^{MARK}]")
 
-    def _bound(self, order: np.ndarray, eight: np.ndarray, key: np.ndarray, after: bool) -> np.ndarray:
-        """For each piece, how many suffixes sort before its key (or not after it)."""
-        lo, hi = np.zeros(len(key), np.int64), np.full(len(key), len(order), np.int64)
+    @staticmethod
+    def _bound(order: np.ndarray, eight: np.ndarray, key: np.ndarray, after: bool, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """For each key, the first place from lo to hi whose suffix doesn't sort before it (or sorts after it)."""
+        lo, hi = lo.copy(), hi.copy()
         while len(open_ := np.flatnonzero(lo < hi)):
             mid = (lo[open_] + hi[open_]) >> 1
             at = order[mid]
@@ -122,14 +124,17 @@ class Codec:
         """(start * _SPAN + length, rank) of every occurrence of a piece of several characters, by position."""
         at = np.flatnonzero((buf & 0xC0) != 0x80)
         order, eight = suffix_array(buf, at, 8 * self.low.shape[1])
-        lo = self._bound(order, eight, self.low, False)
-        hi = self._bound(order, eight, self.high, True)
+        first = eight[order]
+        lo, hi = np.searchsorted(first, self.low[:, 0], side="left"), np.searchsorted(first, self.high[:, 0], side="right")
+        wide = np.flatnonzero((self.size > 8) & (hi > lo))  # pieces that the first 8 bytes don't decide
+        lo[wide], hi[wide] = self._bound(order, eight, self.low[wide], False, lo[wide], hi[wide]), self._bound(order, eight, self.high[wide], True, lo[wide], hi[wide])
         n = hi - lo
-        rank = np.repeat(np.arange(len(n)), n)
-        place = order[np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())]
-        key = place * _SPAN + self.size[rank]
-        by = np.argsort(key, kind="stable")
-        return key[by], rank[by]
+        some = np.flatnonzero(n)
+        n = n[some]
+        place = order[np.repeat(lo[some] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())]
+        edge = ((place * _SPAN + np.repeat(self.size[some], n)) << 20) | np.repeat(some, n)
+        edge.sort()
+        return edge >> 20, edge & ((1 << 20) - 1)
 
     def _learn(self, segments: list[str]) -> None:
         """Ids of new segments."""
@@ -190,19 +195,24 @@ class Codec:
         by = np.argsort(seg, kind="stable")
         seg, start, end = seg[by], start[by], end[by]
         found = ranks(start, end)
-        ids = np.where(found != far, self.ids[np.where(found != far, found, 0)], -1).tolist()
+        ids = np.where(found != far, self.ids[np.where(found != far, found, 0)], -1)
         bounds = np.searchsorted(seg, np.arange(len(raw) + 1)).tolist()
         data = buf.tobytes()
-        starts, ends = start.tolist(), end.tolist()
+        spelled: dict[int, list[int]] = {}
+        for k in np.flatnonzero(ids < 0).tolist():
+            char = data[start[k] : end[k]]
+            if (own := self.single.get(char.decode())) is not None:
+                ids[k] = own
+            else:
+                spelled.setdefault(int(seg[k]), []).append(k)
+        flat = list(map(self.own.__getitem__, ids.tolist()))
         for i, s in enumerate(segments):
+            if i not in spelled:
+                self.known[s] = tuple(flat[bounds[i] : bounds[i + 1]])
+                continue
             out: list[int] = []
             for k in range(bounds[i], bounds[i + 1]):
-                if ids[k] >= 0:
-                    out.append(self.own[ids[k]])
-                elif (own := self.single.get((raw_char := data[starts[k] : ends[k]]).decode())) is not None:
-                    out.append(own)
-                else:
-                    out.extend(self.bytes[b] for b in raw_char)
+                out.extend([flat[k]] if ids[k] >= 0 else [self.bytes[b] for b in data[start[k] : end[k]]])
             self.known[s] = tuple(out)
 
     def _tied(self, rank: np.ndarray) -> np.ndarray:
@@ -240,15 +250,28 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[list[int] | None]:
         """Ids of each text."""
-        parts = [None if t is None else self.split.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = set(chain.from_iterable(p for p in parts if p)).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED and self.known:
-            self.known = dict(islice(self.known.items(), REMEMBERED // 2))  # the first seen hold the frequent ones
-            new = set(chain.from_iterable(p for p in parts if p)).difference(self.known)
-        if new:
-            self._learn(sorted(new))
-        get = self.known.__getitem__
-        return [None if p is None else list(chain.from_iterable(map(get, p))) for p in parts]
+        known, out, late = self.known, [], []
+        tracked = gc.isenabled()
+        gc.disable()  # millions of strings and tuples without cycles
+        try:
+            for i, t in enumerate(texts):
+                parts = self.split.findall(MARK + t.replace(" ", MARK)) if t else ()
+                found = list(map(known.get, parts))
+                if None in found:
+                    late.append((i, parts, found))
+                    out.append(None)
+                else:
+                    out.append(None if t is None else list(chain.from_iterable(found)))
+            if late:
+                self._learn(sorted({p for _, parts, found in late for p, f in zip(parts, found, strict=True) if f is None}))
+                for i, parts, _ in late:
+                    out[i] = list(chain.from_iterable(map(known.__getitem__, parts)))
+            if len(known) > REMEMBERED:  # the first seen hold the frequent ones
+                self.known = dict(islice(known.items(), REMEMBERED // 2))
+        finally:
+            if tracked:
+                gc.enable()
+        return out
 
     def decode(self, ids: list[list[int] | None]) -> list[str | None]:
         """Texts of ids: the dummy prefix goes, bytes that form no character become U+FFFD."""
@@ -258,7 +281,8 @@ class Codec:
                 out.append(None)
                 continue
             text = b"".join(map(self.as_bytes.__getitem__, own)).decode("utf-8", "replace")
-            out.append(text[1:] if text.startswith(" ") else text)
+            first = next((i for i in own if i not in self.blank), None)
+            out.append(text[1:] if first is not None and self.pieces[first].startswith(MARK) else text)
         return out
 
 
@@ -302,6 +326,7 @@ def _decode(model_file: str):
 
 def encode(docs: DataFrame, text_col: str = "text", model_file: str | None = None) -> DataFrame:
     """``docs`` with the column ids (array of int; null for a null text)."""
+    bounded(docs.sparkSession)
     kept = docs.drop("ids")
     plain = kept.withColumnRenamed(text_col, "text") if text_col != "text" else kept
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
@@ -331,5 +356,6 @@ def _digest(model_file: str):
 
 def round_trips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256 of little-endian 32-bit ids, round_trip) of every whole text, in one pass."""
+    bounded(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_digest(model_file or default_model()), f"doc_id {kind}, n_tokens long, ids_sha256 string, round_trip boolean")

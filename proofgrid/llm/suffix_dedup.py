@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofgrid.llm.common import chunks, columns, cut
+from proofgrid.llm.common import bounded, chunks, columns, cut
 from proofgrid.llm.kernels import U, mixed, prefix_hash, span_hash
 
 STEP = 8
@@ -403,6 +403,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = 32, hot: int = 20_000) -> DataFrame:
     """(doc_id, n_bytes, starts, stops, kept): the removed runs of each text and the bytes that stay (binary,
     as a run may end inside a character). See the module for the method and for odd inputs."""
+    bounded(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("k1"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("k2"))
     found = cut(texts.select("text", "k1", "k2").mapInArrow(_send_anchors(length, gram), "h long, d long, k1 long, k2 long, n int"), "anchors")
     again = found.groupBy("h").agg(F.sum("n").alias("times")).filter("times > 1").select("h")
