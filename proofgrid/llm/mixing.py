@@ -64,17 +64,17 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1
     return out.withColumn("target", F.least(F.col("limit_").cast("double"), level * F.col("weight"))).drop("level", "limit_", "weight")
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, share: float = 1.5, most: int = 2, schedules: Sequence[Sequence[float]] = SCHEDULES, keep_text: bool = False) -> DataFrame:
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, share: float = 1.5, most: int = 2, schedules: Sequence[Sequence[float]] = SCHEDULES, whole: bool = False) -> DataFrame:
     """(doc_id, source, size, source_size, target, words_before, taken): see the module.
 
-    words_before: the words of the source before this document. With ``keep_text``, all columns of ``docs`` too.
+    words_before: the words of the source before this document. With ``whole``, row holds the columns of ``docs``.
     """
     mark = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    own = [F.col(c) for c in docs.columns] if keep_text else [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source")]
+    own = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *([F.struct(*docs.columns).alias("row")] if whole else [])]
     thin = docs.select(*own, size.alias("_size"), F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")).alias("_key"), mark.alias("_mark"))
     thin = thin.withColumn("_bucket", F.substring("_mark", 1, 3)).repartition("_key", "_bucket")
-    part = thin.groupBy("_key", "_bucket").agg(F.sum("_size").alias("_words"), F.first(F.col(source_col if keep_text else "source"), ignorenulls=True).alias("_source"))
+    part = thin.groupBy("_key", "_bucket").agg(F.sum("_size").alias("_words"), F.first("source", ignorenulls=True).alias("_source"))
     before = F.coalesce(F.sum("_words").over(Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     part = part.withColumn("_before", before)
     sized = targets(part.groupBy("_key").agg(F.first("_source", ignorenulls=True).alias("source"), F.sum("_words").alias("source_size")), weights, share, most)
@@ -114,11 +114,13 @@ def first_words(text: Column, n: Column) -> Column:
 def occurrences(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each pass that takes words of a document, its text cut
     after the words taken (only the last document of a source is), in the order of training positions."""
-    out = plan(docs, text_col=text_col, keep_text=True, **options)
+    out = plan(docs, text_col=text_col, whole=True, **options)
     out = out.select("*", F.posexplode("takes").alias("_pass", "_words")).filter(F.col("_words") > 0)
     out = out.withColumn("_at", position(F.col("_pass"), options.get("schedules", SCHEDULES)))
-    text = F.when(F.col("_words") == F.col("size"), F.col(text_col)).otherwise(first_words(F.col(text_col), F.col("_words")))
-    return out.withColumn(text_col, text).orderBy("_at", "_pass").select(*docs.columns)
+    own = F.col("row")[text_col]
+    text = F.when(F.col("_words") == F.col("size"), own).otherwise(first_words(own, F.col("_words")))
+    columns = [text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
+    return out.orderBy("_at", "_pass").select(*columns)
 
 
 SQL = f"""
