@@ -59,13 +59,13 @@ def _profile(id_col: str, text_col: str, n: int):
             digests = [set_digest(s) for s in sets]
             size = len(sets)
             yield pa.RecordBatch.from_arrays(
-                [columns(rows, id_col).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())],
-                ["doc_id", "n_shingles", "node", "check", "block", "counts"],
+                [columns(rows, id_col).cast(pa.int64()), columns(rows, "text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())],
+                ["doc_id", "text_key", "n_shingles", "node", "check", "block", "counts"],
             )
         if counts.any():
             blocks = counts.reshape(SKETCH_BLOCKS, -1)
             nulls = pa.nulls(SKETCH_BLOCKS, pa.int64())
-            yield pa.RecordBatch.from_arrays([nulls, nulls, nulls, nulls, pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["doc_id", "n_shingles", "node", "check", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([nulls, nulls, nulls, nulls, nulls, pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["doc_id", "text_key", "n_shingles", "node", "check", "block", "counts"])
 
     return run
 
@@ -313,10 +313,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     A null id takes part in links but is never the least id of a component unless all its ids are null.
     """
+    return _components(docs, id_col, text_col, n, percent, pairwise, block_nodes).drop("text_key")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, n: int = 5, percent: int = 75, pairwise: int = 64, block_nodes: int = 20_000) -> DataFrame:
+    """The same, with a hash of the text that tells rows with the same id apart."""
     spark = bounded(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    seen = cut(texts.mapInArrow(_profile("doc_id", "text", n), "doc_id long, n_shingles long, node long, check long, block int, counts binary"), "profile")
-    profile = seen.filter("block IS NULL").select("doc_id", "n_shingles", "node", "check")
+    seen = cut(texts.withColumn("text_key", F.xxhash64("text")).mapInArrow(_profile("doc_id", "text", n), "doc_id long, text_key long, n_shingles long, node long, check long, block int, counts binary"), "profile")
+    profile = seen.filter("block IS NULL").select("doc_id", "text_key", "n_shingles", "node", "check")
     sketch = spark.sparkContext.broadcast(sketch_of(seen.filter("block IS NOT NULL")))
 
     postings = texts.select("text").mapInArrow(_postings(sketch, "text", n, percent), "h long, node long, size int, place int")
@@ -343,14 +348,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     whole = linked.join(least, "component", "left").select("node", "check", "n_shingles", F.coalesce("least", "rep").alias("class_id"))
     return (
         profile.join(whole, ["node", "check", "n_shingles"], "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("class_id")).alias("component_id"))
+        .select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("class_id")).alias("component_id"))
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose id is the least of their component. Of rows that share id and text one stays; rows
     without an id stay unless a row with one is linked to them."""
-    comps = jaccard_components(docs, id_col, text_col, **options)
-    ids = comps.filter("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")).distinct()
+    comps = _components(docs, id_col, text_col, **options)
+    ids = comps.filter("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_key").alias("_text")).distinct()
     keyed = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("_text", F.xxhash64(text_col))
-    return keyed.join(ids, "_id", "left_semi").dropDuplicates(["_id", "_text"]).select(*docs.columns)
+    return keyed.join(ids, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]).select(*docs.columns)
