@@ -107,25 +107,27 @@ def decide(findings: DataFrame, rules: tuple[Rule, ...] = BASELINE, default: str
     bound = lambda f, without: look([without, *(without if f(r) is None else SEVERITIES.index(f(r)) for r in rules)])
     severity = F.coalesce(F.nullif(bound(lambda r: r.severity, -1), F.lit(-1)), rank_of(F.col("severity")))
     severity = F.least(F.greatest(severity, bound(lambda r: r.floor, 0)), bound(lambda r: r.ceiling, 4))
-    out = findings.withColumn("_rule", number).withColumn("rule_id", look(["default", *(r.id for r in rules)])).withColumn("_rank", severity).withColumn("disposition", look([default, *(r.disposition for r in rules)])).withColumn("decided_confidence", F.col("confidence"))
-    none = F.array().cast("array<string>")
-    out = out.withColumn("guardrails", none)
-    q = F.col("disposition") == "QUARANTINE"
-
-    def guard(df: DataFrame, name: str, when: Column, **changes: Column) -> DataFrame:
-        df = df.withColumn("_hit", F.coalesce(when, F.lit(False)))
-        for c, v in changes.items():
-            df = df.withColumn(c, F.when(F.col("_hit"), v).otherwise(F.col(c)))
-        return df.withColumn("guardrails", F.when(F.col("_hit"), F.array_append("guardrails", F.lit(name))).otherwise(F.col("guardrails"))).drop("_hit")
-
+    out = findings.withColumn("_rule", number).withColumn("rule_id", look(["default", *(r.id for r in rules)])).withColumn("_rank", severity).withColumn("disposition", look([default, *(r.disposition for r in rules)]))
+    quarantined, rank = F.col("disposition") == "QUARANTINE", F.col("_rank")
     failure = (F.col("layer") == "PROVENANCE") & F.col("deterministic") & F.col("attack_class").isin(*PROVENANCE_FAILURES) & (rank_of(F.col("severity")) >= 3)
-    out = guard(out, "G1", failure & ~q, disposition=F.lit("QUARANTINE"), _rank=F.lit(4))
-    out = guard(out, "G2", ~F.col("deterministic") & ~F.col("calibrated") & q, disposition=F.lit("REVIEW"))
-    out = guard(out, "G3", (F.col("attack_class") == "metadata_manipulation") & q, disposition=F.lit("REVIEW"))
-    out = guard(out, "G4", (F.col("attack_class") == "drift_manipulation") & q & (F.size("signals") < MIN_MANIPULATION_SIGNALS), disposition=F.lit("REVIEW"))
-    out = guard(out, "G5", (F.col("availability") == "DEGRADED") & (F.col("decided_confidence") > DEGRADED_CAP), decided_confidence=F.lit(DEGRADED_CAP))
-    out = guard(out, "G6", (F.col("_rank") == 0) & q, disposition=F.lit("REVIEW"))
-    return out.withColumn("decided_severity", name_of(F.col("_rank"))).withColumn("decided_confidence", F.round("decided_confidence", 4)).drop("_rank", "_rule")
+    raised = failure & ~quarantined  # G1: failed cryptographic checks are quarantined
+    capped = [  # each caps a quarantine at REVIEW, the first that applies is the one that is named
+        ("G2", ~F.col("deterministic") & ~F.col("calibrated")),
+        ("G3", F.col("attack_class") == "metadata_manipulation"),
+        ("G4", (F.col("attack_class") == "drift_manipulation") & (F.size("signals") < MIN_MANIPULATION_SIGNALS)),
+        ("G6", (rank == 0) & ~raised),
+    ]
+    cap = F.lit(None).cast("string")
+    for name, when in reversed(capped):
+        cap = F.when(when, name).otherwise(cap)
+    out = out.withColumn("_raised", F.coalesce(raised, F.lit(False)))
+    out = out.withColumn("_cap", F.when(F.col("_raised") | quarantined, cap))
+    degraded = (F.col("availability") == "DEGRADED") & (F.col("confidence") > DEGRADED_CAP)
+    notes = F.array_compact(F.array(F.when(F.col("_raised"), "G1"), F.when(F.col("_cap") != "G6", F.col("_cap")), F.when(degraded, "G5"), F.when(F.col("_cap") == "G6", "G6")))
+    disposition = F.when(F.col("_cap").isNotNull(), "REVIEW").when(F.col("_raised"), "QUARANTINE").otherwise(F.col("disposition"))
+    severity = name_of(F.when(F.col("_raised"), F.lit(4)).otherwise(rank))
+    confidence = F.round(F.when(degraded, DEGRADED_CAP).otherwise(F.col("confidence")), 4)
+    return out.withColumns({"decided_severity": severity, "decided_confidence": confidence, "guardrails": notes, "disposition": disposition}).drop("_rank", "_rule", "_raised", "_cap")
 
 
 def flag_weights(flags: DataFrame, min_confidence: float = 0.5, min_severity: str = "LOW") -> DataFrame:

@@ -82,10 +82,12 @@ def conformal_pvalues(calibration: DataFrame, test: DataFrame, score: str, out:
 
 def psi(df: DataFrame, keys: Sequence[str], value: str, is_ref: Column, bins: int = 10, eps: float = 1e-4) -> DataFrame:
     """Population stability index over the reference's quantile bins, the outer ones open; 0 with fewer than 3 edges."""
-    cuts = df.filter(is_ref).groupBy(*keys).agg(F.array_distinct(F.percentile(value, [i / bins for i in range(bins + 1)])).alias("edges"))
+    # rows are counted by value first, so that quantiles and bins handle each distinct value once
+    seen = df.groupBy(*keys, value).agg(F.sum(is_ref.cast("long")).alias("r"), F.sum((~is_ref).cast("long")).alias("c"))
+    cuts = seen.filter("r > 0").groupBy(*keys).agg(F.array_distinct(F.percentile(value, [i / bins for i in range(bins + 1)], F.col("r"))).alias("edges"))
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
-    at = df.join(cuts, list(keys)).withColumn("bin", F.size(F.filter(inner, lambda e: F.col(value) >= e)))
-    counts = at.groupBy(*keys, "edges", "bin").agg(F.sum(is_ref.cast("long")).alias("r"), F.sum((~is_ref).cast("long")).alias("c"))
+    at = seen.join(cuts, list(keys)).withColumn("bin", F.size(F.filter(inner, lambda e: F.col(value) >= e)))
+    counts = at.groupBy(*keys, "edges", "bin").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
     all_bins = counts.groupBy(*keys, "edges").agg(F.sum("r").alias("nr"), F.sum("c").alias("nc"), F.map_from_entries(F.collect_list(F.struct("bin", F.struct("r", "c").alias("n")))).alias("m"))
     bin_ = lambda side, total: lambda b: F.coalesce(F.try_element_at("m", b)[side], F.lit(0)) / F.col(total) + eps
     r, c = bin_("r", "nr"), bin_("c", "nc")
