@@ -91,3 +91,36 @@ def test_empty_table_and_clashing_columns(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(1, "a b c", 5, 6)], "doc_id long, text string, n_lines int, k int")
     assert dedup_lines(df).first().n_lines == 1
+
+
+def test_a_long_line_of_short_documents_is_no_copy(spark):
+    line = " ".join(f"shared{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60))
+    own = lambda i: " ".join(f"own{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40))
+    rows = [(i, f"{line}\n{own(i)}") for i in range(100)] + [(100, f"{line}\n{own(7)}")]
+    near = own(7).split(" ")
+    near[20] = "changed"
+    rows.append((101, f"{line}\n{' '.join(near)}"))
+    got = {r.doc_id: r for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), link=75).collect()}
+    assert [i for i, r in got.items() if line in r.text] == [0]
+    assert all(got[i].text == own(i) for i in range(1, 100))
+
+
+def test_the_query_and_the_pipeline_ask_for_the_join_s_link(spark, tmp_path):
+    import corpus_pipeline
+    from proofgrid.llm.queries import op5_line_dedup
+
+    line = " ".join(f"s{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60))
+    rows = [(i, line + "\n" + " ".join(f"{'wxyz'[i]}{c}{d}" for d in "abcdefgh" for c in "jklmn")) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.n_dropped for r in op5_line_dedup(spark, str(tmp_path)).collect()) == [0, 1, 1, 1]
+    assert sum(line in r.text for r in corpus_pipeline.line_dedup_stage(spark, docs, "").collect()) == 1
+
+
+def test_copies_that_the_join_links_stay_whole(spark):
+    body = "\n".join(" ".join(f"{a}{b}{c}" for c in "mnopqrstuv") for a in "abcde" for b in "fgh")
+    words = body.split(" ")
+    words[70] = "changed"
+    rows = [(1, body), (2, body), (3, " ".join(words)), (4, None), (5, "\n".join(body.split("\n")[:9] + ["words that no other text has " + a * 9 for a in "abcdefgh"]))]
+    got = {r.doc_id: r for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), link=75).collect()}
+    assert [got[i].n_dropped for i in (1, 2, 3, 4)] == [0, 0, 0, 0] and got[5].n_dropped == 9
