@@ -21,7 +21,7 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without recurring lines; a document that consisted of such lines alone goes."""
-    out = line_dedup.dedup_lines(docs, link=line_dedup.LINK).filter(F.expr("n_dropped = 0") | F.col("text").rlike(WORD))
+    out = line_dedup.dedup_lines(docs, link=line_dedup.LINK, least_words=1).filter(F.expr("n_dropped = 0") | F.col("text").rlike(WORD))
     return _measured(out.select(*docs.columns))
 
 

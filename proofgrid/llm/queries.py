@@ -29,7 +29,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), link=line_dedup.LINK)
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), link=line_dedup.LINK, least_words=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -124,3 +124,21 @@ def test_copies_that_the_join_links_stay_whole(spark):
     rows = [(1, body), (2, body), (3, " ".join(words)), (4, None), (5, "\n".join(body.split("\n")[:9] + ["words that no other text has " + a * 9 for a in "abcdefgh"]))]
     got = {r.doc_id: r for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), link=75).collect()}
     assert [got[i].n_dropped for i in (1, 2, 3, 4)] == [0, 0, 0, 0] and got[5].n_dropped == 9
+
+
+def test_the_query_and_the_pipeline_judge_short_lines(spark, tmp_path):
+    import corpus_pipeline
+    from proofgrid.llm.queries import op5_line_dedup
+
+    own = lambda i: " ".join(f"{'wxyz'[i]}{c}{d}" for d in "abcdefgh" for c in "jklmn")
+    rows = [(i, f"Read more\n{own(i)}\nPage {i + 7}\n\nShare") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.n_dropped for r in op5_line_dedup(spark, str(tmp_path)).collect()) == [0, 3, 3, 3]
+    less = {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, docs, "").collect()}
+    assert less == {0: rows[0][1]} | {i: f"{own(i)}\n" for i in range(1, 4)}
+    assert sorted(lines_dropped(dedup_lines(docs, least_words=1))) == sorted((i, len(x)) for (i, _), x in brute(rows, least=1).items())
+
+
+def lines_dropped(df):
+    return [(r.doc_id, r.n_dropped) for r in df.collect() if r.n_dropped]
