@@ -136,7 +136,7 @@ class Forest:
         return True
 
 
-def _edges(percent: int, pairwise: int, most: int = 1_000_000):
+def _edges(percent: int, pairwise: int, most: int = 1_000_000, held_most: int = 50_000):
     """Candidate edges of postings that are sorted by (h, size, node)."""
 
     def allowed(sx, px, sy, py):
@@ -144,7 +144,8 @@ def _edges(percent: int, pairwise: int, most: int = 1_000_000):
         need = -(-percent * (sx.astype(np.int64) + sy) // (100 + percent))
         return (100 * sx.astype(np.int64) >= percent * sy.astype(np.int64)) & (np.minimum(sx - px, sy - py) >= need)
 
-    def pairs(h, node, size, place):
+    def pairs(h, node, size, place, chained):
+        """Pairs of whole shingles; rows of the shingle ``chained`` are a chain's tail, however few."""
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
         h, node, size, place = h[new], node[new], size[new], place[new]
@@ -152,6 +153,8 @@ def _edges(percent: int, pairwise: int, most: int = 1_000_000):
         first[1:] = h[1:] != h[:-1]
         starts = np.flatnonzero(first)
         many = np.repeat(np.diff(np.append(starts, len(h))), np.diff(np.append(starts, len(h))))
+        if chained is not None:
+            many[h == chained] = pairwise + 1
         us, vs = [], []
         hot = np.flatnonzero((many[:-1] > pairwise) & ~first[1:]) if len(h) > 1 else np.zeros(0, np.int64)
         chain = hot[100 * size[hot].astype(np.int64) >= percent * size[hot + 1].astype(np.int64)]
@@ -172,10 +175,10 @@ def _edges(percent: int, pairwise: int, most: int = 1_000_000):
         forest = Forest()
         out_u: list[int] = []
         out_v: list[int] = []
-        held = None
+        held = chained = None
 
         def take(h, node, size, place):
-            u, v = pairs(h, node, size, place)
+            u, v = pairs(h, node, size, place, chained)
             if len(u):
                 uv = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
                 for a, b in uv.tolist():
@@ -196,8 +199,9 @@ def _edges(percent: int, pairwise: int, most: int = 1_000_000):
             if not len(now[0]):
                 continue
             last = int(np.searchsorted(now[0], now[0][-1]))
-            if len(now[0]) - last > max(4 * pairwise, 50_000):  # a hot shingle: its chain so far goes, its last row stays
+            if len(now[0]) - last > max(4 * pairwise, held_most):  # a hot shingle: its chain so far goes, its last row stays
                 take(*(x for x in now))
+                chained = now[0][-1]
                 held = [x[-1:] for x in now]
             else:
                 if last:

@@ -88,3 +88,19 @@ def test_odd_ids_and_keep_one(spark):
     kept = sorted((str(r.doc_id), r.text) for r in nj.keep_one(df).collect())
     assert kept == [("5", text), ("5", other), ("9", "x"), ("None", "alone here")]
     assert nj.jaccard_components(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("after", [1, 2, 5])
+def test_the_rest_of_a_hot_shingle_joins_its_chain(after):
+    import pyarrow as pa
+
+    # the held row's place fails the positional filter; the rows after it pass it with earlier ones
+    rows = [(7, k, 100, 20 if k == 16 else 0) for k in range(17 + after)]
+    rows += [(8, 90, 100, 0), (8, 91, 100, 0)]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*part, strict=True)], ["h", "node", "size", "place"])
+    out = list(nj._edges(75, 4, held_most=16)(iter([batch(rows[:17]), batch(rows[17:])])))
+    links = [p for b in out for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    up = nj.Forest()
+    for u, v in links:
+        up.join(u, v)
+    assert {up.root(k) for k in range(17 + after)} == {0} and up.root(91) == up.root(90) == 90
