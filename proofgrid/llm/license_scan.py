@@ -1,8 +1,9 @@
 """License scans: winnowed fingerprints pick candidates, banded alignment confirms them.
 
 Words are runs of ASCII letters, digits and other bytes above 127, A-Z lower-cased. Of each template's hashed
-``GRAM``-word windows, the least of every ``WINNOW`` in a row is a fingerprint; an inverted index leads from a
-fingerprint to (template, place). Every window of a text is looked up; hits on near diagonals make a candidate,
+``GRAM``-word windows, the least of every ``WINNOW`` in a row is a fingerprint; of a template of at most ``SHORT``
+words every window is one, of so few words that one survives as many changed words as a match may have and an
+inserted word besides. An inverted index leads from a fingerprint to (template, place). Every window of a text is looked up; hits on near diagonals make a candidate,
 which is aligned with its template in a band around the diagonal (longest common subsequence of words). A match
 is reported if it covers enough of the template: its share of the template's words, and its span in the text.
 Of matches of one template whose spans overlap, the one with the most words stays, then the first.
@@ -14,6 +15,7 @@ for each row. The id may be null or repeated; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,8 @@ from proofgrid.llm.licenses import TEMPLATES
 
 GRAM = 3
 WINNOW = 4
+#: Words of a template that is indexed without winnowing.
+SHORT = 30
 _PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -37,23 +41,37 @@ def _words(texts: list[bytes | None]) -> Words:
 class Index:
     """Templates' words and their fingerprints."""
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], least: float = 0.75):
         self.names = list(templates)
         w = _words([templates[n].encode() for n in self.names])
         self.words = [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
         if any(len(x) < GRAM for x in self.words):
             raise ValueError(f"a template has fewer than {GRAM} words")
-        h, at = w.grams(GRAM)
-        who = w.text[at]
-        chosen = set()
-        for t in range(len(self.names)):
-            own = np.flatnonzero(who == t)
-            for s in range(max(1, len(own) - WINNOW + 1)):
-                part = own[s : s + WINNOW]
-                chosen.add(int(part[np.argmin(h[part])]))
-        pick = np.array(sorted(chosen))
-        pick = pick[np.argsort(h[pick], kind="stable")]
-        self.hash, self.who, self.place = h[pick], who[pick], at[pick] - w.first[who[pick]]
+        parts = []
+        for g, own in self._by_gram(least).items():
+            h, at = w.grams(g)
+            who = w.text[at]
+            chosen = set()
+            for t in own:
+                windows = np.flatnonzero(who == t)
+                step = 1 if len(self.words[t]) <= SHORT else WINNOW
+                for s in range(max(1, len(windows) - step + 1)):
+                    part = windows[s : s + step]
+                    chosen.add(int(part[np.argmin(h[part])]))
+            pick = np.array(sorted(chosen))
+            parts.append((h[pick], who[pick], at[pick] - w.first[who[pick]]))
+        self.hash, self.who, self.place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(self.hash, kind="stable")
+        self.hash, self.who, self.place = self.hash[order], self.who[order], self.place[order]
+
+    def _by_gram(self, least: float) -> dict[int, list[int]]:
+        """The templates by the words of their windows: the longest run of words that changes can't break up."""
+        self.grams: dict[int, list[int]] = {}
+        for t, words in enumerate(self.words):
+            kept = math.ceil(least * len(words))
+            runs = len(words) - kept + 2
+            self.grams.setdefault(min(GRAM, -(-kept // runs)) if len(words) <= SHORT else GRAM, []).append(t)
+        return self.grams
 
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which of h, which fingerprint) of every agreement."""
@@ -106,7 +124,10 @@ def find(index: Index, text: np.ndarray, hits: list[tuple[int, int, int]], least
         found = []
         for d in starts:
             near = [x for x in diagonals if d <= x <= d + band]
-            if pairs := align(words, text, near[len(near) // 2], band):
+            mid = near[len(near) // 2]
+            if np.isin(words, text[max(0, mid - band) : max(0, mid + band + len(words))]).sum() < least * len(words):
+                continue  # too few of its words stand there
+            if pairs := align(words, text, mid, band):
                 if len(pairs) >= least * len(words):
                     found.append((len(pairs), pairs[0][1], pairs[-1][1]))
         taken: list[tuple[int, int]] = []
@@ -118,17 +139,18 @@ def find(index: Index, text: np.ndarray, hits: list[tuple[int, int, int]], least
 
 
 def _scan(templates: dict[str, str], least: float):
-    index = Index(templates)
+    index = Index(templates, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in chunks(batches):
             w = _words(texts)
-            h, at = w.grams(GRAM)
-            which, print_ = index.hits(h)
             by_text: dict[int, list[tuple[int, int, int]]] = {}
-            for x, f in zip(at[which].tolist(), print_.tolist(), strict=True):
-                i = int(w.text[x])
-                by_text.setdefault(i, []).append((int(index.who[f]), x - int(w.first[i]), int(index.place[f])))
+            for g in index.grams:
+                h, at = w.grams(g)
+                which, print_ = index.hits(h)
+                for x, f in zip(at[which].tolist(), print_.tolist(), strict=True):
+                    i = int(w.text[x])
+                    by_text.setdefault(i, []).append((int(index.who[f]), x - int(w.first[i]), int(index.place[f])))
             out = []
             for i, hits in by_text.items():
                 s = w.first[i]

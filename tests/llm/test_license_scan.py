@@ -61,3 +61,24 @@ def test_odd_rows(spark):
     assert got == [("5", "mit-notice", 1.0)] * 2 + [("None", "mit-notice", 1.0)]
     assert scan(df.limit(0)).count() == 0
     assert len(Index(TEMPLATES).hash) > len(TEMPLATES)
+
+
+def test_short_notices_with_changed_and_inserted_words_match_plain_alignment(spark):
+    import re
+
+    words_of = lambda t: re.findall("[a-z0-9]+", t.lower())
+    short = {k: words_of(v) for k, v in TEMPLATES.items() if len(v.split()) <= 15}
+    rows = []
+    for words in short.values():
+        edited = []
+        for i in range(len(words)):
+            changed = [*words[:i], "changed", *words[i + 1 :]]
+            edited += [changed, words[:i] + words[i + 1 :]] + [[*words[:j], "inserted", *words[j:]] for j in (i, i + 1)]
+            edited += [[*changed[:j], "inserted", *changed[j:]] for j in range(1, len(words))]
+            edited += [[*changed[:j], "changed", *changed[j + 1 :]] for j in range(i + 1, len(words))]
+        rows += [" ".join(["some", "words", "before", *e, "and", "after", "it"]) for e in edited]
+    rows += ["Released under an MIT License", "Released under the permissive MIT License"]
+    got = {(r.doc_id, r.license) for r in scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    want = {(i, k) for i, t in enumerate(rows) for k, words in short.items() if lcs(words, words_of(t)) >= 0.75 * len(words)}
+    assert {len(rows) - 2, len(rows) - 1} <= {i for i, _ in want}
+    assert {x for x in got if x[1] in short} == want
