@@ -3,19 +3,24 @@
 Steps, with what each moves:
 
 1. ``profile``: one pass over the texts gives each document's set size and a 128-bit digest of its set, and
-   a count sketch of all shingles (fixed size, merged on the executors).
+   a count sketch of all shingles (fixed size, merged on the executors). Equal sets are one class from here on.
 2. ``postings``: a second pass orders each set rare-first by the sketch and emits the prefix that any
-   partner must meet. Equal sets share one node, so copies cost one posting for each task at most.
-3. ``edges``: postings sorted by shingle stream through a task; pairs that pass the length and positional
-   filters become candidate edges, and each task sends a spanning forest of them only. A shingle with more
-   than ``pairwise`` partners sends a chain instead, broken where the length filter allows no pair across.
-4. Candidate components (supersets of the true ones) get one copy of each node's text, and are solved
-   exactly: suffix filter, then the overlap itself, with pairs skipped once both are known to be connected.
-   A component above ``block_nodes`` is dealt out as pairs of blocks, so no task holds all of it.
-
-Nothing about single documents reaches the driver. Null or empty texts and texts of white space have an
-empty set, size 0 and themselves as component. Repeated rows are copies of each other; columns other than
-the id and the text are ignored.
+   partner must meet: the inverted lists of the join, one posting a class and prefix shingle.
+3. ``candidates``: lists stream through a task, sorted by size. A list of at most ``pairwise`` classes gives its
+   pairs that pass the length and positional filters. A longer one gives stars first: of every ``star`` classes the
+   one with the least place (the most typical) is paired with the others, and with the next star's.
+4. ``verified``: pairs are made distinct, get both sets by joins on their classes, and pass the suffix filter and
+   the count of common shingles; each pair once. Links make components.
+5. Longer lists whose classes lie in several components then give all their pairs that pass the filters and run
+   across components, dealt out by ``block`` classes, and these are verified too. Pairs inside a component need no
+   look. What remains unlinked is unlinked by a verified pair or a filter, so components are exact.
+
+Nothing about single documents reaches the driver, no task holds a list or a component, and a set is sent once
+for each pair. `similar_pairs` gives every link between classes instead, and `link_counts` how many a document has.
+
+Null or empty texts and texts of white space have an empty set, size 0 and themselves as component. Repeated rows
+are copies of each other; rows that share an id but not a text are told apart by their texts. Columns other than
+the id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofgrid.llm.common import bounded, chunks, columns, cut, groups
+from proofgrid.llm.common import bounded, chunks, columns, cut
 from proofgrid.llm.kernels import U, mixed, shingle_sets
 from proofgrid.operators.components import connected_components
 
@@ -112,85 +117,76 @@ def _postings(sketch, text_col: str, n: int, percent: int):
     return run
 
 
-class Forest:
-    """Union-find over integers."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        up = self.up
-        top = x
-        while (p := up.get(top, top)) != top:
-            top = p
-        while (p := up.get(x, x)) != top:
-            up[x] = top
-            x = p
-        return top
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        if x == y:
-            return False
-        self.up[max(x, y)] = min(x, y)
-        return True
-
-
-def _edges(percent: int, pairwise: int, most: int = 1_000_000, held_most: int = 50_000):
-    """Candidate edges of postings that are sorted by (h, size, node)."""
-
-    def allowed(sx, px, sy, py):
-        """sx <= sy: the length filter, and what the rest after the first common shingle can still hold."""
-        need = -(-percent * (sx.astype(np.int64) + sy) // (100 + percent))
-        return (100 * sx.astype(np.int64) >= percent * sy.astype(np.int64)) & (np.minimum(sx - px, sy - py) >= need)
-
-    def pairs(h, node, size, place, chained):
-        """Pairs of whole shingles; rows of the shingle ``chained`` are a chain's tail, however few."""
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
-        h, node, size, place = h[new], node[new], size[new], place[new]
-        first = np.ones(len(h), bool)
-        first[1:] = h[1:] != h[:-1]
-        starts = np.flatnonzero(first)
-        many = np.repeat(np.diff(np.append(starts, len(h))), np.diff(np.append(starts, len(h))))
-        if chained is not None:
-            many[h == chained] = pairwise + 1
-        us, vs = [], []
-        hot = np.flatnonzero((many[:-1] > pairwise) & ~first[1:]) if len(h) > 1 else np.zeros(0, np.int64)
-        chain = hot[100 * size[hot].astype(np.int64) >= percent * size[hot + 1].astype(np.int64)]
-        us.append(node[chain])
-        vs.append(node[chain + 1])
-        at = np.flatnonzero((many > 1) & (many <= pairwise))
-        d = 1
-        while len(at):
-            at = at[at + d < len(h)]
-            at = at[h[at] == h[at + d]]
-            ok = at[allowed(size[at], place[at], size[at + d], place[at + d])]
-            us.append(node[ok])
-            vs.append(node[ok + d])
-            d += 1
-        return np.concatenate(us), np.concatenate(vs)
+def _passes(percent: int, sx, px, sy, py):
+    """The length filter, and what the rest after a first common shingle at these places can still hold."""
+    sx, sy = sx.astype(np.int64), sy.astype(np.int64)
+    need = -(-percent * (sx + sy) // (100 + percent))
+    return (100 * np.minimum(sx, sy) >= percent * np.maximum(sx, sy)) & (np.minimum(sx - px, sy - py) >= need)
+
+
+def _few_pairs(percent: int, most: int, h, node, size, place, many):
+    """Pairs of the lists of at most ``most`` rows; ``many``: rows of each row's list."""
+    us, vs = [], []
+    at = np.flatnonzero((many > 1) & (many <= most))
+    d = 1
+    while len(at):
+        at = at[at + d < len(h)]
+        at = at[h[at] == h[at + d]]
+        ok = at[_passes(percent, size[at], place[at], size[at + d], place[at + d])]
+        us.append(node[ok])
+        vs.append(node[ok + d])
+        d += 1
+    return us, vs
+
+
+def _stars(percent: int, star: int, h, node, size, place):
+    """Pairs of each row with the row of least place among ``star`` in a row of its list, and of these with the next."""
+    if not len(h):
+        return [], [], 0
+    at = np.arange(len(h))
+    begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    inside = at - np.repeat(begin, np.diff(np.append(begin, len(h))))
+    first = np.flatnonzero(inside % star == 0)
+    centre = (np.minimum.reduceat((place.astype(np.int64) << 32) | at, first) & 0xFFFFFFFF).astype(np.int64)
+    mine = np.repeat(centre, np.diff(np.append(first, len(h))))
+    next_ = np.flatnonzero(h[centre[1:]] == h[centre[:-1]])
+    x, y = np.concatenate([mine, centre[next_]]), np.concatenate([at, centre[next_ + 1]])
+    ok = (x != y) & _passes(percent, size[x], place[x], size[y], place[y])
+    return [node[x[ok]]], [node[y[ok]]], int(centre[-1])
+
+
+def _pair_columns(us: list[np.ndarray], vs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    u, v = np.concatenate(us), np.concatenate(vs)
+    uv = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
+    uv = uv[uv[:, 0] != uv[:, 1]]
+    return uv[:, 0], uv[:, 1]
+
+
+def _candidates(percent: int, pairwise: int, star: int, held_most: int = 50_000):
+    """Rows (u, v, h, size, place) of postings that are sorted by (h, size, node): pairs, and with v null the postings of
+    lists of more than ``pairwise`` rows. A list may span batches; one of more than ``held_most`` rows goes in parts, each
+    in stars, with the last star's centre as the first row of the next part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest()
-        out_u: list[int] = []
-        out_v: list[int] = []
-        held = chained = None
-
-        def take(h, node, size, place):
-            u, v = pairs(h, node, size, place, chained)
-            if len(u):
-                uv = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
-                for a, b in uv.tolist():
-                    if forest.join(a, b):
-                        out_u.append(a)
-                        out_v.append(b)
-
-        def flush():
-            rows = pa.RecordBatch.from_arrays([pa.array(out_u, pa.int64()), pa.array(out_v, pa.int64())], ["u", "v"])
-            out_u.clear()
-            out_v.clear()
-            return rows
+        held = parted = None
+
+        def take(h, node, size, place) -> pa.RecordBatch:
+            new = np.ones(len(h), bool)  # tasks may have sent the same class
+            new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
+            h, node, size, place = h[new], node[new], size[new], place[new]
+            begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            count = np.diff(np.append(begin, len(h)))
+            many = np.repeat(count, count)
+            if parted is not None:  # the tail of a parted list, however short
+                many[h == parted] = pairwise + 1
+            us, vs = _few_pairs(percent, pairwise, h, node, size, place, many)
+            hot = np.flatnonzero(many > pairwise)
+            more_u, more_v, _ = _stars(percent, star, h[hot], node[hot], size[hot], place[hot])
+            u, v = _pair_columns([*us, *more_u, np.zeros(0, np.int64)], [*vs, *more_v, np.zeros(0, np.int64)])
+            blank = pa.nulls(len(u), pa.int64())
+            short = pa.nulls(len(u), pa.int32())
+            out = [[pa.array(u, pa.int64()), pa.array(node[hot], pa.int64())], [pa.array(v, pa.int64()), pa.nulls(len(hot), pa.int64())], [blank, pa.array(h[hot], pa.int64())], [short, pa.array(size[hot], pa.int32())], [short, pa.array(place[hot], pa.int32())]]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in out], ["u", "v", "h", "size", "place"])
 
         for batch in batches:
             now = [columns(batch, k).to_numpy(zero_copy_only=False) for k in ("h", "node", "size", "place")]
@@ -199,21 +195,60 @@ def _edges(percent: int, pairwise: int, most: int = 1_000_000, held_most: int =
             if not len(now[0]):
                 continue
             last = int(np.searchsorted(now[0], now[0][-1]))
-            if len(now[0]) - last > max(4 * pairwise, held_most):  # a hot shingle: its chain so far goes, its last row stays
-                take(*(x for x in now))
-                chained = now[0][-1]
-                held = [x[-1:] for x in now]
+            if len(now[0]) - last > max(4 * pairwise, held_most):
+                own = [x[last:] for x in now]
+                parted_before, parted = parted, now[0][-1]
+                if last:
+                    parted, mark = parted_before, parted
+                    yield take(*(x[:last] for x in now))
+                    parted = mark
+                yield take(*own)
+                centre = _stars(percent, star, *own)[2]
+                held = [x[centre : centre + 1] for x in own]
             else:
                 if last:
-                    take(*(x[:last] for x in now))
+                    yield take(*(x[:last] for x in now))
                 held = [x[last:] for x in now]
-            if len(out_u) > 100_000:
-                yield flush()
-            if len(forest.up) > most:
-                forest.up.clear()
         if held is not None:
-            take(*held)
-        yield flush()
+            yield take(*held)
+
+    return run
+
+
+def _across(percent: int):
+    """Pairs (u, v) across components from rows (h, block, left, node, size, place, component) that are sorted by
+    (h, block, left descending): left rows of a block are held, the list's rows stream past them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, wall = None, [], None
+        for batch in batches:
+            h, block, left, node, size, place, component = (columns(batch, k).to_numpy(zero_copy_only=False) for k in ("h", "block", "left", "node", "size", "place", "component"))
+            edges = np.flatnonzero((h[1:] != h[:-1]) | (block[1:] != block[:-1]) | (left[1:] != left[:-1])) + 1
+            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for s, e in zip([0, *edges], [*edges, len(h)], strict=True):
+                if s == e:
+                    continue
+                if (h[s], block[s]) != key:
+                    key, held, wall = (h[s], block[s]), [], None
+                own = (node[s:e], size[s:e], place[s:e], component[s:e])
+                if left[s]:
+                    held.append(own)
+                    continue
+                if wall is None:
+                    if not held:
+                        continue
+                    wall = [np.concatenate(x)[:, None] for x in zip(*held, strict=True)]
+                for a in range(0, e - s, 512):
+                    n, z, p, c = (x[a : a + 512] for x in own)
+                    x, y = np.nonzero((wall[3] != c) & _passes(percent, wall[1], wall[2], z, p))
+                    us.append(wall[0][x, 0])
+                    vs.append(n[y])
+                    if sum(map(len, us)) > 500_000:
+                        u, v = _pair_columns(us, vs)
+                        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+                        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            u, v = _pair_columns(us, vs)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     return run
 
@@ -237,129 +272,167 @@ def suffix_apart(x: np.ndarray, y: np.ndarray, most: int, depth: int = 2) -> int
     return left + suffix_apart(xr, yr, most - left - (not same), depth - 1) + (not same)
 
 
-def link_forest(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links (by index) that span the exact components of ``sets``; ``sides``: only pairs of unequal sides count.
+def _sets(n: int):
+    """(node, check, items): the sorted set of each text, as bytes."""
 
-    Sets with the most shared elements go first, as they are likely to link most others; a pair is verified
-    once, and not at all if both are already connected.
-    """
-    count = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    values, token = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(count), sizes)
-    df = np.bincount(token, minlength=len(values))
-    bounds = np.append(0, np.cumsum(sizes))
-    by_token = owner[np.argsort(token, kind="stable")]
-    token_at = np.append(0, np.cumsum(df))
-    central = np.add.reduceat(df[token], bounds[:-1]) / sizes
-    root = np.arange(count)  # kept flat: the root of each set
-    parts, done, links = count, np.zeros(count, bool), []
-    here = np.zeros(len(values), bool)
-    for x in np.argsort(-central, kind="stable"):
-        if parts == 1:
-            break
-        done[x] = True
-        own = token[bounds[x] : bounds[x + 1]]
-        rare = own[np.argsort(df[own], kind="stable")][: sizes[x] - least_overlap(int(sizes[x]), percent) + 1]
-        rare = rare[df[rare] > 1]
-        if not len(rare):
-            continue
-        near = np.unique(np.concatenate([by_token[token_at[t] : token_at[t + 1]] for t in rare]))
-        near = near[~done[near] & (root[near] != root[x])]
-        near = near[(100 * sizes[near] >= percent * sizes[x]) & (100 * sizes[x] >= percent * sizes[near])]
-        if sides is not None:
-            near = near[sides[near] != sides[x]]
-        here[own] = True
-        for y in near:
-            if root[y] == root[x]:
-                continue
-            need = -(-percent * int(sizes[x] + sizes[y]) // (100 + percent))
-            most = int(sizes[x] + sizes[y]) - 2 * need
-            if sizes[x] > 64 and suffix_apart(sets[x], sets[y], most) > most:
-                continue
-            if int(np.count_nonzero(here[token[bounds[y] : bounds[y + 1]]])) >= need:
-                links.append((int(x), int(y)))
-                root[root == root[y]] = root[x]
-                parts -= 1
-        here[own] = False
-    return links
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in chunks(batches):
+            sets = shingle_sets(texts, n)
+            digests = [set_digest(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "check", "items"])
+
+    return run
 
 
-def _solve(text_col: str, n: int, percent: int):
-    """Exact links of each candidate component, or pair of its blocks."""
+def _verify(percent: int):
+    """(u, v, common) of the pairs (u, v, a, b) whose sets link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, ["component", "i", "j"]):
-            nodes = group.column("node").to_numpy()
-            texts = group.column(text_col).cast(pa.large_binary()).to_pylist()
-            checks = group.column("check").to_numpy()
-            keys = group.column("key").to_numpy()
-            block = group.column("block").to_numpy()
-            sets, own, side, seen = [], [], [], set()
-            for s0 in range(0, len(texts), 256):
-                for k, s in enumerate(shingle_sets(texts[s0 : s0 + 256], n), s0):
-                    if len(s) and set_digest(s) == (nodes[k], checks[k]) and keys[k] not in seen:  # rows that share an id may differ in text
-                        seen.add(keys[k])
-                        sets.append(s)
-                        own.append(keys[k])
-                        side.append(block[k])
-            if len(sets) < 2:
-                continue
-            two = group.column("i")[0].as_py() != group.column("j")[0].as_py()
-            links = link_forest(sets, percent, np.array(side) if two else None)
-            yield pa.RecordBatch.from_arrays([pa.array([own[x] for x, _ in links], pa.int64()), pa.array([own[y] for _, y in links], pa.int64())], ["u", "v"])
+        for batch in batches:
+            keep, common = [], []
+            for k, (x, y) in enumerate(zip(columns(batch, "a"), columns(batch, "b"), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                if len(x) > len(y):
+                    x, y = y, x
+                need = -(-percent * (len(x) + len(y)) // (100 + percent))
+                most = len(x) + len(y) - 2 * need
+                if need > len(x) or (len(x) > 64 and suffix_apart(x, y, most) > most):
+                    continue
+                at = np.searchsorted(y, x)
+                at[at == len(y)] = 0
+                same = int(np.count_nonzero(y[at] == x))
+                if same >= need:
+                    keep.append(k)
+                    common.append(same)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([columns(batch, "u").take(at), columns(batch, "v").take(at), pa.array(common, pa.int64())], ["u", "v", "common"])
 
     return run
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, pairwise: int = 64, block_nodes: int = 20_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id): see the module. ``percent``: least 100 * Jaccard of a link.
+class _Join:
+    """The tables that the steps of one join share."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, pairwise: int, star: int, block: int):
+        self.spark = bounded(docs.sparkSession)
+        self.n, self.percent, self.block = n, percent, block
+        self.texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        seen = cut(self.texts.withColumn("text_key", F.xxhash64("text")).mapInArrow(_profile("doc_id", "text", n), "doc_id long, text_key long, n_shingles long, node long, check long, block int, counts binary"), "profile")
+        self.profile = seen.filter("block IS NULL").select("doc_id", "text_key", "n_shingles", "node", "check")
+        sketch = self.spark.sparkContext.broadcast(sketch_of(seen.filter("block IS NOT NULL")))
+        # one row for each distinct set, with the row that gives its text
+        at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+        self.kinds = self.profile.filter("n_shingles > 0").groupBy("node", "check", "n_shingles").agg(F.min(at).alias("at"))
+        postings = self.texts.select("text").mapInArrow(_postings(sketch, "text", n, percent), "h long, node long, size int, place int")
+        found = postings.repartition("h").sortWithinPartitions("h", "size", "node").mapInArrow(_candidates(percent, pairwise, star), "u long, v long, h long, size int, place int")
+        found = cut(found, "candidates")
+        self.lists = found.filter("v IS NULL").select("h", F.col("u").alias("node"), "size", "place")
+        self.pairs = cut(found.filter("v IS NOT NULL").select("u", "v").distinct(), "pairs")
+
+    def members(self, pairs: DataFrame) -> DataFrame:
+        """(vertex, node, check, n_shingles, rep, items) of the classes in ``pairs``. Should two sets share 64 bits of
+        their digests, both go under these in the lists, and are told apart here."""
+        wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+        own = self.kinds.join(wanted, "node").select("node", "check", "n_shingles", F.col("at.doc_id").alias("rep"), F.coalesce("at.doc_id", F.lit(NO_ID)).alias("_id"), F.col("at.text_key").alias("_text"))
+        keyed = self.texts.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("_text"), "text")
+        sets = keyed.join(own.select("_id", "_text").distinct(), ["_id", "_text"]).select("text").mapInArrow(_sets(self.n), "node long, check long, items binary")
+        out = own.drop("_id", "_text").join(sets.dropDuplicates(["node", "check"]), ["node", "check"])
+        nth = F.row_number().over(Window.partitionBy("node").orderBy("check", "n_shingles"))
+        return cut(out.withColumn("vertex", F.when(nth == 1, F.col("node")).otherwise(F.xxhash64("node", "check", "n_shingles"))), "sets")
+
+    def verified(self, pairs: DataFrame, members: DataFrame) -> DataFrame:
+        """(u, v, common) by vertices: the pairs whose sets link, each looked at once."""
+        x = members.select(F.col("node").alias("u"), F.col("vertex").alias("x"), F.col("items").alias("a"))
+        y = members.select(F.col("node").alias("v"), F.col("vertex").alias("y"), F.col("items").alias("b"))
+        both = pairs.join(x.hint("merge"), "u").join(y.hint("merge"), "v").select(F.col("x").alias("u"), F.col("y").alias("v"), "a", "b")
+        return both.mapInArrow(_verify(self.percent), "u long, v long, common long")
+
+    def across(self, component: DataFrame | None) -> DataFrame:
+        """Pairs of longer lists that run across components (node, component); without any, all pairs that pass the filters."""
+        if component is None:
+            rows = self.lists.withColumn("component", F.col("node"))
+        else:
+            rows = self.lists.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        by = rows.groupBy("h", "component").agg(F.count("*").alias("n"))
+        many = by.groupBy("h").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("kinds")).filter("kinds > 1")
+        many = many.select("h", F.col("top.component").alias("most"), F.ceil((F.col("n") - F.col("top.n")) / self.block).cast("int").alias("blocks"))
+        rows = rows.join(many, "h")
+        left = rows.filter("component <> most").select("h", F.pmod(F.hash("node"), "blocks").alias("block"), F.lit(True).alias("left"), "node", "size", "place", "component")
+        right = rows.select("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("left"), "node", "size", "place", "component")
+        dealt = left.unionByName(right).repartition("h", "block").sortWithinPartitions("h", "block", F.col("left").desc())
+        return dealt.mapInArrow(_across(self.percent), "u long, v long").distinct().join(self.pairs, ["u", "v"], "left_anti")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(doc_id, n_shingles, component_id): see the module. Options: ``n`` words of a shingle; ``percent``, the least 100 *
+    Jaccard of a link; ``pairwise``, ``star`` and ``block``, which decide the work and not the result.
 
     A null id takes part in links but is never the least id of a component unless all its ids are null.
     """
-    return _components(docs, id_col, text_col, n, percent, pairwise, block_nodes).drop("text_key")
+    return _components(docs, id_col, text_col, **options).drop("text_key")
 
 
-def _components(docs: DataFrame, id_col: str, text_col: str, n: int = 5, percent: int = 75, pairwise: int = 64, block_nodes: int = 20_000) -> DataFrame:
+def _components(docs: DataFrame, id_col: str, text_col: str, n: int = 5, percent: int = 75, pairwise: int = 4, star: int = 256, block: int = 2_048) -> DataFrame:
     """The same, with a hash of the text that tells rows with the same id apart."""
-    spark = bounded(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    seen = cut(texts.withColumn("text_key", F.xxhash64("text")).mapInArrow(_profile("doc_id", "text", n), "doc_id long, text_key long, n_shingles long, node long, check long, block int, counts binary"), "profile")
-    profile = seen.filter("block IS NULL").select("doc_id", "text_key", "n_shingles", "node", "check")
-    sketch = spark.sparkContext.broadcast(sketch_of(seen.filter("block IS NOT NULL")))
-
-    postings = texts.select("text").mapInArrow(_postings(sketch, "text", n, percent), "h long, node long, size int, place int")
-    edges = cut(postings.repartition("h").sortWithinPartitions("h", "size", "node").mapInArrow(_edges(percent, pairwise), "u long, v long").distinct(), "edges")
-    comps = cut(connected_components(edges, "u", "v"), "candidates")
-
-    # one row for each distinct set; a set that only rows without an id have is told apart by its digest
-    kinds = profile.filter("n_shingles > 0").groupBy("node", "check", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    kinds = kinds.withColumn("key", F.coalesce("rep", "check"))
-    sized = comps.join(comps.groupBy("component").agg(F.count("*").alias("nodes")), "component")
-    member = kinds.join(sized, "node").withColumn("blocks", F.ceil(F.col("nodes") / block_nodes).cast("int")).withColumn("block", F.pmod(F.hash("node"), "blocks"))
-    dealt = (
-        member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "check", "key", F.coalesce("rep", F.lit(NO_ID)).alias("rep"))
-    )
-    found = dealt.join(texts.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("rep"), "text"), "rep")
-    links = found.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "key").mapInArrow(_solve("text", n, percent), "u long, v long")
-    links = cut(links, "links")
+    j = _Join(docs, id_col, text_col, n, percent, pairwise, star, block)
+    members = j.members(j.pairs)
+    links = cut(j.verified(j.pairs, members), "links")
     labels = cut(connected_components(links, "u", "v"), "labels")
-
-    # ids of classes of equal sets, and of the components that links make of them
-    linked = kinds.join(labels.withColumnRenamed("node", "key"), "key", "left")
-    least = linked.filter("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("least"))
-    whole = linked.join(least, "component", "left").select("node", "check", "n_shingles", F.coalesce("least", "rep").alias("class_id"))
+    # lists hold digests, labels vertices: they differ only where two sets share 64 bits, and then nothing is left out
+    more = cut(j.across(labels), "across")
+    further = j.members(more)
+    again = cut(j.verified(more, further), "further")
+    own = lambda k: labels.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
+    bridges = again.join(own("u"), "u", "left").join(own("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+    joined = connected_components(bridges, "u", "v").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    touched = members.drop("items").union(further.drop("items").select(members.drop("items").columns)).distinct()
+    linked = touched.join(labels.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
+    linked = linked.join(joined, "component", "left").withColumn("component", F.coalesce("whole", "component"))
+    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
+    linked = linked.join(least, "component").select("node", "check", "n_shingles", "least")
+    whole = j.kinds.select("node", "check", "n_shingles", F.col("at.doc_id").alias("rep")).join(linked, ["node", "check", "n_shingles"], "left")
+    whole = whole.select("node", "check", "n_shingles", F.coalesce("least", "rep").alias("class_id"))
     return (
-        profile.join(whole, ["node", "check", "n_shingles"], "left")
+        j.profile.join(whole, ["node", "check", "n_shingles"], "left")
         .select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("class_id")).alias("component_id"))
     )
 
 
+def _links(docs: DataFrame, id_col: str, text_col: str, n: int = 5, percent: int = 75, pairwise: int = 4, star: int = 256, block: int = 2_048) -> tuple[_Join, DataFrame, DataFrame]:
+    j = _Join(docs, id_col, text_col, n, percent, pairwise, star, block)
+    pairs = cut(j.pairs.union(j.across(None)), "pairs")
+    members = j.members(pairs)
+    return j, members, cut(j.verified(pairs, members), "links")
+
+
+def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(id_a, id_b, n_a, n_b, common): every link between two different sets, each set by the least id that has it. Its
+    size, unlike that of the components, can grow with the square of a group of near copies."""
+    _, members, links = _links(docs, id_col, text_col, **options)
+    a = members.select(F.col("vertex").alias("u"), F.col("rep").alias("id_a"), F.col("n_shingles").alias("n_a"))
+    b = members.select(F.col("vertex").alias("v"), F.col("rep").alias("id_b"), F.col("n_shingles").alias("n_b"))
+    out = links.join(a, "u").join(b, "v")
+    turn = F.col("id_b") < F.col("id_a")
+    pick = lambda x, y: F.when(turn, F.col(y)).otherwise(F.col(x))
+    return out.select(pick("id_a", "id_b").alias("id_a"), pick("id_b", "id_a").alias("id_b"), pick("n_a", "n_b").alias("n_a"), pick("n_b", "n_a").alias("n_b"), "common")
+
+
+def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(doc_id, n_shingles, n_links): the other rows that each row links to, copies included."""
+    j, members, links = _links(docs, id_col, text_col, **options)
+    size = j.profile.filter("n_shingles > 0").groupBy("node", "check", "n_shingles").agg(F.count("*").alias("copies"))
+    sized = members.select("vertex", "node", "check", "n_shingles").join(size, ["node", "check", "n_shingles"])
+    both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    far = both.join(sized.select(F.col("vertex").alias("v"), "copies"), "v").groupBy("u").agg(F.sum("copies").alias("far"))
+    far = sized.join(far, F.col("vertex") == F.col("u")).select("node", "check", "n_shingles", "far")
+    out = j.profile.join(size, ["node", "check", "n_shingles"], "left").join(far, ["node", "check", "n_shingles"], "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, 0).otherwise(F.col("copies") - 1 + F.coalesce("far", F.lit(0))).cast("long").alias("n_links"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose id is the least of their component. Of rows that share id and text one stays; rows
-    without an id stay unless a row with one is linked to them."""
+    without an id stay unless a row with one is linked to them. All columns of ``docs`` go along as they are."""
     comps = _components(docs, id_col, text_col, **options)
     ids = comps.filter("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_key").alias("_text")).distinct()
-    keyed = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("_text", F.xxhash64(text_col))
-    return keyed.join(ids, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]).select(*docs.columns)
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text_col).alias("_text"), F.struct(*docs.columns).alias("_row"))
+    return keyed.join(ids, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]).select("_row.*")

@@ -56,7 +56,7 @@ def corpus(seed):
     return [*texts, texts[0].upper(), None, "", " \n", "one", "One", "one two three", "one two three"]
 
 
-@pytest.mark.parametrize("options", [{}, {"pairwise": 2}, {"block_nodes": 7}, {"percent": 50}])
+@pytest.mark.parametrize("options", [{}, {"pairwise": 64}, {"pairwise": 1, "star": 3, "block": 2}, {"percent": 50}])
 def test_components_match_brute_force(spark, options):
     want = check(spark, corpus(len(str(options))), **options)
     assert len({c for _, c in want.values()}) < len(want) - 20
@@ -90,17 +90,43 @@ def test_odd_ids_and_keep_one(spark):
     assert nj.jaccard_components(df.limit(0)).count() == 0
 
 
+def linked(sets, percent=75):
+    return {(i, j) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if x and y and 100 * (k := len(x & y)) >= percent * (len(x) + len(y) - k)}
+
+
+@pytest.mark.parametrize("options", [{}, {"pairwise": 1, "star": 4, "block": 3}])
+def test_every_link_and_their_counts(spark, options):
+    texts = corpus(5)[:90] + ["one two three", "one two three", None]
+    sets = sets_of(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    pairs = linked(sets)
+    first = {frozenset(s): i for i, s in reversed(list(enumerate(sets)))}
+    want = {(a, b, len(sets[a]), len(sets[b]), len(sets[a] & sets[b])) for i, j in pairs if sets[i] != sets[j] for a, b in [sorted((first[frozenset(sets[i])], first[frozenset(sets[j])]))]}
+    got = [tuple(r) for r in nj.similar_pairs(df, **options).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 10
+    counts = {r.doc_id: r.n_links for r in nj.link_counts(df, **options).collect()}
+    assert counts == {i: sum(i in p for p in pairs) for i in range(len(texts))}
+
+
+def test_a_chain_through_rows_that_share_an_id(spark):
+    words = [f"x{k}" for k in range(140)]
+    rows = [(i, " ".join(words[6 * k : 6 * k + 90])) for k, i in enumerate((1, 5, 6, 5, 2))]
+    assert {r.component_id for r in nj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1}
+
+
+def test_columns_of_any_name_go_along(spark):
+    text = " ".join(f"t{k}" for k in range(30))
+    df = spark.createDataFrame([(1, text, 11, "a", 3, "n"), (2, text, 12, "b", 4, "m")], "doc_id long, text string, _id int, _text string, _row int, node string")
+    assert [tuple(r) for r in nj.keep_one(df).collect()] == [(1, text, 11, "a", 3, "n")]
+
+
 @pytest.mark.parametrize("after", [1, 2, 5])
-def test_the_rest_of_a_hot_shingle_joins_its_chain(after):
+def test_the_rest_of_a_long_list_stays_with_it(after):
     import pyarrow as pa
 
-    # the held row's place fails the positional filter; the rows after it pass it with earlier ones
-    rows = [(7, k, 100, 20 if k == 16 else 0) for k in range(17 + after)]
-    rows += [(8, 90, 100, 0), (8, 91, 100, 0)]
+    rows = [(6, 70, 100, 0), (6, 71, 100, 0)] + [(7, k, 100, 20 if k == 16 else 0) for k in range(17 + after)] + [(8, 90, 100, 0), (8, 91, 100, 0)]
     batch = lambda part: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*part, strict=True)], ["h", "node", "size", "place"])
-    out = list(nj._edges(75, 4, held_most=16)(iter([batch(rows[:17]), batch(rows[17:])])))
-    links = [p for b in out for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-    up = nj.Forest()
-    for u, v in links:
-        up.join(u, v)
-    assert {up.root(k) for k in range(17 + after)} == {0} and up.root(91) == up.root(90) == 90
+    out = [r for b in nj._candidates(75, 4, 256, held_most=16)(iter([batch(rows[:19]), batch(rows[19:])])) for r in b.to_pylist()]
+    pairs = {(r["u"], r["v"]) for r in out if r["v"] is not None}
+    assert {(70, 71), (90, 91)} <= pairs and {r["u"] for r in out if r["v"] is None} == set(range(17 + after))
+    assert {(0, k) for k in range(1, 17 + after) if k != 16} <= pairs  # the centre goes on as the next part's first row
