@@ -329,16 +329,16 @@ class _Join:
         self.lists = found.filter("v IS NULL").select("h", F.col("u").alias("node"), "size", "place")
         self.pairs = cut(found.filter("v IS NOT NULL").select("u", "v").distinct(), "pairs")
 
-    def members(self, pairs: DataFrame) -> DataFrame:
-        """(vertex, node, check, n_shingles, rep, items) of the classes in ``pairs``. Should two sets share 64 bits of
-        their digests, both go under these in the lists, and are told apart here."""
-        wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    def members(self) -> DataFrame:
+        """(vertex, node, check, n_shingles, rep, items) of the classes that have a pair or are in a longer list. Should two
+        sets share 64 bits of their digests, both go under these in the lists, and are told apart here."""
+        wanted = self.pairs.select(F.col("u").alias("node")).union(self.pairs.select("v")).union(self.lists.select("node")).distinct()
         own = self.kinds.join(wanted, "node").select("node", "check", "n_shingles", F.col("at.doc_id").alias("rep"), F.coalesce("at.doc_id", F.lit(NO_ID)).alias("_id"), F.col("at.text_key").alias("_text"))
-        keyed = self.texts.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("_text"), "text")
-        sets = keyed.join(own.select("_id", "_text").distinct(), ["_id", "_text"]).select("text").mapInArrow(_sets(self.n), "node long, check long, items binary")
-        out = own.drop("_id", "_text").join(sets.dropDuplicates(["node", "check"]), ["node", "check"])
         nth = F.row_number().over(Window.partitionBy("node").orderBy("check", "n_shingles"))
-        return cut(out.withColumn("vertex", F.when(nth == 1, F.col("node")).otherwise(F.xxhash64("node", "check", "n_shingles"))), "sets")
+        own = cut(own.withColumn("vertex", F.when(nth == 1, F.col("node")).otherwise(F.xxhash64("node", "check", "n_shingles"))), "classes")
+        keyed = self.texts.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("_text"), "text")
+        sets = keyed.join(own.select("_id", "_text").distinct(), ["_id", "_text"], "left_semi").select("text").mapInArrow(_sets(self.n), "node long, check long, items binary")
+        return cut(own.drop("_id", "_text").join(sets.dropDuplicates(["node", "check"]), ["node", "check"]), "sets")
 
     def verified(self, pairs: DataFrame, members: DataFrame) -> DataFrame:
         """(u, v, common) by vertices: the pairs whose sets link, each looked at once."""
@@ -375,18 +375,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def _components(docs: DataFrame, id_col: str, text_col: str, n: int = 5, percent: int = 75, pairwise: int = 4, star: int = 256, block: int = 2_048) -> DataFrame:
     """The same, with a hash of the text that tells rows with the same id apart."""
     j = _Join(docs, id_col, text_col, n, percent, pairwise, star, block)
-    members = j.members(j.pairs)
+    members = j.members()
     links = cut(j.verified(j.pairs, members), "links")
     labels = cut(connected_components(links, "u", "v"), "labels")
     # lists hold digests, labels vertices: they differ only where two sets share 64 bits, and then nothing is left out
     more = cut(j.across(labels), "across")
-    further = j.members(more)
-    again = cut(j.verified(more, further), "further")
+    again = cut(j.verified(more, members), "further")
     own = lambda k: labels.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
     bridges = again.join(own("u"), "u", "left").join(own("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
     joined = connected_components(bridges, "u", "v").select(F.col("node").alias("component"), F.col("component").alias("whole"))
-    touched = members.drop("items").union(further.drop("items").select(members.drop("items").columns)).distinct()
-    linked = touched.join(labels.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
+    linked = members.drop("items").join(labels.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
     linked = linked.join(joined, "component", "left").withColumn("component", F.coalesce("whole", "component"))
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))
     linked = linked.join(least, "component").select("node", "check", "n_shingles", "least")
@@ -401,7 +399,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, n: int = 5, percent
 def _links(docs: DataFrame, id_col: str, text_col: str, n: int = 5, percent: int = 75, pairwise: int = 4, star: int = 256, block: int = 2_048) -> tuple[_Join, DataFrame, DataFrame]:
     j = _Join(docs, id_col, text_col, n, percent, pairwise, star, block)
     pairs = cut(j.pairs.union(j.across(None)), "pairs")
-    members = j.members(pairs)
+    members = j.members()
     return j, members, cut(j.verified(pairs, members), "links")
 
 
