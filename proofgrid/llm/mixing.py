@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofgrid.llm.common import SPACE, WORD
+from proofgrid.llm.common import SPACE, WORD, row_of
 
 WEIGHTS = (5, 2, 1)
 #: Knots of the schedules, taken in turn like the weights: falling, level and rising.
@@ -71,7 +71,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     """
     mark = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    own = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *([F.struct(*docs.columns).alias("row")] if whole else [])]
+    own = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *([row_of(docs).alias("row")] if whole else [])]
     thin = docs.select(*own, size.alias("_size"), F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")).alias("_key"), mark.alias("_mark"))
     thin = thin.withColumn("_bucket", F.substring("_mark", 1, 3)).repartition("_key", "_bucket")
     part = thin.groupBy("_key", "_bucket").agg(F.sum("_size").alias("_words"), F.first("source", ignorenulls=True).alias("_source"))
@@ -120,7 +120,7 @@ def occurrences(docs: DataFrame, text_col: str = "text", **options) -> DataFrame
     own = F.col("row")[text_col]
     text = F.when(F.col("_words") == F.col("size"), own).otherwise(first_words(own, F.col("_words")))
     columns = [text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
-    return out.orderBy("_at", "_pass").select(*columns)
+    return out.orderBy("_at", "_pass", F.xxhash64("doc_id", own), "row").select(*columns)
 
 
 SQL = f"""

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofgrid.llm.common import bounded, chunks, columns, cut
+from proofgrid.llm.common import bounded, chunks, columns, cut, row_of
 from proofgrid.llm.kernels import U, mixed, shingle_sets
 from proofgrid.operators.components import connected_components
 
@@ -432,5 +432,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     without an id stay unless a row with one is linked to them. All columns of ``docs`` go along as they are."""
     comps = _components(docs, id_col, text_col, **options)
     ids = comps.filter("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_key").alias("_text")).distinct()
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text_col).alias("_text"), F.struct(*docs.columns).alias("_row"))
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text_col).alias("_text"), row_of(docs).alias("_row"))
     return keyed.join(ids, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]).select("_row.*")

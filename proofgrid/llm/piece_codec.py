@@ -1,7 +1,8 @@
 """SentencePiece (BPE) encoding and decoding by suffix-array matching.
 
-A chunk's texts are split where no piece can cross, and the distinct segments that are not known yet are
-concatenated and indexed by a suffix array (sorted as far as the longest piece reaches). Every piece is
+A batch's texts (2 MB) are split where no piece can cross; of segments that repeat in the batch one stands for
+all, and the batch's segments are concatenated and indexed by a suffix array (sorted as far as the longest piece
+reaches). Every piece is
 binary-searched for its range of occurrences; the ranges give edges (start, length, rank), which are sorted
 by position. The edges are then relaxed as the BPE model asks: in each round, every segment contracts its
 edge of best rank (the leftmost of equals) that joins two neighbouring symbols, until none is left. Results
@@ -9,7 +10,7 @@ are those of the model's own library; characters that are no piece fall back to
 
 The vocabulary's file is a parameter; it must have an identity normaliser, escaped white space, a dummy
 prefix and byte fallback. Null texts give null ids, empty ones none; decoding gives null back for null.
-Columns other than the id and the text are ignored; rows may repeat.
+All other columns go along; rows may repeat.
 """
 
 from __future__ import annotations
@@ -19,20 +20,19 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from proofgrid.llm.common import bounded, chunks, columns
+from proofgrid.llm.common import bounded, chunks, columns, free_name
 
 MARK = "▁"
 #: Segments of more characters than this are contracted with a heap rather than in rounds.
 LONG = 64
-#: Segments whose ids a task remembers.
-REMEMBERED = 300_000
 _SPAN = 64  # above the longest piece in bytes
 
 
@@ -75,7 +75,6 @@ class Codec:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.pieces = [sp.id_to_piece(i) for i in range(sp.vocab_size())]
-        self.known: dict[str, tuple[int, ...]] = {}
         special = {i for i in range(len(self.pieces)) if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)}
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if sp.is_byte(i)}
         self.blank = special
@@ -136,8 +135,11 @@ class Codec:
         edge.sort()
         return edge >> 20, edge & ((1 << 20) - 1)
 
-    def _learn(self, segments: list[str]) -> None:
-        """Ids of new segments."""
+    def _learn(self, segments: list[str]) -> dict[str, tuple[int, ...]]:
+        """The ids of each segment."""
+        known: dict[str, tuple[int, ...]] = {}
+        if not segments:
+            return known
         raw = [s.encode() for s in segments]
         buf = np.frombuffer(b"\xff".join(raw) + b"\xff", np.uint8)
         key, rank = self.edges(buf)
@@ -208,12 +210,13 @@ class Codec:
         flat = list(map(self.own.__getitem__, ids.tolist()))
         for i, s in enumerate(segments):
             if i not in spelled:
-                self.known[s] = tuple(flat[bounds[i] : bounds[i + 1]])
+                known[s] = tuple(flat[bounds[i] : bounds[i + 1]])
                 continue
             out: list[int] = []
             for k in range(bounds[i], bounds[i + 1]):
                 out.extend([flat[k]] if ids[k] >= 0 else [self.bytes[b] for b in data[start[k] : end[k]]])
-            self.known[s] = tuple(out)
+            known[s] = tuple(out)
+        return known
 
     def _tied(self, rank: np.ndarray) -> np.ndarray:
         return self.tie[np.where(rank < len(self.tie), rank, 0)]
@@ -249,29 +252,16 @@ class Codec:
         return start[stay], end[stay]
 
     def encode(self, texts: list[str | None]) -> list[list[int] | None]:
-        """Ids of each text."""
-        known, out, late = self.known, [], []
+        """Ids of each text. The batch is indexed anew: no ids are kept from one call to the next."""
         tracked = gc.isenabled()
         gc.disable()  # millions of strings and tuples without cycles
         try:
-            for i, t in enumerate(texts):
-                parts = self.split.findall(MARK + t.replace(" ", MARK)) if t else ()
-                found = list(map(known.get, parts))
-                if None in found:
-                    late.append((i, parts, found))
-                    out.append(None)
-                else:
-                    out.append(None if t is None else list(chain.from_iterable(found)))
-            if late:
-                self._learn(sorted({p for _, parts, found in late for p, f in zip(parts, found, strict=True) if f is None}))
-                for i, parts, _ in late:
-                    out[i] = list(chain.from_iterable(map(known.__getitem__, parts)))
-            if len(known) > REMEMBERED:  # the first seen hold the frequent ones
-                self.known = dict(islice(known.items(), REMEMBERED // 2))
+            parts = [self.split.findall(MARK + t.replace(" ", MARK)) if t else () for t in texts]
+            known = self._learn(sorted(set(chain.from_iterable(parts))))
+            return [None if t is None else list(chain.from_iterable(map(known.__getitem__, p))) for t, p in zip(texts, parts, strict=True)]
         finally:
             if tracked:
                 gc.enable()
-        return out
 
     def decode(self, ids: list[list[int] | None]) -> list[str | None]:
         """Texts of ids: the dummy prefix goes, bytes that form no character become U+FFFD."""
@@ -303,42 +293,38 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _encode(model_file: str):
+def _encode(model_file: str, text_col: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_file)
-        for rows, texts in chunks(batches):
+        for rows, texts in chunks(batches, text_col):
             ids = own.encode([t if t is None else t.decode("utf-8", "replace") for t in texts])
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(ids, pa.list_(pa.int32()))], [*rows.schema.names, "ids"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(ids, pa.list_(pa.int32()))], [*rows.schema.names, name])
 
     return run
 
 
-def _decode(model_file: str):
+def _decode(model_file: str, ids_col: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_file)
         for batch in batches:
             for s in range(0, batch.num_rows, 512):
                 rows = batch.slice(s, 512)
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(own.decode(columns(rows, "ids").to_pylist()), pa.string())], [*rows.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(own.decode(columns(rows, ids_col).to_pylist()), pa.string())], [*rows.schema.names, name])
 
     return run
 
 
 def encode(docs: DataFrame, text_col: str = "text", model_file: str | None = None) -> DataFrame:
-    """``docs`` with the column ids (array of int; null for a null text)."""
+    """``docs`` with the column ids (array of int; null for a null text), named ids_ if ``docs`` has ids of its own."""
     bounded(docs.sparkSession)
-    kept = docs.drop("ids")
-    plain = kept.withColumnRenamed(text_col, "text") if text_col != "text" else kept
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
-    out = plain.mapInArrow(_encode(model_file or default_model()), f"{fields}, ids array<int>")
-    return out.withColumnRenamed("text", text_col) if text_col != "text" else out
-
-
-def decode(encoded: DataFrame, model_file: str | None = None) -> DataFrame:
-    """``encoded``, which has the column ids, with the column decoded."""
-    kept = encoded.drop("decoded")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(_decode(model_file or default_model()), f"{fields}, decoded string")
+    name = free_name(docs, "ids")
+    return docs.mapInArrow(_encode(model_file or default_model(), text_col, name), T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))]))
+
+
+def decode(encoded: DataFrame, model_file: str | None = None, ids_col: str = "ids") -> DataFrame:
+    """``encoded``, which has the column ``ids_col``, with the column decoded (decoded_ if it has one of its own)."""
+    name = free_name(encoded, "decoded")
+    return encoded.mapInArrow(_decode(model_file or default_model(), ids_col, name), T.StructType([*encoded.schema.fields, T.StructField(name, T.StringType())]))
 
 
 def _digest(model_file: str):

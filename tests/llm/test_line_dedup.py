@@ -1,3 +1,5 @@
+import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -20,15 +22,15 @@ def brute(rows, depth=3, alike=0.8, least=3):
         leaves[len(words), words[:depth]].append((key, idx, words))
     drop, again = defaultdict(set), []
     for own in leaves.values():
-        constants = [next((w for w, n in Counter(x[2][p] for x in own).items() if 2 * n > len(own)), None) for p in range(len(own[0][2]))]
-        kinds = {x[2] for x in own}
         templates = defaultdict(list)
+        joined = joins(own, depth, alike) if len({x[0] for x in own}) > 1 else {}
         for key, idx, words in own:
-            hits = sum(a == b for a, b in zip(words, constants, strict=True))
-            templates[None if len(kinds) == 1 or hits >= alike * len(words) else words].append((key, idx, words))
+            while words in joined:
+                words = joined[words]
+            templates[words].append((key, idx, len(words)))
         for found in templates.values():
             first = min(found)[0]
-            again += [(key, idx, len(words), first) for key, idx, words in found if key != first]
+            again += [(key, idx, n, first) for key, idx, n in found if key != first]
     size, taken = Counter(), Counter()
     for key, _, words in lines:
         size[key] += len(words)
@@ -44,6 +46,35 @@ def brute(rows, depth=3, alike=0.8, least=3):
     return drop
 
 
+def joins(own, depth, alike, rounds=2):
+    """{words: lead's words} of one leaf, every line against every lead."""
+    times = Counter(x[2] for x in own)
+    rank = lambda w: (times[w], hashlib.md5(" ".join(w).encode()).digest())
+    n = len(own[0][2])
+    apart = n - math.ceil(alike * n)
+    if not apart:
+        return {}
+    edge = [depth + (n - depth) * j // (apart + 1) for j in range(apart + 2)]
+    lists = defaultdict(set)
+    for w in times:
+        for j in range(apart + 1):
+            lists[j, w[edge[j] : edge[j + 1]]].add(w)
+    out = {}
+    for _ in range(rounds):
+        near = {}
+        for band in lists.values():
+            if len(band) > 1:
+                lead = max(band, key=rank)
+                for w in band - {lead}:
+                    if sum(a == b for a, b in zip(w, lead, strict=True)) >= alike * n:
+                        near[w] = max(near.get(w, lead), lead, key=rank)
+                band.discard(lead)
+        out |= near
+        for band in lists.values():
+            band -= near.keys()
+    return out
+
+
 def check(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted(dedup_lines(df).collect(), key=repr)
@@ -89,8 +120,22 @@ def test_templates_copies_and_odd_rows(spark):
 
 def test_empty_table_and_clashing_columns(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-    df = spark.createDataFrame([(1, "a b c", 5, 6)], "doc_id long, text string, n_lines int, k int")
-    assert dedup_lines(df).first().n_lines == 1
+    rows = [(i, f"shared footer line here\nown {'abc'[i]} x y and more words than the line that all share", 7 + i, 8, "o", "k", "d", "r") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, N_DROPPED int, o string, K string, drop string, row string")
+    got = sorted(tuple(r) for r in dedup_lines(df).collect())
+    assert got == [(*rows[0], 2, 0), *((i, rows[i][1].split("\n")[1], *rows[i][2:], 2, 1) for i in (1, 2))]
+    assert dedup_lines(df).columns[-2:] == ["n_lines_", "n_dropped_"]
+
+
+def test_a_leaf_holds_several_templates(spark):
+    one = lambda w: f"sent from my phone by {w} on the way to work today"
+    two = lambda w: f"sent from my desk while {w} was reading all of those letters"
+    three = lambda w: f"sent from my garden where {w} grows tall beside seven old walls"
+    names = ["Ann", "Bob", "Cyd", "Dan", "Eve"]
+    assert len({len(f(n).split()) for f in (one, two, three) for n in names}) == 1
+    lines = [f(n) for f, m in ((one, 5), (two, 4), (three, 3)) for n in names[:m]] + ["sent from my own house no line is like this one here"]
+    got = check(spark, [(i, f"{x}\ntext that {'abcdefghijklmnop'[i] * 9} alone has of its own, and it goes on for more than twenty words so that no other line makes half of it") for i, x in enumerate(lines)])
+    assert sorted(r.doc_id for r in got if not r.n_dropped) == [0, 5, 9, 12]
 
 
 def test_a_long_line_of_short_documents_is_no_copy(spark):

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_line_dedup import brute as lines_brute
@@ -87,3 +88,16 @@ def test_empty_tables(spark, folder, tmp_path):
         spark.read.parquet(f"{root}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() == 0 and {"doc_id", "text", "ids"} <= set(out.columns)
+
+
+def test_columns_of_any_name_survive(spark, folder, tmp_path):
+    root, texts, *_ = folder
+    names = ("o", "K", "drop", "_id", "_text", "ids", "n_tokens", "n_dropped", "N_LINES", "row", "node", "size", "taken", "target", "words", "body")
+    docs = spark.read.parquet(f"{root}/documents.parquet").filter("doc_id < 40 OR doc_id BETWEEN 400 AND 406")
+    docs = docs.select("*", *((F.col("doc_id") * 10 + i).alias(n) for i, n in enumerate(names))).union(docs.filter("doc_id = 3").select("*", *(F.lit(None).cast("long") for _ in names)).withColumn("doc_id", F.lit(None).cast("long")))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{root}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(rows) > 20 and None not in {r.doc_id for r in rows}
+    for r in rows:
+        assert [r[n] for n in names] == [r.doc_id * 10 + i for i in range(len(names))] and len(r.ids_) == r.n_tokens_
