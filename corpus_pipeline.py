@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofgrid.llm import line_dedup, mixing, ngram_join, piece_codec, quality_rules
-from proofgrid.llm.common import WORD, cut, table
+from proofgrid.llm.common import WORD, cut, free_name, table
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -21,8 +21,8 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without recurring lines; a document that consisted of such lines alone goes."""
-    out = line_dedup.dedup_lines(docs, link=line_dedup.LINK, least_words=1).filter(F.expr("n_dropped = 0") | F.col("text").rlike(WORD))
-    return _measured(out.select(*docs.columns))
+    out = line_dedup.dedup_lines(docs, link=line_dedup.LINK, least_words=1)
+    return _measured(out.filter((F.col(out.columns[-1]) == 0) | F.col("text").rlike(WORD)).select(*docs.columns))
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their token ids."""
-    return piece_codec.encode(docs).withColumn("n_tokens", F.size("ids").cast("long"))
+    """The documents with their token ids and how many these are (ids and n_tokens; with an underscore after a name that
+    is taken)."""
+    out = piece_codec.encode(docs)
+    return out.withColumn(free_name(out, "n_tokens"), F.size(out.columns[-1]).cast("long"))
 
 
 STAGES = [
