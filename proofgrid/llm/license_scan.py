@@ -5,8 +5,10 @@ Words are runs of ASCII letters, digits and other bytes above 127, A-Z lower-cas
 words every window is one, of so few words that one survives as many changed words as a match may have and an
 inserted word besides. An inverted index leads from a fingerprint to (template, place). Every window of a text is looked up; hits on near diagonals make a candidate,
 which is aligned with its template in a band around the diagonal (longest common subsequence of words). A match
-is reported if it covers enough of the template: its share of the template's words, and its span in the text.
-Of matches of one template whose spans overlap, the one with the most words stays, then the first.
+is reported if it covers enough of the template (its share of the template's words, with its span in the text) and
+its span holds the template's key: the words that tell it from its relatives (a version, a variant), in a row and
+unchanged. A template without a key has no such words. Of matches whose spans overlap, the one with the most words
+stays, then the one with the larger coverage, then the first, so that a span has its best template only.
 
 The index is built from the templates alone and goes to each task with the code; texts are scanned whole, in
 one pass without a shuffle. Null texts and texts without words have no rows. A text that repeats is reported
@@ -16,6 +18,7 @@ for each row. The id may be null or repeated; other columns are ignored.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from proofgrid.llm.common import bounded, chunks, columns
 from proofgrid.llm.kernels import Words
-from proofgrid.llm.licenses import TEMPLATES
+from proofgrid.llm.licenses import KEYS, TEMPLATES
 
 GRAM = 3
 WINNOW = 4
@@ -41,8 +44,10 @@ def _words(texts: list[bytes | None]) -> Words:
 class Index:
     """Templates' words and their fingerprints."""
 
-    def __init__(self, templates: dict[str, str], least: float = 0.75):
+    def __init__(self, templates: dict[str, str], least: float = 0.75, keys: dict[str, str] | None = None):
         self.names = list(templates)
+        own = _words([(keys or {}).get(n, "").encode() for n in self.names])
+        self.keys = [own.hash[a:b] for a, b in zip(own.first[:-1], own.first[1:], strict=True)]
         w = _words([templates[n].encode() for n in self.names])
         self.words = [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
         if any(len(x) < GRAM for x in self.words):
@@ -109,37 +114,49 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> l
     return pairs[::-1]
 
 
+def holds(text: np.ndarray, key: np.ndarray) -> bool:
+    """Whether the words of ``key`` stand in a row in ``text``."""
+    n = len(text) - len(key) + 1
+    if n <= 0:
+        return not len(key)
+    hit = np.ones(n, bool)
+    for k, w in enumerate(key):
+        hit &= text[k : k + n] == w
+    return bool(hit.any())
+
+
 def find(index: Index, text: np.ndarray, hits: list[tuple[int, int, int]], least: float) -> list[tuple[int, int, int, int]]:
     """(template, matched words, first and last matched text word) of each match in a text's words."""
-    out = []
-    for t in sorted({h[0] for h in hits}):
+    by_template: dict[int, set[int]] = {}
+    for t, at, place in hits:
+        by_template.setdefault(t, set()).add(at - place)
+    found = []
+    for t, own in by_template.items():
         words = index.words[t]
         band = 4 + len(words) // 10
-        diagonals = sorted({at - place for who, at, place in hits if who == t})
-        starts, tried = [], None
-        for d in diagonals:
-            if tried is None or d - tried > band:
-                starts.append(d)
-                tried = d
-        found = []
-        for d in starts:
-            near = [x for x in diagonals if d <= x <= d + band]
-            mid = near[len(near) // 2]
-            if np.isin(words, text[max(0, mid - band) : max(0, mid + band + len(words))]).sum() < least * len(words):
-                continue  # too few of its words stand there
-            if pairs := align(words, text, mid, band):
-                if len(pairs) >= least * len(words):
-                    found.append((len(pairs), pairs[0][1], pairs[-1][1]))
-        taken: list[tuple[int, int]] = []
-        for n, a, b in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-            if all(b < x or a > y for x, y in taken):
-                taken.append((a, b))
-                out.append((t, n, a, b))
+        diagonals = np.array(sorted(own))
+        s = 0
+        while s < len(diagonals):
+            e = int(np.searchsorted(diagonals, diagonals[s] + band, side="right"))
+            mid = int(diagonals[(s + e) // 2])
+            s = e
+            near = text[max(0, mid - band) : max(0, mid + band + len(words))]
+            if np.isin(words, near).sum() < least * len(words) or not holds(near, index.keys[t]):
+                continue  # too few of its words stand there, or not its key
+            if (pairs := align(words, text, mid, band)) and len(pairs) >= least * len(words) and holds(text[pairs[0][1] : pairs[-1][1] + 1], index.keys[t]):
+                found.append((len(pairs), t, pairs[0][1], pairs[-1][1]))
+    out, begins, ends = [], [], []  # the spans that stay are apart: sorted by begin they are sorted by end
+    for n, t, a, b in sorted(found, key=lambda x: (-x[0], -x[0] / len(index.words[x[1]]), x[2], x[1])):
+        k = bisect_left(begins, a)
+        if (k == 0 or ends[k - 1] < a) and (k == len(begins) or begins[k] > b):
+            begins.insert(k, a)
+            ends.insert(k, b)
+            out.append((t, n, a, b))
     return sorted(out, key=lambda x: (x[2], x[0]))
 
 
-def _scan(templates: dict[str, str], least: float):
-    index = Index(templates, least)
+def _scan(templates: dict[str, str], least: float, keys: dict[str, str]):
+    index = Index(templates, least, keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in chunks(batches):
@@ -165,10 +182,10 @@ def _scan(templates: dict[str, str], least: float):
     return run
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, least: float = 0.75) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, least: float = 0.75, keys: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, license, matched_words, template_words, start, stop, coverage) of every match that covers ``least`` of
-    its template; start and stop count characters."""
+    its template; start and stop count characters. ``keys``: of ``templates``; those of the own ones without any."""
     bounded(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scan(templates or TEMPLATES, least), f"doc_id {kind}, license string, matched_words long, template_words long, start long, stop long")
+    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scan(templates or TEMPLATES, least, KEYS if keys is None else keys), f"doc_id {kind}, license string, matched_words long, template_words long, start long, stop long")
     return out.withColumn("coverage", F.col("matched_words") / F.col("template_words"))
