@@ -64,6 +64,17 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def shared_join(rows: DataFrame, few: DataFrame, keys: list[str], times: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``few``, which has one row for each of ``keys`` and the number of ``rows`` that have it.
+
+    Keys with a thousandth of ``total`` or more, of which there are 1,000 at most, go by broadcast; so no task gets all
+    rows of such a key. ``few`` is read three times and should be a table.
+    """
+    hot = F.broadcast(few.filter(F.col(times) * 1000 >= total))
+    rest = few.filter(F.col(times) * 1000 < total)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(keys), keys, "left_anti").join(rest, keys))
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Slices of the batches whose texts hold at most ``limit`` bytes together, with the texts as UTF-8."""
     for batch in batches:

@@ -7,7 +7,8 @@ offsets, and only suffixes at anchors (about 1 in 85 bytes) need to meet:
 
 1. ``anchors``: rows of an anchor's hash and a digest of its surroundings (the bytes that windows with it can
    hold); hashes that occur once are dropped after a count with partial sums. Where hash and digest (128 bits
-   together) agree, all surroundings are covered whole, and one of them stands for the others.
+   together) agree, all surroundings are covered whole, and one of them stands for the others. These bytes are not
+   compared again: digests of 128 bits are taken for the bytes.
 2. Texts send the bytes around their other anchors whose hash has surroundings of several kinds.
 3. Surroundings that share an anchor are suffix-sorted rightwards and leftwards from it: prefix polynomial
    hashes and binary search give common extensions, so a comparison in the mergesort takes a logarithmic
@@ -29,15 +30,17 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofgrid.llm.common import bounded, chunks, columns, cut
+from proofgrid.llm.common import bounded, chunks, columns, cut, shared_join
 from proofgrid.llm.kernels import U, mixed, prefix_hash, span_hash
 
 STEP = 8
 #: A text beyond this many bytes is searched for anchors in pieces.
 PIECE = 8 << 20
+#: Bits of a place in a buffer, which holds fewer than 2 * PIECE + 1,000 bytes.
+PLACE_BITS = U(25)
 
 
 def _slide_min(v: np.ndarray, w: int) -> np.ndarray:
@@ -66,8 +69,8 @@ def anchors(texts: list[bytes | None], length: int, gram: int) -> tuple[np.ndarr
         prefix = prefix_hash(buf)
         at = np.arange(len(buf) - gram + 1)
         h = mixed(span_hash(prefix, at, at + gram))
-        bits = U(int(len(buf)).bit_length())
-        low = (U(1) << bits) - U(1)
+        # ties of the leading bits go by place: as many bits for every buffer, so that equal windows choose alike
+        low = (U(1) << PLACE_BITS) - U(1)
         least = _slide_min((h & ~low) | at.astype(np.uint64), length - gram + 1)
         keep = np.zeros(len(buf), bool)
         for b, e in zip(begins, ends, strict=True):
@@ -406,12 +409,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bounded(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("k1"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("k2"))
     found = cut(texts.select("text", "k1", "k2").mapInArrow(_send_anchors(length, gram), "h long, d long, k1 long, k2 long, n int"), "anchors")
-    again = found.groupBy("h").agg(F.sum("n").alias("times")).filter("times > 1").select("h")
-    # all windows run in the partitions of the join on h: equal surroundings first, then their kinds
-    same, ranked, shared = Window.partitionBy("h", "d"), Window.partitionBy("h", "d").orderBy("k1", "k2"), Window.partitionBy("h")
-    placed = found.join(again, "h").withColumn("known", F.sum("n").over(same) > 1).withColumn("first", F.row_number().over(ranked) == 1)
-    placed = placed.withColumn("kinds", F.sum(F.col("first").cast("int")).over(shared)).withColumn("send", F.col("first") & (F.col("kinds") > 1)).filter("known OR send")
-    wanted = placed.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "d", "known", "send", (F.col("kinds") > hot).alias("hot"))).alias("wanted"))
+    # counts by hash, then by hash and digest, all with partial sums; what many rows share joins by broadcast
+    times = found.groupBy("h").agg(F.sum("n").alias("times")).filter("times > 1")
+    total = found.agg(F.sum("n")).first()[0] or 0
+    live = cut(shared_join(found, cut(times, "times"), ["h"], "times", total).drop("times"), "live")
+    kinds = cut(live.groupBy("h", "d").agg(F.sum("n").alias("times"), F.min(F.struct("k1", "k2")).alias("first")), "kinds")
+    kinds = kinds.join(kinds.groupBy("h").agg(F.count("*").alias("kinds")), "h").filter("times > 1 OR kinds > 1")
+    kinds = cut(kinds.select("h", "d", "times", "first", (F.col("kinds") > 1).alias("several"), (F.col("kinds") > hot).alias("hot")), "kinds")
+    known = shared_join(live, kinds.filter("times > 1"), ["h", "d"], "times", total)
+    known = known.select("k1", "k2", "h", "d", F.lit(True).alias("known"), (F.col("several") & (F.struct("k1", "k2") == F.col("first"))).alias("send"), "hot")
+    alone = kinds.filter("times = 1").select("first.k1", "first.k2", "h", "d", F.lit(False).alias("known"), F.lit(True).alias("send"), "hot")
+    wanted = known.unionByName(alone).groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "d", "known", "send", "hot")).alias("wanted"))
     # doc_id goes along unused, so that both joins of the texts read one exchange
     around = texts.join(wanted, ["k1", "k2"], "left").select("doc_id", "text", "k1", "k2", "wanted").mapInArrow(_send_surroundings(length, gram), "key long, around binary, off int, k1 long, k2 long, start int, known boolean")
     # a span has no key of its own: any partition will do

@@ -81,3 +81,13 @@ def test_query_digests(spark, sf_dir):
     r = op1_suffix_array_dedup(spark, sf_dir).filter("n_removed = 0").first()
     text = spark.read.parquet(f"{sf_dir}/documents.parquet").filter(f"doc_id = {r.doc_id}").first().text
     assert r.kept_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_long_texts_have_the_same_anchors_in_pieces_and_other_buffers(monkeypatch):
+    rng = random.Random(4)
+    text = bytes(rng.randrange(97, 100) for _ in range(6_000)) + b"ab" * 900
+    whole = [x.tolist() for x in sd.anchors([text], 200, 32)[1:]]
+    beside = sd.anchors([b"x" * 5_000, text, b"y" * 700], 200, 32)
+    assert [x[beside[0] == 1].tolist() for x in beside[1:]] == whole
+    monkeypatch.setattr(sd, "PIECE", 1_000)
+    assert [x.tolist() for x in sd.anchors([text], 200, 32)[1:]] == whole
