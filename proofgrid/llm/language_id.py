@@ -6,8 +6,10 @@ their count of common places over the geometric mean of their counts. Landmark t
 kernel ridge regression with one output for each language (+1 or -1) is solved on it. A block of texts is then
 scored by two matrix products: presence times landmarks, and kernel times weights.
 
-Bounds: at most ``most_rows`` labelled texts of each language are learned from, the first by a hash of the id;
-they reach the driver as bitmaps of 2 KB. Every text is scored whole. Nothing but the text enters a prediction.
+Bounds: at most ``most_rows`` labelled texts of each language are learned from, the first by a hash of id and text,
+of at most ``most_langs`` languages (those with the most texts); they reach the driver as bitmaps of 2 KB. A
+threshold on the hash, from the languages' counts, leaves a few times as many texts before any is made a bitmap,
+so no task sees all of a language. Every text is scored whole. Nothing but the text enters a prediction.
 
 Null texts and texts without a letter get ``und`` and score 0; so do all if there is nothing to learn from.
 Equal texts get equal results. Rows without an id are scored, never learned from.
@@ -15,7 +17,6 @@ Equal texts get equal results. Rows without an id are scored, never learned from
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,7 +105,7 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in range(0, len(texts), BLOCK):
             bits = np.packbits(presence(texts[s : s + BLOCK]).astype(bool), axis=1)
             part = rows.slice(s, BLOCK)
-            yield pa.RecordBatch.from_arrays([columns(part, "doc_id"), columns(part, "lang"), pa.array([b.tobytes() for b in bits], pa.binary())], ["doc_id", "lang", "bits"])
+            yield pa.RecordBatch.from_arrays([*(columns(part, k) for k in ("doc_id", "lang", "u")), pa.array([b.tobytes() for b in bits], pa.binary())], ["doc_id", "lang", "u", "bits"])
 
 
 def _predict(model):
@@ -118,21 +119,29 @@ def _predict(model):
     return run
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = 1_000, landmarks: int = 256, ridge: float = 1e-2) -> DataFrame:
+def _sample(docs: DataFrame, most_rows: int, most_langs: int, spare: int = 4) -> DataFrame:
+    """(doc_id, lang, text, u) of labelled texts (doc_id, lang, text): about ``spare`` times ``most_rows`` of each language,
+    all of those that have fewer."""
+    counts = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(most_langs)
+    span = 1 << 40
+    level = counts.select("lang", F.least(F.lit(float(span)), F.lit(float(spare * most_rows * span)) / F.col("n")).alias("level"))
+    rows = docs.withColumn("u", F.pmod(F.xxhash64("doc_id", "text"), F.lit(span)))
+    return rows.join(F.broadcast(level), "lang").filter("u < level").drop("level")  # most_langs rows at most
+
+
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = 1_000, most_langs: int = 200, landmarks: int = 256, ridge: float = 1e-2) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): learned where crc32 of the id as text, modulo 3, is not 1."""
     spark = bounded(docs.sparkSession)
     held = F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    thin = docs.filter(~held & letter & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = [(r.doc_id, r.lang) for r in thin.withColumn("rank", rank).filter(F.col("rank") <= most_rows).collect()]
     kind = dict(docs.dtypes)[id_col]
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held_out"), letter.alias("letter"), F.col(text_col).alias("text"))
-    if not chosen:
+    known = docs.filter(~held & F.col(lang_col).isNotNull() & letter).select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    bits = _sample(known, most_rows, most_langs).mapInArrow(_bitmaps, f"doc_id {kind}, lang string, u long, bits binary").dropDuplicates(["lang", "u", "doc_id"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id"))
+    rows = sorted(bits.withColumn("rank", rank).filter(F.col("rank") <= most_rows).collect(), key=lambda r: (r.lang, r.rank))
+    if not rows:
         return base.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    ids = F.broadcast(spark.createDataFrame(chosen, f"doc_id {kind}, lang string").distinct())  # at most most_rows of each language
-    known = docs.filter(letter).select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).join(ids, ["doc_id", "lang"])
-    rows = sorted(known.mapInArrow(_bitmaps, f"doc_id {kind}, lang string, bits binary").distinct().collect(), key=lambda r: (r.lang, zlib.crc32(r.bits), r.doc_id))
     x = np.unpackbits(np.frombuffer(b"".join(r.bits for r in rows), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
     model = spark.sparkContext.broadcast(Model.fit(x, [r.lang for r in rows], landmarks, ridge))
     return base.mapInArrow(_predict(model), f"doc_id {kind}, held_out boolean, lang_pred string, score double")

@@ -2,8 +2,9 @@
 
 A rule is a host and a path ("example.org/es/"): it fits its host and all subdomains if the path starts with
 its path, and the longest rule that fits decides. URLs that a rule decides are the labelled URLs: from at most
-``most_rows`` of them, the first by a hash of the URL, boosted trees learn length, depth, digit ratio, entropy,
-parameter counts and the block rate and frequency of the host's suffix. All other URLs get the trees' verdict.
+``most_rows`` different ones, the first by a hash of the URL, boosted trees learn length, depth, digit ratio, entropy,
+parameter counts and the block rate and frequency of the host's suffix. A labelled URL's own rate comes from the
+other folds, so that trees don't read its label there. All other URLs get the trees' verdict.
 
 Everything runs in the JVM. A null URL, or one without ``://``, has an empty host and path and goes to the
 trees like others; if the labelled URLs are of one kind, that is the verdict, and without any it is allow.
@@ -65,7 +66,7 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     }
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str]] = RULES, most_rows: int = 20_000, trees: int = 12, depth: int = 4, seed: int = 7) -> DataFrame:
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str]] = RULES, most_rows: int = 20_000, trees: int = 12, depth: int = 4, folds: int = 5, seed: int = 7) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of every row; score: the trees' block probability, null where a rule decides."""
     url = F.col(url_col)
     base = pages.select(F.col(id_col).alias("page_id"), url.alias("url")).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
@@ -73,17 +74,21 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     base = base.withColumn("rule", rule).withColumn("ruled", ruled).withColumn("suffix", F.substring_index("host", ".", -2))
     own = lexical(F.col("url"), F.col("host"), F.col("path"))
 
-    sample = base.filter("ruled IS NOT NULL").select("url", "host", "path", "ruled", "suffix").orderBy(F.xxhash64("url"), "url").limit(most_rows)
-    sample = cut(sample.select("suffix", (F.col("ruled") == "block").cast("double").alias("label"), *(c.alias(k) for k, c in own.items())), "urls")
+    urls = base.filter("ruled IS NOT NULL").select("url", "host", "path", "ruled", "suffix").distinct().orderBy(F.xxhash64("url"), "url").limit(most_rows)
+    fold = F.pmod(F.xxhash64("url", F.lit(1)), F.lit(folds)).alias("fold")
+    sample = cut(urls.select("suffix", fold, (F.col("ruled") == "block").cast("double").alias("label"), *(c.alias(k) for k, c in own.items())), "urls")
     kinds = [r.label for r in sample.select("label").distinct().collect()]
     if len(kinds) < 2:
         constant = "block" if kinds == [1.0] else "allow"
         return base.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit(constant)).alias("verdict"), F.lit(None).cast("double").alias("score"))
     # at most as many suffixes as sampled rows; rates are drawn to one half as if two more rows had been seen
-    rates = sample.groupBy("suffix").agg(((F.sum("label") + 1) / (F.count("*") + 2)).alias("suffix_rate"), F.log1p(F.count("*")).alias("suffix_count"))
-    known = lambda df: df.join(F.broadcast(rates), "suffix", "left").fillna({"suffix_rate": 0.5, "suffix_count": 0.0})
+    rate = lambda blocked, n: [((blocked + 1) / (n + 2)).alias("suffix_rate"), F.log1p(n).alias("suffix_count")]
+    seen = sample.groupBy("suffix").agg(F.sum("label").alias("blocked"), F.count("*").alias("n"))
+    inside = sample.groupBy("suffix", "fold").agg(F.sum("label").alias("b"), F.count("*").alias("m")).join(seen, "suffix")
+    apart = inside.select("suffix", "fold", *rate(F.col("blocked") - F.col("b"), F.col("n") - F.col("m")))
+    known = lambda df: df.join(F.broadcast(seen.select("suffix", *rate(F.col("blocked"), F.col("n")))), "suffix", "left").fillna({"suffix_rate": 0.5, "suffix_count": 0.0})
     assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed, maxBins=32).fit(assemble.transform(known(sample)).select("features", "label").coalesce(1))
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed, maxBins=32).fit(assemble.transform(sample.join(apart, ["suffix", "fold"])).select("features", "label").coalesce(1))
 
     scored = model.transform(assemble.transform(known(base.select("*", *(c.alias(k) for k, c in own.items())))))
     score = vector_to_array("probability")[1]

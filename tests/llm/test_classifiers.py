@@ -1,6 +1,8 @@
+import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from proofgrid.llm import language_id, quality_rules, url_filter
@@ -110,3 +112,53 @@ def test_threshold_lies_in_the_widest_gap(scores, good, want):
 
     got = quality_rules.gap(np.array(scores), np.array(good))
     assert got < 1.0 if want is None else abs(got - want) < 1e-12
+
+
+def test_the_kernel_is_that_of_sets_of_grams():
+    from proofgrid.llm import language_id as li
+
+    texts = ["The cat sat on the mat, 9 times.", "le chat était assis", "The dog sat on a log", "ab"]
+
+    def grams(t):
+        b = bytes(c + 32 if 65 <= c < 91 else c if c >= 128 or 97 <= c < 123 else 32 for c in t.encode())
+        return {b[i : i + n] for n in li.ORDERS for i in range(len(b) - n + 1)}
+
+    sets = [grams(t) for t in texts]
+    x = li.presence([t.encode() for t in texts])
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            own = float(li.unit(x)[i] @ li.unit(x)[j])
+            assert abs(own - len(a & b) / (len(a) * len(b)) ** 0.5) < 0.05
+    y = ["en", "fr", "en", "fr"]
+    model = li.Model.fit(x, y, landmarks=4, ridge=1e-6)
+    k = np.array([[len(a & b) / (len(a) * len(b)) ** 0.5 for b in sets] for a in sets])
+    target = np.array([[1.0, -1.0] if v == "en" else [-1.0, 1.0] for v in y])
+    dense = k @ np.linalg.solve(k + 1e-6 * np.eye(4), target)
+    names, score = model.predict([t.encode() for t in texts])
+    assert names == y and np.allclose(score, (dense.max(1) + 1) / 2, atol=0.05)
+
+
+def test_trees_judge_unruled_urls_as_they_learned(spark):
+    from proofgrid.llm import url_filter
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    spam = lambda host: f"http://{host}/de/{rng.randint(10**8, 10**9)}/{rng.randint(10**8, 10**9)}?a={rng.randint(0, 999)}&b=7&c=9"
+    good = lambda host: f"http://{host}/fr/{word()}/{word()}"
+    rows = [spam(f"{word()}.com") for _ in range(300)] + [good(f"{word()}.com") for _ in range(300)] + ["http://same.com/fr/a"] * 900
+    asked = [(spam(f"{word()}.net"), "block") for _ in range(40)] + [(good(f"{word()}.net"), "allow") for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(rows + [u for u, _ in asked])), "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.judge(df, most_rows=500).collect()}
+    right = [got[len(rows) + k].verdict == v for k, (_, v) in enumerate(asked)]
+    assert sum(right) >= 76 and all(got[len(rows) + k].rule is None for k in range(len(asked)))
+
+
+def test_ids_that_are_text_or_null(spark):
+    from proofgrid.llm import quality_rules
+
+    good = " ".join(f"word{k % 60}x{k}" for k in range(80))
+    bad = " ".join(f"{k}#$%&" for k in range(80))
+    docs = spark.createDataFrame([("1", good), ("2", good + " more"), ("x", bad), (None, bad), ("4", bad)], "doc_id string, text string")
+    labels = spark.createDataFrame([("1", 1), ("2", 1), ("4", 0), ("y", 0), (None, 1), ("-1", 1)], "doc_id string, quality int")
+    got = sorted((str(r.doc_id), r.kept) for r in quality_rules.judge(docs, labels).collect())
+    assert len(got) == 5 and ("4", False) in got and ("2", True) in got
