@@ -120,7 +120,7 @@ def occurrences(docs: DataFrame, text_col: str = "text", **options) -> DataFrame
     own = F.col("row")[text_col]
     text = F.when(F.col("_words") == F.col("size"), own).otherwise(first_words(own, F.col("_words")))
     columns = [text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
-    return out.orderBy("_at", "_pass", F.xxhash64("doc_id", own), "row").select(*columns)
+    return out.orderBy("_at", "_pass", F.xxhash64("doc_id", own)).select(*columns)
 
 
 SQL = f"""
