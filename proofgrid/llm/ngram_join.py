@@ -12,8 +12,9 @@ Steps, with what each moves:
 4. ``verified``: pairs are made distinct, get both sets by joins on their classes, and pass the suffix filter and
    the count of common shingles; each pair once. Links make components.
 5. Longer lists whose classes lie in several components then give all their pairs that pass the filters and run
-   across components, dealt out by ``block`` classes, and these are verified too. Pairs inside a component need no
-   look. What remains unlinked is unlinked by a verified pair or a filter, so components are exact.
+   across components, dealt out by ``block`` classes, and these are verified too; before sets are sent, a bound on
+   their difference drops most (of ``PARITY`` ranges of hashes, those where one set has an odd number of shingles and
+   the other an even one differ in a shingle at least). Pairs inside a component need no look. What remains unlinked is unlinked by a verified pair or a filter, so components are exact.
 
 Nothing about single documents reaches the driver, no task holds a list or a component, and a set is sent once
 for each pair. `similar_pairs` gives every link between classes instead, and `link_counts` how many a document has.
@@ -38,6 +39,8 @@ from proofgrid.operators.components import connected_components
 
 SKETCH_BITS = 20
 SKETCH_BLOCKS = 64
+#: Bits of a set's parities.
+PARITY = 512
 #: Stands for a null id where rows are matched by id.
 NO_ID = -(1 << 63)
 
@@ -54,6 +57,11 @@ def least_overlap(size: np.ndarray | int, percent: int):
     return -(-percent * size // 100)
 
 
+def parities(s: np.ndarray) -> bytes:
+    """For each of PARITY ranges of hashes, whether the set has an odd number of elements there."""
+    return np.packbits(np.bincount((mixed(s) >> U(55)).astype(np.int64), minlength=PARITY) & 1).tobytes()
+
+
 def _profile(id_col: str, text_col: str, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -216,7 +224,7 @@ def _candidates(percent: int, pairwise: int, star: int, held_most: int = 50_000)
 
 
 def _across(percent: int):
-    """Pairs (u, v) across components from rows (h, block, left, node, size, place, component) that are sorted by
+    """Pairs (u, v) across components from rows (h, block, left, node, size, place, component, odd) that are sorted by
     (h, block, left descending): left rows of a block are held, the list's rows stream past them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,17 +238,22 @@ def _across(percent: int):
                     continue
                 if (h[s], block[s]) != key:
                     key, held, wall = (h[s], block[s]), [], None
-                own = (node[s:e], size[s:e], place[s:e], component[s:e])
+                odd = np.frombuffer(b"".join(columns(batch, "odd").slice(s, e - s).to_pylist()), np.uint64).reshape(e - s, -1)
+                own = (node[s:e], size[s:e], place[s:e], component[s:e], odd)
                 if left[s]:
                     held.append(own)
                     continue
                 if wall is None:
                     if not held:
                         continue
-                    wall = [np.concatenate(x)[:, None] for x in zip(*held, strict=True)]
+                    *wall, odds = (np.concatenate(x) for x in zip(*held, strict=True))
+                    wall = [x[:, None] for x in wall]
                 for a in range(0, e - s, 512):
-                    n, z, p, c = (x[a : a + 512] for x in own)
+                    n, z, p, c, o = (x[a : a + 512] for x in own)
                     x, y = np.nonzero((wall[3] != c) & _passes(percent, wall[1], wall[2], z, p))
+                    both = wall[1][x, 0].astype(np.int64) + z[y]
+                    ok = np.bitwise_count(odds[x] ^ o[y]).sum(1) <= both - 2 * (-(-percent * both // (100 + percent)))
+                    x, y = x[ok], y[ok]
                     us.append(wall[0][x, 0])
                     vs.append(n[y])
                     if sum(map(len, us)) > 500_000:
@@ -273,13 +286,13 @@ def suffix_apart(x: np.ndarray, y: np.ndarray, most: int, depth: int = 2) -> int
 
 
 def _sets(n: int):
-    """(node, check, items): the sorted set of each text, as bytes."""
+    """(node, check, items, odd): the sorted set of each text, as bytes, and its parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in chunks(batches):
             sets = shingle_sets(texts, n)
             digests = [set_digest(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "check", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([parities(s) for s in sets], pa.binary())], ["node", "check", "items", "odd"])
 
     return run
 
@@ -330,24 +343,26 @@ class _Join:
         self.pairs = cut(found.filter("v IS NOT NULL").select("u", "v").distinct(), "pairs")
 
     def members(self) -> DataFrame:
-        """(vertex, node, check, n_shingles, rep, items) of the classes that have a pair or are in a longer list. Should two
+        """(vertex, node, check, n_shingles, rep, items, odd) of the classes that have a pair or are in a longer list. Should two
         sets share 64 bits of their digests, both go under these in the lists, and are told apart here."""
         wanted = self.pairs.select(F.col("u").alias("node")).union(self.pairs.select("v")).union(self.lists.select("node")).distinct()
         own = self.kinds.join(wanted, "node").select("node", "check", "n_shingles", F.col("at.doc_id").alias("rep"), F.coalesce("at.doc_id", F.lit(NO_ID)).alias("_id"), F.col("at.text_key").alias("_text"))
         nth = F.row_number().over(Window.partitionBy("node").orderBy("check", "n_shingles"))
         own = cut(own.withColumn("vertex", F.when(nth == 1, F.col("node")).otherwise(F.xxhash64("node", "check", "n_shingles"))), "classes")
         keyed = self.texts.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("_text"), "text")
-        sets = keyed.join(own.select("_id", "_text").distinct(), ["_id", "_text"], "left_semi").select("text").mapInArrow(_sets(self.n), "node long, check long, items binary")
+        sets = keyed.join(own.select("_id", "_text").distinct(), ["_id", "_text"], "left_semi").select("text").mapInArrow(_sets(self.n), "node long, check long, items binary, odd binary")
         return cut(own.drop("_id", "_text").join(sets.dropDuplicates(["node", "check"]), ["node", "check"]), "sets")
 
-    def verified(self, pairs: DataFrame, members: DataFrame) -> DataFrame:
-        """(u, v, common) by vertices: the pairs whose sets link, each looked at once."""
+    def verified(self, pairs: DataFrame, members: DataFrame, few: bool = False) -> DataFrame:
+        """(u, v, common) by vertices: the pairs whose sets link, each looked at once. ``few``: pairs of few of the members."""
+        if few:
+            members = members.join(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "node", "left_semi")
         x = members.select(F.col("node").alias("u"), F.col("vertex").alias("x"), F.col("items").alias("a"))
         y = members.select(F.col("node").alias("v"), F.col("vertex").alias("y"), F.col("items").alias("b"))
         both = pairs.join(x.hint("merge"), "u").join(y.hint("merge"), "v").select(F.col("x").alias("u"), F.col("y").alias("v"), "a", "b")
         return both.mapInArrow(_verify(self.percent), "u long, v long, common long")
 
-    def across(self, component: DataFrame | None) -> DataFrame:
+    def across(self, members: DataFrame, component: DataFrame | None = None) -> DataFrame:
         """Pairs of longer lists that run across components (node, component); without any, all pairs that pass the filters."""
         if component is None:
             rows = self.lists.withColumn("component", F.col("node"))
@@ -356,9 +371,10 @@ class _Join:
         by = rows.groupBy("h", "component").agg(F.count("*").alias("n"))
         many = by.groupBy("h").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("kinds")).filter("kinds > 1")
         many = many.select("h", F.col("top.component").alias("most"), F.ceil((F.col("n") - F.col("top.n")) / self.block).cast("int").alias("blocks"))
-        rows = rows.join(many, "h")
-        left = rows.filter("component <> most").select("h", F.pmod(F.hash("node"), "blocks").alias("block"), F.lit(True).alias("left"), "node", "size", "place", "component")
-        right = rows.select("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("left"), "node", "size", "place", "component")
+        odd = members.filter(F.col("vertex") == F.col("node")).select("node", "odd")
+        rows = rows.join(many, "h").join(odd, "node")
+        left = rows.filter("component <> most").select("h", F.pmod(F.hash("node"), "blocks").alias("block"), F.lit(True).alias("left"), "node", "size", "place", "component", "odd")
+        right = rows.select("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("left"), "node", "size", "place", "component", "odd")
         dealt = left.unionByName(right).repartition("h", "block").sortWithinPartitions("h", "block", F.col("left").desc())
         return dealt.mapInArrow(_across(self.percent), "u long, v long").distinct().join(self.pairs, ["u", "v"], "left_anti")
 
@@ -379,12 +395,12 @@ def _components(docs: DataFrame, id_col: str, text_col: str, n: int = 5, percent
     links = cut(j.verified(j.pairs, members), "links")
     labels = cut(connected_components(links, "u", "v"), "labels")
     # lists hold digests, labels vertices: they differ only where two sets share 64 bits, and then nothing is left out
-    more = cut(j.across(labels), "across")
-    again = cut(j.verified(more, members), "further")
+    more = cut(j.across(members, labels), "across")
+    again = cut(j.verified(more, members, few=True), "further")
     own = lambda k: labels.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
     bridges = again.join(own("u"), "u", "left").join(own("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
     joined = connected_components(bridges, "u", "v").select(F.col("node").alias("component"), F.col("component").alias("whole"))
-    linked = members.drop("items").join(labels.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
+    linked = members.drop("items", "odd").join(labels.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
     linked = linked.join(joined, "component", "left").withColumn("component", F.coalesce("whole", "component"))
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))
     linked = linked.join(least, "component").select("node", "check", "n_shingles", "least")
@@ -398,8 +414,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str, n: int = 5, percent
 
 def _links(docs: DataFrame, id_col: str, text_col: str, n: int = 5, percent: int = 75, pairwise: int = 4, star: int = 256, block: int = 2_048) -> tuple[_Join, DataFrame, DataFrame]:
     j = _Join(docs, id_col, text_col, n, percent, pairwise, star, block)
-    pairs = cut(j.pairs.union(j.across(None)), "pairs")
     members = j.members()
+    pairs = cut(j.pairs.union(j.across(members)), "pairs")
     return j, members, cut(j.verified(pairs, members), "links")
 
 

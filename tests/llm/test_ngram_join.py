@@ -78,6 +78,14 @@ def test_suffix_filter_is_a_lower_bound():
             assert low <= true
 
 
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        x, y = (np.unique(rng.integers(0, 400, rng.integers(1, 300)).astype(np.uint64)) for _ in range(2))
+        a, b = (np.frombuffer(nj.parities(s), np.uint64) for s in (x, y))
+        assert len(a) == nj.PARITY // 64 and np.bitwise_count(a ^ b).sum() <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
 def test_odd_ids_and_keep_one(spark):
     text = " ".join(f"t{k}" for k in range(30))
     other = " ".join(f"u{k}" for k in range(30))
