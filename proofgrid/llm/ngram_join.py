@@ -7,8 +7,8 @@ Steps, with what each moves:
 2. ``postings``: a second pass orders each set rare-first by the sketch and emits the prefix that any
    partner must meet: the inverted lists of the join, one posting a class and prefix shingle.
 3. ``candidates``: lists stream through a task, sorted by size. A list of at most ``pairwise`` classes gives its
-   pairs that pass the length and positional filters. A longer one gives stars first: of every ``star`` classes the
-   one with the least place (the most typical) is paired with the others, and with the next star's.
+   pairs that pass the length and positional filters. A longer one gives stars first: of about ``star`` classes one
+   with a low place (a typical one) is paired with the others, and with the next star's.
 4. ``verified``: pairs are made distinct, get both sets by joins on their classes, and pass the suffix filter and
    the count of common shingles; each pair once. Links make components.
 5. Longer lists whose classes lie in several components then give all their pairs that pass the filters and run
@@ -148,17 +148,25 @@ def _few_pairs(percent: int, most: int, h, node, size, place, many):
 
 
 def _stars(percent: int, star: int, h, node, size, place):
-    """Pairs of each row with the row of least place among ``star`` in a row of its list, and of these with the next."""
+    """Pairs of each row with the centre of its star, and of the centres of a list in turn.
+
+    A list of more than ``star`` rows is dealt into stars by a hash of the class, and the centre is the least by a
+    coarse place, then by that hash: so the lists of a group of near copies mostly agree on both, and their pairs
+    are the same.
+    """
     if not len(h):
         return [], [], 0
-    at = np.arange(len(h))
     begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    inside = at - np.repeat(begin, np.diff(np.append(begin, len(h))))
-    first = np.flatnonzero(inside % star == 0)
-    centre = (np.minimum.reduceat((place.astype(np.int64) << 32) | at, first) & 0xFFFFFFFF).astype(np.int64)
-    mine = np.repeat(centre, np.diff(np.append(first, len(h))))
-    next_ = np.flatnonzero(h[centre[1:]] == h[centre[:-1]])
-    x, y = np.concatenate([mine, centre[next_]]), np.concatenate([at, centre[next_ + 1]])
+    count = np.diff(np.append(begin, len(h)))
+    bits = np.ceil(np.log2(np.maximum(count / star, 1))).astype(np.uint64)
+    own = mixed(node.view(np.uint64))
+    deal = np.where(np.repeat(bits, count) > 0, own >> (U(64) - np.maximum(np.repeat(bits, count), U(1))), U(0))
+    order = np.lexsort((own, place // 8, deal, h))
+    new = np.append(True, (h[order][1:] != h[order][:-1]) | (deal[order][1:] != deal[order][:-1]))
+    first = np.flatnonzero(new)
+    centre = order[first]
+    x = np.concatenate([np.repeat(centre, np.diff(np.append(first, len(h)))), centre[:-1][h[centre[1:]] == h[centre[:-1]]]])
+    y = np.concatenate([order, centre[1:][h[centre[1:]] == h[centre[:-1]]]])
     ok = (x != y) & _passes(percent, size[x], place[x], size[y], place[y])
     return [node[x[ok]]], [node[y[ok]]], int(centre[-1])
 
