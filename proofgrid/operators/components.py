@@ -23,9 +23,9 @@ def shared_table(df: DataFrame) -> DataFrame:
 
 def _stars(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step over (u, v) with u > v; the result has the same form."""
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    up = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    low = edges.select("u", "v").union(up).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    large = up.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     least = large.groupBy("u").agg(F.min("v").alias("m"))
     return large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u > v").distinct()
 

@@ -113,11 +113,11 @@ def knn_reference(spark, d):
     return out.groupBy("query").agg(F.round(F.max("distance"), 5).alias("radius"))
 
 
-@query(f"""WITH n AS (SELECT a.vec_id, b.label = a.label AS same, row_number() OVER (PARTITION BY a.vec_id ORDER BY sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))), b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 10 = 0)
+@query(f"""WITH n AS (SELECT a.vec_id, b.label = a.label AS same, row_number() OVER (PARTITION BY a.vec_id ORDER BY sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))), b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
 SELECT vec_id AS sample_id, avg(same::INT) AS agreement FROM n WHERE rank <= 10 GROUP BY 1""")
 def knn_label_agreement(spark, d):
     v = b.vectors(spark, d)
-    near = nearest(v.filter("vec_id % 10 = 0"), v, "vec_id", "embedding", 10)
+    near = nearest(v.filter("vec_id % 50 = 0"), v, "vec_id", "embedding", 10)
     own = v.select(F.col("vec_id").alias("query"), F.col("label").alias("mine"))
     return near.join(own, "query").join(v.select(F.col("vec_id").alias("neighbour"), "label"), "neighbour").groupBy(F.col("query").alias("sample_id")).agg(F.avg((F.col("label") == F.col("mine")).cast("int")).alias("agreement"))
 

@@ -50,7 +50,7 @@ def tail_pvalues(calibration: DataFrame, test: DataFrame, score: str, tail: floa
 @query()
 def tail_extrapolation(spark, d):
     e = b.read(spark, d, "events").select("event_id", "value")
-    test = e.filter("event_id % 20 = 1").withColumn("value", F.col("value") + F.when(F.col("event_id") % 100 == 1, 400.0).otherwise(0.0))
+    test = e.filter("event_id % 2 = 1").withColumn("value", F.col("value") + F.when(F.col("event_id") % 100 == 1, 400.0).otherwise(0.0))
     out = tail_pvalues(e.filter("event_id % 2 = 0"), test, "value")
     return out.select("event_id", F.round(F.log10("p"), 6).alias("log10_p"))
 
@@ -72,10 +72,10 @@ def kendall_tau(rows: DataFrame, key: str, x: str, y: str) -> DataFrame:
     return t.select(key, F.when((F.col("nx") == 0) | (F.col("ny") == 0), 1.0).otherwise(F.col("c") / F.sqrt(F.col("nx") * F.col("ny"))).alias("tau"))
 
 
-@query("""WITH v AS (SELECT vec_id, generate_subscripts(embedding, 1) AS p, unnest(embedding[1:8])::DOUBLE AS x, unnest(embedding[9:16])::DOUBLE AS y FROM (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 60) WHERE true),
+@query("""WITH v AS (SELECT vec_id, generate_subscripts(embedding, 1) AS p, unnest(embedding[1:8])::DOUBLE AS x, unnest(embedding[9:16])::DOUBLE AS y FROM (SELECT vec_id, embedding FROM embeddings) WHERE true),
 w AS (SELECT * FROM v WHERE p <= 8) SELECT a.vec_id, round(sum(sign(a.x - z.x) * sign(a.y - z.y)) / sqrt(sum(abs(sign(a.x - z.x))) * sum(abs(sign(a.y - z.y)))), 8) AS tau FROM w a JOIN w z ON a.vec_id = z.vec_id AND a.p < z.p GROUP BY 1""")
 def rank_agreement(spark, d):
-    v = b.vectors(spark, d).filter("vec_id < 60").select("vec_id", F.posexplode(F.arrays_zip(F.slice("embedding", 1, 8).alias("x"), F.slice("embedding", 9, 8).alias("y"))).alias("pos", "z"))
+    v = b.vectors(spark, d).select("vec_id", F.posexplode(F.arrays_zip(F.slice("embedding", 1, 8).alias("x"), F.slice("embedding", 9, 8).alias("y"))).alias("pos", "z"))
     rows = v.select("vec_id", "pos", F.col("z.x").cast("double").alias("x"), F.col("z.y").cast("double").alias("y"))
     return kendall_tau(rows, "vec_id", "x", "y").withColumn("tau", F.round("tau", 8))
 

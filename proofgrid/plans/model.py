@@ -26,11 +26,11 @@ def digest_match(spark, d):
     return digest_state(m, m.filter("model % 10 = 0")).select("model", "state")
 
 
-@query("""WITH x AS (SELECT p_type AS op, count(*) FILTER (p_partkey % 2 = 0) AS a, count(*) FILTER (p_partkey % 2 = 1) AS z FROM part WHERE p_partkey % 7 < 4 GROUP BY 1)
+@query("""WITH x AS (SELECT p_type AS op, count(*) FILTER (p_partkey % 2 = 0) AS a, count(*) FILTER (p_partkey % 2 = 1) AS z FROM part GROUP BY 1)
 SELECT op, greatest(a - z, 0) AS removed, greatest(z - a, 0) AS added FROM x WHERE a <> z""")
 def architecture_diff(spark, d):
     """Multiset difference of operator names, both ways."""
-    p = b.read(spark, d, "part").filter("p_partkey % 7 < 4")
+    p = b.read(spark, d, "part")
     old, new = p.filter("p_partkey % 2 = 0").select(F.col("p_type").alias("op")), p.filter("p_partkey % 2 = 1").select(F.col("p_type").alias("op"))
     removed = old.exceptAll(new).groupBy("op").agg(F.count("*").alias("removed"))
     added = new.exceptAll(old).groupBy("op").agg(F.count("*").alias("added"))
@@ -47,14 +47,14 @@ def weight_changes(reference, candidate):
     return a.join(z, "tensor", "full_outer").join(dist, "tensor", "left").select("tensor", state.alias("state"), "relative")
 
 
-@query("""WITH v AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS idx, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE vec_id < 40),
-a AS (SELECT 't' || vec_id AS tensor, idx, v FROM v WHERE vec_id < 30), z AS (SELECT 't' || vec_id AS tensor, idx, v + CASE WHEN vec_id % 3 = 0 THEN 0.01 ELSE 0 END AS v FROM v WHERE vec_id >= 5 AND NOT (vec_id = 9 AND idx > 60)),
+@query("""WITH v AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS idx, unnest(embedding)::DOUBLE AS v FROM embeddings),
+a AS (SELECT 't' || vec_id AS tensor, idx, v FROM v WHERE vec_id % 11 <> 3), z AS (SELECT 't' || vec_id AS tensor, idx, v + CASE WHEN vec_id % 3 = 0 THEN 0.01 ELSE 0 END AS v FROM v WHERE vec_id % 7 <> 2 AND NOT (vec_id % 13 = 9 AND idx > 60)),
 n AS (SELECT tensor, count(a.v) AS n1, count(z.v) AS n2, sqrt(sum((a.v - z.v) * (a.v - z.v))) / greatest(sqrt(sum(a.v * a.v) FILTER (z.v IS NOT NULL)), 1e-12) AS rel FROM a FULL JOIN z USING (tensor, idx) GROUP BY 1)
 SELECT tensor, CASE WHEN n1 = 0 THEN 'added' WHEN n2 = 0 THEN 'removed' WHEN n1 <> n2 THEN 'shape' WHEN rel > 1e-7 THEN 'changed' ELSE 'same' END AS state, round(rel, 8) AS relative FROM n""")
 def weight_compare(spark, d):
-    v = b.vectors(spark, d).filter("vec_id < 40").select("vec_id", F.posexplode("embedding").alias("idx", "value")).withColumn("value", F.col("value").cast("double")).withColumn("tensor", F.concat(F.lit("t"), F.col("vec_id").cast("string")))
-    new = v.filter("vec_id >= 5 AND NOT (vec_id = 9 AND idx >= 60)").withColumn("value", F.col("value") + F.when(F.col("vec_id") % 3 == 0, 0.01).otherwise(0))
-    return weight_changes(v.filter("vec_id < 30").select("tensor", "idx", "value"), new.select("tensor", "idx", "value")).withColumn("relative", F.round("relative", 8))
+    v = b.vectors(spark, d).select("vec_id", F.posexplode("embedding").alias("idx", "value")).withColumn("value", F.col("value").cast("double")).withColumn("tensor", F.concat(F.lit("t"), F.col("vec_id").cast("string")))
+    new = v.filter("vec_id % 7 <> 2 AND NOT (vec_id % 13 = 9 AND idx >= 60)").withColumn("value", F.col("value") + F.when(F.col("vec_id") % 3 == 0, 0.01).otherwise(0))
+    return weight_changes(v.filter("vec_id % 11 <> 3").select("tensor", "idx", "value"), new.select("tensor", "idx", "value")).withColumn("relative", F.round("relative", 8))
 
 
 def behaviour(predictions):

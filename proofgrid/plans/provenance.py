@@ -33,22 +33,22 @@ def ledger_status(spark, d):
     return rows.groupBy("ledger", F.when(~F.col("linked"), "FAILED").when(~F.col("trusted"), "UNTRUSTED").otherwise("VALID").alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH RECURSIVE l AS (SELECT event_type AS ledger, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS pos, event_id FROM events WHERE event_id < 400),
+@query("""WITH RECURSIVE l AS (SELECT event_type AS ledger, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS pos, event_id FROM events),
 t(ledger, lvl, pos, h) AS (SELECT ledger, 0, pos, unhex(sha256(unhex('00') || encode('e' || event_id))) FROM l
- UNION ALL SELECT a.ledger, a.lvl + 1, a.pos // 2, CASE WHEN b.h IS NULL THEN a.h ELSE unhex(sha256(unhex('01') || a.h || b.h)) END FROM (SELECT * FROM t WHERE pos % 2 = 0 AND lvl < 9) a LEFT JOIN t b ON a.ledger = b.ledger AND a.lvl = b.lvl AND b.pos = a.pos + 1)
-SELECT t.ledger, n.size, 'sha256:' || lower(hex(h)) AS root FROM t JOIN (SELECT ledger, count(*) AS size FROM l GROUP BY 1) n ON n.ledger = t.ledger WHERE lvl = 9""")
+ UNION ALL SELECT a.ledger, a.lvl + 1, a.pos // 2, CASE WHEN b.h IS NULL THEN a.h ELSE unhex(sha256(unhex('01') || a.h || b.h)) END FROM (SELECT * FROM t WHERE pos % 2 = 0 AND lvl < 20) a LEFT JOIN t b ON a.ledger = b.ledger AND a.lvl = b.lvl AND b.pos = a.pos + 1)
+SELECT t.ledger, n.size, 'sha256:' || lower(hex(h)) AS root FROM t JOIN (SELECT ledger, count(*) AS size FROM l GROUP BY 1) n ON n.ledger = t.ledger WHERE lvl = 20""")
 def merkle_root(spark, d):
-    e = b.read(spark, d, "events").filter("event_id < 400").select(F.col("event_type").alias("ledger"), F.col("event_id").alias("seq"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("entry_hash"))
+    e = b.read(spark, d, "events").select(F.col("event_type").alias("ledger"), F.col("event_id").alias("seq"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("entry_hash"))
     return lg.merkle_roots(e)
 
 
-@query("SELECT event_type || ':' || s AS anchor, s AS tree_size, CASE WHEN n < s THEN 'TRUNCATED' ELSE 'MISMATCH' END AS status FROM (SELECT event_type, count(*) AS n FROM events WHERE event_id < 400 GROUP BY 1), (SELECT unnest([10::BIGINT, 100000]) AS s)")
+@query("SELECT event_type || ':' || s AS anchor, s AS tree_size, CASE WHEN n < s THEN 'TRUNCATED' ELSE 'MISMATCH' END AS status FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1), (SELECT unnest([10::BIGINT, 100000000]) AS s)")
 def anchor_check(spark, d):
     from pyspark.sql import Window
 
     i = F.row_number().over(Window.partitionBy("ledger_file").orderBy("event_id"))
-    e = b.read(spark, d, "events").filter("event_id < 400").select(F.col("event_type").alias("ledger_file"), "event_id").withColumn("line", i.cast("long")).withColumn("seq", F.col("line") - 1).withColumn("entry_hash", F.concat(F.lit("e"), F.col("event_id").cast("string")))
-    a = e.select("ledger_file").distinct().select("ledger_file", F.explode(F.array(F.lit(10).cast("long"), F.lit(100000).cast("long"))).alias("tree_size"))
+    e = b.read(spark, d, "events").select(F.col("event_type").alias("ledger_file"), "event_id").withColumn("line", i.cast("long")).withColumn("seq", F.col("line") - 1).withColumn("entry_hash", F.concat(F.lit("e"), F.col("event_id").cast("string")))
+    a = e.select("ledger_file").distinct().select("ledger_file", F.explode(F.array(F.lit(10).cast("long"), F.lit(100000000).cast("long"))).alias("tree_size"))
     a = a.select(F.concat_ws(":", "ledger_file", F.col("tree_size").cast("string")).alias("anchor"), "ledger_file", "tree_size", F.lit("sha256:00").alias("root"))
     return lg.check_anchors(a, e)
 

@@ -28,7 +28,7 @@ def contributor_baseline(spark, d):
 @query()
 def contributor_risk(spark, d):
     """Beta posteriors and their quantiles have no SQL form; tests hold them against integration."""
-    f = b.findings(spark, d).select(F.array(F.concat(F.lit("src"), (F.col("finding_id") % 20).cast("string"))).alias("contributors"), "attack_class", (F.col("finding_id") % 9).alias("affected"), "severity").filter("affected = 7")
+    f = b.findings(spark, d).select(F.array(F.concat(F.lit("src"), (F.col("finding_id") % 20).cast("string"))).alias("contributors"), "attack_class", (F.col("finding_id") % 9).alias("affected"), "severity")
     r = risk.contributor_risk(b.thin_samples(spark, d), b.flags(spark, d), f)
     return r.select("contributor", "n", "flagged", *(F.round(k, 5).alias(k) for k in ("mass", "baseline", "posterior_mean", "credible_low", "credible_high", "anomaly")), "expected_low", "expected_high", "strength", "campaigns", "tier", "action")
 
@@ -78,14 +78,14 @@ def coverage(catalogue, supports, executions):
     return rows.groupBy("attack_class").agg(F.count("detector_id").alias("n"), F.max(own).alias("best")).select("attack_class", F.when(F.col("n") == 0, "UNSUPPORTED").otherwise(name_of(F.col("best"), states)).alias("state"))
 
 
-@query("""WITH c AS (SELECT DISTINCT p_type AS attack_class FROM part UNION SELECT 'none'), s AS (SELECT DISTINCT p_type AS attack_class, p_brand AS detector_id, CASE WHEN min(p_size) OVER (PARTITION BY p_type, p_brand) < 2 THEN 'FULL' ELSE 'PARTIAL' END AS level FROM part WHERE p_partkey % 40 = 0),
+@query("""WITH c AS (SELECT DISTINCT p_type AS attack_class FROM part UNION SELECT 'none'), s AS (SELECT DISTINCT p_type AS attack_class, p_brand AS detector_id, CASE WHEN min(p_size) OVER (PARTITION BY p_type, p_brand) < 2 THEN 'FULL' ELSE 'PARTIAL' END AS level FROM part),
 e AS (SELECT p_brand AS detector_id, ['OK','DEGRADED','ERROR','ABSTAINED'][(min(p_partkey) % 4 + 1)::INT] AS status FROM part GROUP BY 1)
 SELECT attack_class, CASE WHEN count(detector_id) = 0 THEN 'UNSUPPORTED' ELSE ['NOT_ASSESSED','FAILED','PARTIALLY_ASSESSED','ASSESSED'][max(CASE WHEN status = 'OK' AND level = 'FULL' THEN 4 WHEN status IN ('OK','DEGRADED') THEN 3 WHEN status = 'ERROR' THEN 2 ELSE 1 END)] END AS state
 FROM c LEFT JOIN s USING (attack_class) LEFT JOIN e USING (detector_id) GROUP BY attack_class""")
 def coverage_states(spark, d):
     p = b.read(spark, d, "part")
     cat = p.select(F.col("p_type").alias("attack_class")).union(spark.sql("SELECT 'none'")).distinct()
-    sup = p.filter("p_partkey % 40 = 0").groupBy(F.col("p_type").alias("attack_class"), F.col("p_brand").alias("detector_id")).agg(F.when(F.min("p_size") < 2, "FULL").otherwise("PARTIAL").alias("level"))
+    sup = p.groupBy(F.col("p_type").alias("attack_class"), F.col("p_brand").alias("detector_id")).agg(F.when(F.min("p_size") < 2, "FULL").otherwise("PARTIAL").alias("level"))
     exe = p.groupBy(F.col("p_brand").alias("detector_id")).agg(F.element_at(F.array(*map(F.lit, ("OK", "DEGRADED", "ERROR", "ABSTAINED"))), (F.min("p_partkey") % 4 + 1).cast("int")).alias("status"))
     return coverage(cat, sup, exe)
 
@@ -101,11 +101,11 @@ def scan_compare(spark, d):
     return risk.scan_diff(one(1), one(2), ("subject",), ("severity",))
 
 
-_EDGES = "SELECT 'order:' || o_orderkey AS source, 'customer:' || o_custkey AS target FROM orders WHERE o_orderkey % 10 = 0 UNION SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey FROM customer"
+_EDGES = "SELECT 'order:' || o_orderkey AS source, 'customer:' || o_custkey AS target FROM orders UNION SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey FROM customer"
 
 
 def _edges(spark, d):
-    o = b.read(spark, d, "orders").filter("o_orderkey % 10 = 0").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("source"), F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("target"))
+    o = b.read(spark, d, "orders").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("source"), F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("target"))
     k = b.read(spark, d, "customer").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("source"), F.concat(F.lit("nation:"), F.col("c_nationkey").cast("string")).alias("target"))
     return o.union(k).distinct()
 
@@ -128,7 +128,7 @@ def benchmark_rollup(spark, d):
     return o.agg(F.count_if(F.col("o_orderstatus") != "P").alias("eligible"), F.round(F.avg(F.when(F.col("o_orderstatus") == "F", hit)), 8).alias("mean_tpr"), F.round(F.avg(F.when(F.col("o_orderstatus") == "O", F.col("o_totalprice") / 1e6)), 8).alias("alert_rate"))
 
 
-@query("SELECT o_custkey AS subject, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'PENDING' ELSE max_by(o_orderstatus, o_orderkey) END AS state FROM orders WHERE o_custkey % 10 = 0 GROUP BY 1")
+@query("SELECT o_custkey AS subject, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'PENDING' ELSE max_by(o_orderstatus, o_orderkey) END AS state FROM orders GROUP BY 1")
 def governance_state(spark, d):
-    o = b.read(spark, d, "orders").filter("o_custkey % 10 = 0")
+    o = b.read(spark, d, "orders")
     return o.groupBy(F.col("o_custkey").alias("subject")).agg(F.when(F.bool_or(F.col("o_orderstatus") == "P"), "PENDING").otherwise(F.max_by("o_orderstatus", "o_orderkey")).alias("state"))
