@@ -6,6 +6,7 @@ They are applied to one row for each test or contributor, never to raw rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -126,26 +127,28 @@ def kolmogorov_sf(d, n, m) -> np.ndarray:
     return np.where(np.atleast_1d(t) < 0.2, 1.0, np.clip(total, 0, 1))
 
 
-def pareto_tail(exceed: np.ndarray) -> tuple[float, float]:
-    """(shape, scale) of a generalised Pareto fit: likelihood profiled over shape / scale on a refined grid."""
-    x = np.asarray(exceed, float)
-    top = x.max()
+def pareto_profile(mean_log: Callable[[np.ndarray], np.ndarray], mean: float, top: float) -> tuple[float, float]:
+    """(shape, scale) of a generalised Pareto fit: likelihood profiled over theta = shape / scale on a refined grid.
 
-    def loss(theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        shape = np.log1p(np.outer(theta, x)).mean(1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            scale = np.where(np.abs(theta) < 1e-12, x.mean(), shape / theta)
-            out = np.log(scale) + np.where(np.abs(theta) < 1e-12, 1.0, 1 + shape)
-        return np.where(np.isfinite(out) & (scale > 0), out, np.inf), shape
-
-    lo, hi = -0.999 / top, 20 / max(x.mean(), 1e-300)
+    The data enter by their mean, their maximum and ``mean_log``, the mean of log1p(theta * x) for each of the thetas.
+    """
+    lo, hi = -0.999 / top, 20 / max(mean, 1e-300)
     for _ in range(8):
         grid = np.linspace(lo, hi, 201)
-        value, shape = loss(grid)
-        at = int(value.argmin())
+        shape = mean_log(grid)
+        flat = np.abs(grid) < 1e-12
+        with np.errstate(divide="ignore", invalid="ignore"):
+            scale = np.where(flat, mean, shape / grid)
+            loss = np.log(scale) + np.where(flat, 1.0, 1 + shape)
+        at = int(np.where(np.isfinite(loss) & (scale > 0), loss, np.inf).argmin())
         lo, hi = grid[max(0, at - 1)], grid[min(200, at + 1)]
-    theta, shape = grid[at], float(shape[at])
-    return shape, float(x.mean() if abs(theta) < 1e-12 else shape / theta)
+    return float(shape[at]), float(scale[at])
+
+
+def pareto_tail(exceed: np.ndarray) -> tuple[float, float]:
+    """(shape, scale) of the fit to exceedances in memory."""
+    x = np.asarray(exceed, float)
+    return pareto_profile(lambda theta: np.log1p(np.outer(theta, x)).mean(1), float(x.mean()), float(x.max()))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -15,36 +16,62 @@ from proofgrid.functions import special
 from proofgrid.operators import labels as lb
 from proofgrid.operators import statistics as st
 from proofgrid.operators import triggers
+from proofgrid.operators.components import shared_table
 from proofgrid.operators.pairs import nearest
 from proofgrid.plans import bindings as b
 from proofgrid.plans.catalog import query
 
 
+def _log_sums(theta: np.ndarray):
+    """Rows (at, total): the sum of n * log1p(theta[at] * x) over a task's rows (x, n)."""
+
+    def run(batches):
+        total = np.zeros(len(theta))
+        for batch in batches:
+            x, n = (c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns)
+            for s in range(0, len(x), 4096):
+                total += np.log1p(np.outer(theta, x[s : s + 4096])) @ n[s : s + 4096]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(theta)), pa.int32()), pa.array(total)], ["at", "total"])
+
+    return run
+
+
 def tail_pvalues(calibration: DataFrame, test: DataFrame, score: str, tail: float = 0.2, least: int = 20) -> DataFrame:
     """Conformal p-values whose resolution beyond the largest calibration score comes from a generalised Pareto tail.
 
-    The tail (at most a fifth of the calibration scores, or ``most`` of them by rank) is fitted in one place.
+    The tail is a fifth of the calibration scores, whatever their number: its start comes from counts by value and prefix
+    sums, and each step of the fit is a sum over the tail's values, of which 201 numbers reach the driver.
     """
     out = st.conformal_pvalues(calibration, test, score)
-    n = calibration.filter(F.col(score).isNotNull()).count()
+    s = calibration.select(F.col(score).cast("double").alias("s")).filter("s IS NOT NULL")
+    n = s.count()
     k = max(least, round(n * tail))
     if n < 2 * least or k >= n:
         return out
-    most = min(k, 100_000)  # the largest scores are enough for the fit; more would only refine it
-    top = np.sort([r[0] for r in calibration.orderBy(F.col(score).desc()).limit(most + 1).select(F.col(score).cast("double")).collect()])
-    low, exceed = float(top[0]), top[1:] - top[0]
-    if np.ptp(exceed) <= 1e-12:
+    ranked = st.running(s.groupBy("s").agg(F.count("*").alias("n")), [], "s", ["n"])
+    low = ranked.filter(F.lit(n) - F.col("cum_n") + F.col("n") > k).agg(F.max("s")).first()[0]
+    exceed = shared_table(ranked.filter(F.col("s") > low).select((F.col("s") - low).alias("x"), F.col("n").cast("long").alias("n")))
+    have, total, last = exceed.agg(F.sum("n"), F.sum(F.col("x") * F.col("n")), F.max("x")).first()
+    if not have or last <= 1e-12:  # scores equal to the tail's start exceed it by 0, and add nothing to the sums
         return out
-    shape, scale = special.pareto_tail(exceed)
+
+    def mean_log(theta: np.ndarray) -> np.ndarray:
+        sums = exceed.mapInArrow(_log_sums(theta), "at int, total double").groupBy("at").agg(F.sum("total").alias("total")).collect()
+        got = np.zeros(len(theta))
+        for r in sums:
+            got[r["at"]] = r.total
+        return got / k
+
+    shape, scale = special.pareto_profile(mean_log, total / k, last)
     shape = float(np.clip(shape, -0.5, 0.5))
 
     @F.pandas_udf(T.DoubleType())
     def beyond(s: pd.Series) -> pd.Series:
         x = np.maximum(s.to_numpy(float) - low, 0) / scale
         sf = np.exp(-x) if abs(shape) < 1e-12 else np.maximum(1 + shape * x, 0) ** (-1 / shape)
-        return pd.Series(np.maximum(most / (n + 1) * sf, 1e-300))
+        return pd.Series(np.maximum(k / (n + 1) * sf, 1e-300))
 
-    return out.withColumn("p", F.when(F.col(score) > float(top[-1]), beyond(F.col(score).cast("double"))).otherwise(F.col("p")))
+    return out.withColumn("p", F.when(F.col(score) > low + last, beyond(F.col(score).cast("double"))).otherwise(F.col("p")))
 
 
 @query()

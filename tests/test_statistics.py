@@ -84,3 +84,20 @@ def test_paths_and_intervals(spark):
     low, high = c.wilson(F.lit(0), F.lit(0))
     r = df.limit(1).select(low.alias("a"), high.alias("b")).first()
     assert (r.a, r.b) == (0.0, 1.0)
+
+
+def test_tail_p_values_match_a_fit_in_memory(spark):
+    import numpy as np
+
+    from proofgrid.plans.extras import tail_pvalues
+
+    rng = np.random.default_rng(3)
+    cal = np.round(rng.exponential(2.0, 3_000), 2)  # many ties
+    df = lambda v: spark.createDataFrame([(float(x),) for x in v], "score double")
+    top = np.sort(cal)[-601:]
+    shape, scale = sp.pareto_tail(top[1:] - top[0])
+    got = {r.score: r.p for r in tail_pvalues(df(cal).repartition(5), df([cal.max() + 1, cal.max() + 9, 3.0]), "score").collect()}
+    for x in (cal.max() + 1, cal.max() + 9):
+        want = 600 / 3_001 * max(1 + np.clip(shape, -0.5, 0.5) * (x - top[0]) / scale, 0) ** (-1 / np.clip(shape, -0.5, 0.5))
+        assert abs(got[x] - want) < 1e-6 * want
+    assert abs(got[3.0] - (1 + (cal >= 3.0).sum()) / 3_001) < 1e-12
