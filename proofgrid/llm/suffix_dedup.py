@@ -414,7 +414,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = found.agg(F.sum("n")).first()[0] or 0
     live = cut(shared_join(found, cut(times, "times"), ["h"], "times", total).drop("times"), "live")
     kinds = cut(live.groupBy("h", "d").agg(F.sum("n").alias("times"), F.min(F.struct("k1", "k2")).alias("first")), "kinds")
-    kinds = kinds.join(kinds.groupBy("h").agg(F.count("*").alias("kinds")), "h").filter("times > 1 OR kinds > 1")
+    several = cut(kinds.groupBy("h").agg(F.count("*").alias("kinds")), "several")
+    kinds = shared_join(kinds, several, ["h"], "kinds", kinds.count()).filter("times > 1 OR kinds > 1")
     kinds = cut(kinds.select("h", "d", "times", "first", (F.col("kinds") > 1).alias("several"), (F.col("kinds") > hot).alias("hot")), "kinds")
     known = shared_join(live, kinds.filter("times > 1"), ["h", "d"], "times", total)
     known = known.select("k1", "k2", "h", "d", F.lit(True).alias("known"), (F.col("several") & (F.struct("k1", "k2") == F.col("first"))).alias("send"), "hot")
