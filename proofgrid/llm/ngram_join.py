@@ -11,7 +11,10 @@ Steps, with what each moves:
    one with the least place (the most typical) is paired with the others, and with the next star's.
 4. ``verified``: pairs are made distinct, get both sets by joins on their classes, and pass the suffix filter and
    the count of common shingles; each pair once. Links make components.
-5. Longer lists whose classes lie in several components then give all their pairs that pass the filters and run
+5. In longer lists whose classes lie in several components, each class is paired with a few others of its list in an
+   order by hash, if these are in other components. These pairs are verified and their links join components: in a
+   group of near copies nearly any pair links, so that few components remain.
+6. Longer lists whose classes lie in several components still give all their pairs that pass the filters and run
    across components, dealt out by ``block`` classes, and these are verified too; before sets are sent, a bound on
    their difference drops most (of ``PARITY`` ranges of hashes, those where one set has an odd number of shingles and
    the other an even one differ in a shingle at least). Pairs inside a component need no look. What remains unlinked is unlinked by a verified pair or a filter, so components are exact.
@@ -223,6 +226,25 @@ def _candidates(percent: int, pairwise: int, star: int, held_most: int = 50_000)
     return run
 
 
+def _nearby(percent: int, reach: int = 4):
+    """Pairs (u, v) across components of rows (h, node, size, place, component) that follow each other in a list, at most
+    ``reach`` rows apart. A batch's border parts pairs, which `_across` gives then if it has to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, node, size, place, component = (columns(batch, k).to_numpy(zero_copy_only=False) for k in ("h", "node", "size", "place", "component"))
+            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for d in range(1, reach + 1):
+                at = np.flatnonzero((h[d:] == h[:-d]) & (component[d:] != component[:-d]))
+                at = at[_passes(percent, size[at], place[at], size[at + d], place[at + d])]
+                us.append(node[at])
+                vs.append(node[at + d])
+            u, v = _pair_columns(us, vs)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return run
+
+
 def _across(percent: int):
     """Pairs (u, v) across components from rows (h, block, left, node, size, place, component, odd) that are sorted by
     (h, block, left descending): left rows of a block are held, the list's rows stream past them."""
@@ -362,21 +384,35 @@ class _Join:
         both = pairs.join(x.hint("merge"), "u").join(y.hint("merge"), "v").select(F.col("x").alias("u"), F.col("y").alias("v"), "a", "b")
         return both.mapInArrow(_verify(self.percent), "u long, v long, common long")
 
-    def across(self, members: DataFrame, component: DataFrame | None = None) -> DataFrame:
-        """Pairs of longer lists that run across components (node, component); without any, all pairs that pass the filters."""
+    def parted(self, component: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """The longer lists with the component of each class (node, component; without any, each is its own), and of each
+        list with several components: its number of rows n, and the largest component top.component with top.n rows."""
         if component is None:
             rows = self.lists.withColumn("component", F.col("node"))
         else:
             rows = self.lists.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
         by = rows.groupBy("h", "component").agg(F.count("*").alias("n"))
-        many = by.groupBy("h").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("kinds")).filter("kinds > 1")
+        return rows, by.groupBy("h").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("kinds")).filter("kinds > 1")
+
+    def nearby(self, component: DataFrame) -> DataFrame:
+        """Pairs of longer lists that run across components, a few for each row."""
+        rows, many = self.parted(component)
+        rows = rows.join(many.select("h", F.ceil(F.col("n") / self.block).cast("int").alias("blocks")), "h").withColumn("block", F.pmod(F.hash("node"), "blocks"))
+        dealt = rows.repartition("h", "block").sortWithinPartitions("h", "block", F.xxhash64("h", "node"))
+        return dealt.mapInArrow(_nearby(self.percent), "u long, v long").distinct().join(self.pairs, ["u", "v"], "left_anti")
+
+    def across(self, members: DataFrame, component: DataFrame | None = None, seen: DataFrame | None = None) -> DataFrame:
+        """Pairs of longer lists that run across components (node, component) and aren't ``seen`` yet; without any
+        components, all pairs that pass the filters."""
+        seen = self.pairs if seen is None else self.pairs.union(seen)
+        rows, many = self.parted(component)
         many = many.select("h", F.col("top.component").alias("most"), F.ceil((F.col("n") - F.col("top.n")) / self.block).cast("int").alias("blocks"))
         odd = members.filter(F.col("vertex") == F.col("node")).select("node", "odd")
         rows = rows.join(many, "h").join(odd, "node")
         left = rows.filter("component <> most").select("h", F.pmod(F.hash("node"), "blocks").alias("block"), F.lit(True).alias("left"), "node", "size", "place", "component", "odd")
         right = rows.select("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("left"), "node", "size", "place", "component", "odd")
         dealt = left.unionByName(right).repartition("h", "block").sortWithinPartitions("h", "block", F.col("left").desc())
-        return dealt.mapInArrow(_across(self.percent), "u long, v long").distinct().join(self.pairs, ["u", "v"], "left_anti")
+        return dealt.mapInArrow(_across(self.percent), "u long, v long").distinct().join(seen, ["u", "v"], "left_anti")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -395,7 +431,10 @@ def _components(docs: DataFrame, id_col: str, text_col: str, n: int = 5, percent
     links = cut(j.verified(j.pairs, members), "links")
     labels = cut(connected_components(links, "u", "v"), "labels")
     # lists hold digests, labels vertices: they differ only where two sets share 64 bits, and then nothing is left out
-    more = cut(j.across(members, labels), "across")
+    near = cut(j.nearby(labels), "near")
+    close = cut(j.verified(near, members, few=True), "close")
+    labels = cut(connected_components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(close.select("u", "v")), "u", "v"), "labels")
+    more = cut(j.across(members, labels, near), "across")
     again = cut(j.verified(more, members, few=True), "further")
     own = lambda k: labels.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
     bridges = again.join(own("u"), "u", "left").join(own("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
