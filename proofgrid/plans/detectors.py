@@ -19,6 +19,7 @@ from proofgrid.operators import labels as lb
 from proofgrid.operators import ledger as lg
 from proofgrid.operators import statistics as st
 from proofgrid.operators import triggers
+from proofgrid.operators.activations import split_classes
 from proofgrid.operators.components import connected_components
 from proofgrid.operators.pairs import hamming_pairs, nearest
 from proofgrid.plans import data, drift, extras, model
@@ -193,7 +194,7 @@ def strip(c: Context) -> Frames:
 
 
 def activation_analysis(c: Context) -> Frames:
-    s = model.split_classes(c.roles["embeddings"].select(F.col("label").alias("cls"), F.col("sample_id").alias("vec_id"), "embedding")).filter("silhouette >= 0.25 AND minority BETWEEN 0.04 AND 0.35")
+    s = split_classes(c.roles["embeddings"].select(F.col("label").alias("cls"), F.col("sample_id").alias("vec_id"), "embedding")).filter("silhouette >= 0.25 AND minority BETWEEN 0.04 AND 0.35")
     return Frames(_findings(s, "model.activation_analysis", "MODEL", "model_backdoor_patch", F.col("cls"), "MEDIUM", 0.6, F.round(F.col("minority") * F.col("n")), None, False))
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from proofgrid.functions import columns as c
 from proofgrid.operators import statistics as st
+from proofgrid.operators.activations import split_classes
 from proofgrid.plans import bindings as b
 from proofgrid.plans.catalog import query
 
@@ -114,35 +114,6 @@ def anomaly_index(spark, d):
     return st.robust_z(s, "l", ["all"]).select("cls", F.round(-F.col("z"), 6).alias("anomaly"))
 
 
-def split_classes(rows):
-    """Two clusters of each class's activations (cls, vec_id, embedding): the minority's share and the silhouette. At most
-    2,000 rows of a class are split, the first by a hash of the id: the detector's own bound."""
-    import numpy as np
-    import pandas as pd
-
-    def split(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.vstack(pdf.sort_values("vec_id")["embedding"].to_numpy()).astype(float)
-        x = x - x.mean(0)
-        x = x @ np.linalg.svd(x, full_matrices=False)[2][: min(10, *x.shape)].T
-        far = x[[np.argmin(x[:, 0]), np.argmax(x[:, 0])]]
-        for _ in range(50):
-            side = ((x[:, None] - far) ** 2).sum(2).argmin(1)
-            new = np.stack([x[side == s].mean(0) if (side == s).any() else far[s] for s in (0, 1)])
-            if np.allclose(new, far):
-                break
-            far = new
-        dist = np.sqrt(((x[:, None] - x) ** 2).sum(2))
-        n = np.bincount(side, minlength=2)
-        own = dist @ np.eye(2)[side]
-        a = own[np.arange(len(x)), side] / np.maximum(n[side] - 1, 1)
-        z = own[np.arange(len(x)), 1 - side] / np.maximum(n[1 - side], 1)
-        s = float(np.where(n[side] > 1, (z - a) / np.maximum(np.maximum(a, z), 1e-12), 0).mean()) if n.min() else 0.0
-        return pd.DataFrame([(key[0], len(x), float(n.min() / len(x)), s)], columns=["cls", "n", "minority", "silhouette"])
-
-    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy("cls").orderBy(F.xxhash64("vec_id"), "vec_id"))).filter("_i <= 2000")
-    return rows.select("cls", "vec_id", "embedding").groupBy("cls").applyInPandas(split, f"cls {dict(rows.dtypes)['cls']}, n long, minority double, silhouette double")
-
-
 @query()
 def activation_split(spark, d):
     return split_classes(b.vectors(spark, d).select(F.col("label").alias("cls"), "vec_id", "embedding"))

@@ -67,10 +67,11 @@ def fisher_enrichment(spark, d):
     return t.select("source", "k", "m", F.round(F.col("k") / F.col("m") / ((F.col("w") - F.col("k") + 0.5) / (F.col("n") - F.col("m") + 1)), 6).alias("enrichment"), F.round(special.hypergeometric_tail("k", "m", "w", "n"), 8).alias("p"))
 
 
-@query("SELECT event_id, round((1 + (SELECT count(*) FROM events c WHERE c.event_id % 2 = 0 AND c.value >= t.value)) / (1 + (SELECT count(*) FROM events WHERE event_id % 2 = 0)), 9) AS p FROM events t WHERE event_id % 20 = 1")
+@query("""SELECT event_id, round((1 + above) / (1 + n), 9) AS p FROM (SELECT event_id, count(*) FILTER (event_id % 2 = 0) OVER (ORDER BY value DESC) AS above, count(*) FILTER (event_id % 2 = 0) OVER () AS n FROM events)
+WHERE event_id % 2 = 1""")
 def conformal_pvalues(spark, d):
     e = b.read(spark, d, "events").select("event_id", "value")
-    out = st.conformal_pvalues(e.filter("event_id % 2 = 0"), e.filter("event_id % 20 = 1"), "value")
+    out = st.conformal_pvalues(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"), "value")
     return out.select("event_id", F.round("p", 9).alias("p"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from proofgrid.functions import vision
 from proofgrid.operators import fixtures, risk, triggers
+from proofgrid.operators.activations import split_classes
 from proofgrid.operators.components import connected_components
 from proofgrid.operators.pairs import hamming_pairs, nearest
 from proofgrid.plans import engine
@@ -146,3 +147,31 @@ def test_fixtures_are_deterministic(spark):
     n = flipped.filter("label <> true_label").count()
     assert 70 < n <= 100 and n == fixtures.flip_labels(s.repartition(7), "c0", "a", "b").filter("label <> true_label").count()
     assert fixtures.flood(s, "c1", 3, 10).count() == 230
+
+
+def test_split_classes_counts_every_row(spark):
+    rng = np.random.default_rng(3)
+    far = np.zeros(16)
+    far[4] = 9
+    planted = {"a": (2400, 400), "b": (60, 0), "c": (1, 0)}
+    rows, held = [], {}
+    for name, (n, k) in planted.items():
+        x = rng.normal(size=(n + k, 16))
+        x[n:] += far
+        held[name] = x
+        rows += [(name, i, v.tolist()) for i, v in enumerate(x)]
+    same = [("d", i, [1.0] * 16) for i in range(5)]
+    df = spark.createDataFrame([*rows, *same, (None, 1, [0.0] * 16), ("a", 9, None)], "cls string, vec_id long, embedding array<double>")
+    got = {r.cls: r for r in split_classes(df).collect()}
+    assert {k: r.n for k, r in got.items()} == {"a": 2800, "b": 60, "c": 1, "d": 5}
+    assert (got["c"].minority, got["c"].silhouette, got["d"].minority, got["d"].silhouette) == (0, 0, 0, 0)
+    x = held["a"] - held["a"].mean(0)
+    z = x @ np.linalg.svd(x, full_matrices=False)[2][:10].T
+    side = np.arange(2800) >= 2400
+    apart = np.sqrt(np.maximum((z**2).sum(1)[:, None] + (z**2).sum(1) - 2 * z @ z.T, 0))
+    own = np.where(side, apart[:, side].sum(1) / 399, apart[:, ~side].sum(1) / 2399)
+    other = np.where(side, apart[:, ~side].mean(1), apart[:, side].mean(1))
+    assert abs(got["a"].minority - 1 / 7) < 1e-12
+    assert abs(got["a"].silhouette - ((other - own) / np.maximum(own, other)).mean()) < 0.02
+    assert 0 < got["b"].minority <= 0.5 and got["b"].silhouette < 0.25
+    assert not split_classes(df.limit(0)).collect()
