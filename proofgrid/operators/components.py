@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 
 def shared_table(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, which cuts its lineage."""
+    """``df`` written to the shared checkpoint folder and read back, which cuts its lineage. On a cluster
+    ``spark.checkpoint.dir`` has to be set; only a local session makes a folder of its own."""
     spark: SparkSession = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='proofgrid-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"

@@ -59,6 +59,20 @@ def bh_qvalues(df: DataFrame, p: str, by: Sequence[str] = (), out: str = "q") ->
     return ranked.withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_i")).over(back))).drop("_n", "_i")
 
 
+def bh_qvalues_of_rows(df: DataFrame, p: str, out: str = "q") -> DataFrame:
+    """The same for tests as many as rows: from counts by distinct p, prefix sums, and a minimum from above in two levels
+    (4,096 ranges of ranks, then inside each), so that no task orders all. Rows without a p take no part and get none."""
+    df = shared_table(df)  # read twice, and joined on its values
+    ranked = running(df.filter(F.col(p).isNotNull()).groupBy(F.col(p).cast("double").alias("_p")).agg(F.count("*").alias("n")), [], "_p", ["n"])
+    t = ranked.crossJoin(F.broadcast(ranked.agg(F.max("cum_n").alias("_all"))))  # one row
+    t = t.select("_p", (F.col("_p") * F.col("_all") / F.col("cum_n")).alias("_raw"), F.floor(F.col("cum_n") * 4096 / F.col("_all")).cast("int").alias("_range"))
+    above = Window.orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    later = t.groupBy("_range").agg(F.min("_raw").alias("_low")).select("_range", F.min("_low").over(above).alias("_later"))  # 4,097 rows at most
+    inside = Window.partitionBy("_range").orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    q = t.withColumn("_own", F.min("_raw").over(inside)).join(F.broadcast(later), "_range").select("_p", F.least(F.lit(1.0), "_own", "_later").alias(out))
+    return df.join(q, F.col(p).cast("double") == F.col("_p"), "left").drop("_p")
+
+
 def robust_z(df: DataFrame, x: str, by: Sequence[str], out: str = "z") -> DataFrame:
     """Modified z-score in each group: the median and the scaled median deviation, or the scaled mean one if that is 0."""
     keys = list(by)

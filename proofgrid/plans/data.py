@@ -129,7 +129,7 @@ def ood_conformal(spark, d):
     ref = v.filter("vec_id % 4 = 0")
     score = lambda q: nearest(q, ref, "vec_id", "embedding", 5).filter("rank = 5").select(F.col("query").alias("sample_id"), F.col("distance").alias("score"))
     out = st.conformal_pvalues(score(v.filter("vec_id % 4 = 1")), score(v.filter("vec_id % 4 > 1")), "score")
-    return st.bh_qvalues(out, "p").select("sample_id", F.round("score", 6).alias("score"), F.round("p", 8).alias("p"), F.round("q", 8).alias("q"))
+    return st.bh_qvalues_of_rows(out, "p").select("sample_id", F.round("score", 6).alias("score"), F.round("p", 8).alias("p"), F.round("q", 8).alias("q"))
 
 
 _BOX = "SELECT l_orderkey AS id, l_suppkey % 8 AS contributor, l_quantity - 4 AS x, l_tax * 500 - 3 AS y, l_discount * 400 - 4 AS w, l_quantity * 2 - 6 AS h FROM lineitem"

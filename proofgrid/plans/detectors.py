@@ -76,12 +76,12 @@ def ood(c: Context) -> Frames:
         ref = reference.withColumn("_half", F.pmod(F.xxhash64("sample_id"), F.lit(2)))
         base = ref.filter("_half = 0").drop("_half")
         score = lambda q: nearest(q, base, "sample_id", "embedding", 5).groupBy(F.col("query").alias("sample_id")).agg(F.avg("distance").alias("score"))
-        out = st.bh_qvalues(extras.tail_pvalues(score(ref.filter("_half = 1").drop("_half")), score(e), "score"), "p")
+        out = st.bh_qvalues_of_rows(extras.tail_pvalues(score(ref.filter("_half = 1").drop("_half")), score(e), "score"), "p")
     else:
         own = nearest(e, e, "sample_id", "embedding", 5).groupBy(F.col("query").alias("sample_id")).agg(F.log(F.avg("distance") + 1e-12).alias("score")).withColumn("_all", F.lit(1))
         from proofgrid.functions import special
 
-        out = st.bh_qvalues(st.robust_z(own, "score", ["_all"]).withColumn("p", special.normal_tail("z")), "p")
+        out = st.bh_qvalues_of_rows(st.robust_z(own, "score", ["_all"]).withColumn("p", special.normal_tail("z")), "p")
     hit = out.filter("q < 0.01").join(e.select("sample_id", "contributor"), "sample_id")
     groups = hit.groupBy("contributor").agg(F.count("*").alias("n"))
     return Frames(_findings(groups, "data.ood", "DATA", "ood_injection", F.coalesce("contributor", F.lit("unattributed")), "MEDIUM", 0.7, F.col("n"), F.array("contributor"), False), _flags(hit, "ood_injection", "MEDIUM", 0.7))

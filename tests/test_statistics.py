@@ -101,3 +101,15 @@ def test_tail_p_values_match_a_fit_in_memory(spark):
         want = 600 / 3_001 * max(1 + np.clip(shape, -0.5, 0.5) * (x - top[0]) / scale, 0) ** (-1 / np.clip(shape, -0.5, 0.5))
         assert abs(got[x] - want) < 1e-6 * want
     assert abs(got[3.0] - (1 + (cal >= 3.0).sum()) / 3_001) < 1e-12
+
+
+def test_qvalues_of_many_rows_are_those_of_one_window(spark):
+    rng = np.random.default_rng(8)
+    values = [*np.round(rng.uniform(size=3000) ** 3, 4).tolist(), 0.0, 1.0, 1.0]
+    df = spark.createDataFrame(list(enumerate(values)), "i long, p double")
+    few = {r.i: r.q for r in st.bh_qvalues(df, "p").collect()}
+    many = {r.i: r.q for r in st.bh_qvalues_of_rows(df, "p").collect()}
+    assert few.keys() == many.keys() and all(abs(few[i] - many[i]) < 1e-12 for i in few)
+    odd = spark.createDataFrame([(1, None), (2, 0.5)], "i long, p double")
+    assert {r.i: r.q for r in st.bh_qvalues_of_rows(odd, "p").collect()} == {1: None, 2: 0.5}
+    assert not st.bh_qvalues_of_rows(df.limit(0), "p").collect()
