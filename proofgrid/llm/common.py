@@ -22,9 +22,11 @@ BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a local one only where the setting is unset (tests)."""
+    """The folder that the cluster shares; a local one only where the setting is unset and the session local (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='proofgrid-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
