@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofgrid.llm import centroids, exact_dedup, language_id, license_scan, line_dedup, mixing, ngram_join, piece_codec, quality_rules, suffix_dedup, url_filter
+from proofgrid.llm import centroids, exact_dedup, language_id, license_scan, line_dedup, mixing, ngram_join, piece_codec, quality_rules, suffix_dedup, token_store, url_filter
 from proofgrid.llm.common import table
 
 
@@ -57,8 +57,12 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters(table(spark, sf_dir, "embeddings"))
 
 
+def op12_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.round_trip(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_exact_dedup, op3_source_mixing, op4_url_filter, op5_line_dedup, op6_quality_rules, op7_license_scan, op8_sentencepiece, op9_ngram_jaccard_join, op10_language_id, op11_centroid_clustering)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_exact_dedup, op3_source_mixing, op4_url_filter, op5_line_dedup, op6_quality_rules, op7_license_scan, op8_sentencepiece, op9_ngram_jaccard_join, op10_language_id, op11_centroid_clustering, op12_token_binary_output)}
 
 
 def oracle_sql() -> dict[str, str]:
