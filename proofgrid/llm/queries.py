@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofgrid.llm import centroids, exact_dedup, language_id, license_scan, line_dedup, mixing, ngram_join, piece_codec, quality_rules, suffix_dedup, token_store, url_filter
+from proofgrid.llm import centroids, exact_dedup, language_id, license_scan, line_dedup, mixing, ngram_join, piece_codec, prefix_trie, quality_rules, suffix_dedup, token_store, url_filter
 from proofgrid.llm.common import table
 
 
@@ -61,9 +61,13 @@ def op12_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_exact_dedup, op3_source_mixing, op4_url_filter, op5_line_dedup, op6_quality_rules, op7_license_scan, op8_sentencepiece, op9_ngram_jaccard_join, op10_language_id, op11_centroid_clustering, op12_token_binary_output)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_exact_dedup, op3_source_mixing, op4_url_filter, op5_line_dedup, op6_quality_rules, op7_license_scan, op8_sentencepiece, op9_ngram_jaccard_join, op10_language_id, op11_centroid_clustering, op12_token_binary_output, op13_conversation_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.SQL, "op3_source_mixing": mixing.SQL, "op11_centroid_clustering": centroids.sql()}
+    return {"op2_exact_dedup": exact_dedup.SQL, "op3_source_mixing": mixing.SQL, "op11_centroid_clustering": centroids.sql(), "op13_conversation_prefix_trie": prefix_trie.sql()}
