@@ -363,8 +363,9 @@ def _each_shard(read):
 
 
 def _spread(shards: DataFrame) -> DataFrame:
-    """One shard after the other, dealt over the tasks."""
-    return shards.repartition(F.col("part"), F.col("place")).select("folder", "name", "start")
+    """The shards, dealt over tasks (by number, as their rows are too small to be dealt by size)."""
+    tasks = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return shards.repartition(tasks, "part", "place").select("folder", "name", "start")
 
 
 def _checked(shard: Shard, start: int) -> Iterator[pa.RecordBatch]:
