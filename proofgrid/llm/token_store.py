@@ -46,13 +46,13 @@ from proofgrid.llm.common import bounded, chunks, columns, cut, shared_dir
 
 MAGIC = b"PGWM0001"
 BLOCK = 1 << 16
-#: Words, and pieces of words, that a task remembers.
-KEPT = 300_000
+#: Words, and pieces of words, that a task remembers (some 200 bytes each).
+KEPT = 800_000
 END = 2
 SHARD_TOKENS = 1 << 24
 
 #: The pieces that the file's pattern cuts from words of ASCII and U+00C0 to U+00FF in lower case.
-PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|\n|[^\na-zß-öø-ÿ0-9]+")
 #: The normaliser and cutting that this holds for.
 NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -85,7 +85,7 @@ class Encoder:
             about = json.load(f)
         self.whole = Tokenizer.from_file(path)
         vocabulary = self.whole.get_vocab()
-        self.kind = np.dtype(np.uint16 if max(vocabulary.values()) < 1 << 16 else np.uint32)
+        self.kind = np.dtype(np.uint16 if max(vocabulary.values()) < (1 << 16) - 1 else np.uint32)  # the last number is no id
         cutting = about["pre_tokenizer"] or {}
         steps = cutting.get("pretokenizers", [{}])
         self.cuts = about["normalizer"] == NORMALISER and [s.get("type") for s in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"].get("Regex") == PATTERN and about["model"].get("end_of_word_suffix") == "</w>"
@@ -98,16 +98,22 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
 
     def _learn(self, words: list[bytes]) -> None:
-        cuts = [PIECES.findall(w) for w in b"\n".join(words).decode().lower().split("\n")]
-        new = list({p for c in cuts for p in c}.difference(self.pieces))
-        if new:
-            ids = np.array(self.model.encode(" ".join(new).encode().decode("latin-1").translate(self.letters), add_special_tokens=False).ids, self.kind)
+        cuts = PIECES.findall(b"\n".join(words).decode().lower())
+        if new := list(set(cuts).difference(self.pieces, "\n")):
+            new.sort(key=str.isascii)
+            wide = sum(not p.isascii() for p in new)
+            text = [" ".join(new[:wide]).encode().decode("latin-1").translate(self.letters), " ".join(new[wide:]).translate(self.letters)]
+            ids = np.array(self.model.encode_batch_fast([" ".join(text)], add_special_tokens=False)[0].ids, self.kind)
             edges = [0, *((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()]
             if len(edges) != len(new) + 1:
                 raise ValueError("a piece of a word isn't one word of the model")
             raw = ids.tobytes()
             self.pieces.update(zip(new, (raw[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)), strict=True))
-        self.words.update(zip(words, (b"".join([self.pieces[p] for p in c]) for c in cuts), strict=True))
+        mark = np.array(-1).astype(self.kind).tobytes()
+        self.pieces["\n"] = mark
+        raw = b"".join(map(self.pieces.__getitem__, cuts)) + mark
+        edges = ((np.flatnonzero(np.frombuffer(raw, self.kind) == np.frombuffer(mark, self.kind)) + 1) * self.kind.itemsize).tolist()
+        self.words.update(zip(words, (raw[a : b - len(mark)] for a, b in zip([0, *edges[:-1]], edges, strict=True)), strict=True))
         if len(self.pieces) > KEPT:
             self.pieces.clear()
 
@@ -136,7 +142,9 @@ def encoder(path: str) -> Encoder:
 def shard_bytes(ids: np.ndarray, documents: pa.Table) -> bytes:
     """The file of a shard."""
     squeeze = zstandard.ZstdCompressor(level=1)
-    found, seen = np.unique(ids, return_counts=True)
+    seen = np.bincount(ids, minlength=1)  # ids are below a vocabulary's size
+    found = np.flatnonzero(seen)
+    seen = seen[found]
     alphabet = found[np.lexsort((found, -seen))].astype("<u4")
     levels = max(1, int(len(alphabet) - 1).bit_length())
     place = np.zeros(int(found.max(initial=0)) + 1, np.uint16 if levels <= 16 else np.uint32)
@@ -160,7 +168,7 @@ def shard_bytes(ids: np.ndarray, documents: pa.Table) -> bytes:
         ones = ((now >> level) & 1).astype(bool)
         packed = np.packbits(ones, bitorder="little")
         parts = [squeeze.compress(packed[i : i + BLOCK // 8].tobytes()) for i in range(0, len(packed), BLOCK // 8)]
-        before = np.cumsum([0, *np.add.reduceat(ones, range(0, len(ones), BLOCK), dtype=np.int64)]) if len(ones) else np.zeros(1, np.int64)
+        before = np.cumsum([0, *(np.add.reduceat(np.bitwise_count(packed), range(0, len(packed), BLOCK // 8), dtype=np.int64) if len(packed) else [])], dtype=np.int64)
         offsets = np.cumsum([0, *map(len, parts)])
         put(f"plane{level}", np.concatenate([offsets, before]).astype("<u8").tobytes())
         put(f"bits{level}", b"".join(parts))

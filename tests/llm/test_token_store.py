@@ -42,7 +42,7 @@ def test_any_latin_text(model, plain, texts):
 
 
 def test_little_memory(model, plain, monkeypatch):
-    monkeypatch.setattr(ts, "KEPT", 3)
+    monkeypatch.setattr(ts, "KEPT", 4)
     enc = ts.Encoder(model)
     for t in TEXTS * 2:
         assert np.frombuffer(enc.encode([t.encode()])[0], enc.kind).tolist() == plain(t)
