@@ -1,8 +1,10 @@
-"""Pair joins: equal digests, Hamming distance by bands, and nearest neighbours by blocks."""
+"""Pair joins: equal digests, Hamming distance by probed bands, and nearest neighbours by blocks."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -19,39 +21,80 @@ def digest_links(df: DataFrame, id_col: str, digest: str) -> DataFrame:
     return df.select(digest, F.col(id_col).alias("j")).join(least, digest).filter("i < j").select("i", "j")
 
 
-def hamming_pairs(df: DataFrame, id_col: str, bits: str, most: int, width: int = 63, flip: str | None = None) -> DataFrame:
-    """(i, j, distance, mirrored), i < j, of all pairs within ``most`` bits, exactly.
+def band_plan(width: int, most: int, rows: int, probes: int = 4_096) -> list[tuple[int, int, int]]:
+    """(first bit, bits, radius) of the bands by which hashes within ``most`` bits of each other are found.
 
-    Pairs within ``most`` differ in at most that many of ``most`` + 1 disjoint bands, so at least one band is
-    equal: candidates come from an equi-join on bands. ``flip`` names the mirrored hash of the later row; a direct
-    match counts before a mirrored one. At large distances bands get short and candidates many: the join then
-    approaches all pairs, which is inherent in an exact answer.
+    With m bands, most = m * r + a: two such hashes are within r bits on one of the first a + 1 bands or within r - 1 on a
+    later one, as they would differ in more than ``most`` bits otherwise. Few wide bands cost probes (all keys within the
+    radius), many narrow ones cost chance meetings; the plan with the fewest rows for so many hashes is taken, and every
+    plan gives the same pairs.
+    """
+    rows, best = max(rows, 1), None
+    for m in range(1, min(most + 1, width) + 1):
+        r, extra = divmod(most, m)
+        cuts = [width * k // m for k in range(m + 1)]
+        bands = [(lo, hi - lo, r if k <= extra else r - 1) for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+        bands = [x for x in bands if x[2] >= 0]
+        balls = [sum(comb(n, k) for k in range(r + 1)) for _, n, r in bands]
+        cost = rows * (len(bands) + sum(balls)) + rows * rows * sum(b / 2**n for b, (_, n, _) in zip(balls, bands, strict=True))
+        if sum(balls) <= probes and (best is None or cost < best[0]):
+            best = cost, bands
+    return best[1]
+
+
+def _ball(first: int, bits: int, radius: int) -> list[int]:
+    """What to flip in a band for all keys within the radius, as signed longs."""
+    out = [sum(1 << (first + k) for k in at) for n in range(radius + 1) for at in combinations(range(bits), n)]
+    return [x - (1 << 64) if x >> 63 else x for x in out]
+
+
+def probe_join(index: DataFrame, probe: DataFrame, index_bits: str, probe_bits: str, most: int, bands: list[tuple[int, int, int]]) -> DataFrame:
+    """(a, b, distance): the rows of ``index`` and ``probe`` as structs whose hashes are within ``most`` bits, each pair once.
+
+    ``index`` is dealt by its bands, ``probe`` asks for every key within a band's radius; a pair that meets in several bands
+    counts in the first of them, so nothing needs to be made distinct.
     """
-    k = min(most + 1, width)
-    cuts = [width * b // k for b in range(k + 1)]
+    whole = [((1 << bits) - 1) << first for first, bits, _ in bands]
+    whole = [w - (1 << 64) if w >> 63 else w for w in whole]
+    key = lambda k, c: F.struct(F.lit(k).alias("band"), F.col(c).bitwiseAND(F.lit(whole[k])).alias("key"))
+    left = index.filter(F.col(index_bits).isNotNull()).select(F.struct("*").alias("a"), F.explode(F.array(*(key(k, index_bits) for k in range(len(bands))))).alias("x"))
+
+    def asked(k: int):
+        flips = F.expr(f"array({', '.join(f'{x}L' for x in _ball(*bands[k]))})")
+        return F.transform(flips, lambda x: F.struct(F.lit(k).alias("band"), F.col(probe_bits).bitwiseAND(F.lit(whole[k])).bitwiseXOR(x).alias("key")))
+
+    right = probe.filter(F.col(probe_bits).isNotNull()).select(F.struct("*").alias("b"), F.explode(F.concat(*map(asked, range(len(bands))))).alias("x"))
+    met = left.select("a", "x.band", "x.key").join(right.select("b", "x.band", "x.key"), ["band", "key"])
+    differ = F.col(f"a.{index_bits}").bitwiseXOR(F.col(f"b.{probe_bits}"))
+    first = F.coalesce(*(F.when(F.bit_count(differ.bitwiseAND(F.lit(w))) <= r, F.lit(k)) for k, (w, (_, _, r)) in enumerate(zip(whole, bands, strict=True))))
+    return met.withColumn("distance", F.bit_count(differ)).filter((F.col("distance") <= most) & (F.col("band") == first)).select("a", "b", "distance")
 
-    def bands(c: str):
-        return F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.shiftrightunsigned(F.col(c), cuts[b]).bitwiseAND(F.lit((1 << (cuts[b + 1] - cuts[b])) - 1)).alias("key")) for b in range(k))))
 
-    def joined(right_bits: str, mirrored: bool) -> DataFrame:
-        a = df.select(F.col(id_col).alias("i"), F.col(bits).alias("a"), bands(bits).alias("x")).select("i", "a", "x.band", "x.key")
-        b = df.select(F.col(id_col).alias("j"), F.col(right_bits).alias("b"), bands(right_bits).alias("x")).select("j", "b", "x.band", "x.key")
-        out = a.join(b, ["band", "key"]).filter("i < j").withColumn("distance", hamming(F.col("a"), F.col("b"))).filter(F.col("distance") <= most)
-        # a pair meets once for each equal band: only the first of them counts
-        first = F.array_min(F.filter(F.array(*map(F.lit, range(k))), lambda n: _band(F.col("a"), n, cuts) == _band(F.col("b"), n, cuts)))
-        return out.filter(F.col("band") == first).select("i", "j", "distance", F.lit(mirrored).alias("mirrored"))
+def hamming_pairs(df: DataFrame, id_col: str, bits: str, most: int, width: int = 63, flip: str | None = None) -> DataFrame:
+    """(i, j, distance, mirrored), i < j, of all pairs of rows within ``most`` bits, exactly, by ``probe_join``.
 
-    direct = joined(bits, False)
+    ``flip`` names the mirrored hash of the later row; a direct match counts before a mirrored one. Rows of equal hash
+    are pairs too: where many copies can occur, use ``duplicates.near_pairs``, which takes distinct hashes.
+    """
+    bands = band_plan(width, most, df.count())
+    rows = df.select(F.col(id_col).alias("id"), F.col(bits).alias("bits"), *([F.col(flip).alias("flip")] if flip else []))
+    plain = rows.select("id", "bits")
+    found = probe_join(plain, plain, "bits", "bits", most, bands).filter("a.id < b.id")
+    direct = found.select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), "distance", F.lit(False).alias("mirrored"))
     if not flip:
         return direct
-    mirrored = joined(flip, True)
-    return direct.unionByName(mirrored.join(direct.select("i", "j"), ["i", "j"], "left_anti"))
+    other = probe_join(plain, rows, "bits", "flip", most, bands).filter((F.col("a.id") < F.col("b.id")) & (hamming(F.col("a.bits"), F.col("b.bits")) > most))
+    return direct.unionByName(other.select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), "distance", F.lit(True).alias("mirrored")))
 
 
-def _band(c, n, cuts: list[int]):
-    lows = F.array(*map(F.lit, cuts[:-1]))
-    masks = F.array(*(F.lit((1 << (b - a)) - 1).cast("long") for a, b in zip(cuts[:-1], cuts[1:], strict=True)))
-    return F.call_function("shiftrightunsigned", c, F.element_at(lows, n + 1)).bitwiseAND(F.element_at(masks, n + 1))
+def class_join(rows: DataFrame, classes: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``classes``, which has one row for each of ``keys`` with its number of rows.
+
+    Classes of a thousandth of all rows or more (1,000 at most) go by broadcast, so that no task gets such a class whole.
+    """
+    hot = F.broadcast(classes.filter(F.col(size) * 1_000 >= total))
+    rest = classes.filter(F.col(size) * 1_000 < total)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(keys), keys, "left_anti").join(rest, keys))
 
 
 def _best(ids: np.ndarray, x: np.ndarray, base_ids: np.ndarray, base: np.ndarray, k: int, metric: str) -> pa.RecordBatch:

@@ -103,3 +103,35 @@ def axes(spark: SparkSession, d: str) -> DataFrame:
 
 
 AXES_SQL = "SELECT l_shipdate < TIMESTAMP '1998-01-01' AS is_ref, l_returnflag AS grp, unnest(['quantity','extendedprice','discount','tax']) AS axis, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS value FROM lineitem"
+
+
+def imprints(spark: SparkSession, d: str) -> DataFrame:
+    """documents as images: (sample_id, phash, dhash, phash_flip, dhash_flip, embedding). The embedding counts three-word
+    strings by a hash in 64 places; the hashes are its places above the median, and above the place before, and those of
+    the reversed counts."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"))
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), words.alias("words"))
+    n = F.size("words")
+    grams = F.when(n > 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.array_join(F.slice("words", i, 3), " ")))
+    place = (F.conv(F.substring(F.md5("gram"), 1, 4), 16, 10).cast("int") % 64).alias("place")
+    counts = docs.select("sample_id", F.explode(grams).alias("gram")).groupBy("sample_id", place).count().groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "count"))).alias("m"))
+    v = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.coalesce(F.element_at("m", k.cast("int")), F.lit(0)))
+    out = docs.select("sample_id").join(counts, "sample_id", "left").select("sample_id", v.alias("v")).withColumn("r", F.reverse("v"))
+    packed = lambda bits: F.aggregate(bits, F.lit(0).cast("long"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR(x.cast("long")))
+    low = lambda c: F.element_at(F.array_sort(F.slice(c, 2, 63)), 32)
+    above = lambda c: packed(F.transform(F.slice(c, 1, 63), lambda x: x > low(c)))
+    rising = lambda c: packed(F.zip_with(F.slice(c, 2, 63), F.slice(c, 1, 63), lambda x, y: x > y))
+    return out.select("sample_id", above("v").alias("phash"), rising("v").alias("dhash"), above("r").alias("phash_flip"), rising("r").alias("dhash_flip"), F.transform("v", lambda x: x.cast("double")).alias("embedding"))
+
+
+IMPRINTS_SQL = r"""
+w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(words) - 1, 1)), lambda i: ('0x' || substr(md5(array_to_string(words[i:i + 2], ' ')), 1, 4))::INT % 64)) AS place FROM w),
+m AS (SELECT doc_id, map_from_entries(list({'k': place, 'v': n})) AS m FROM (SELECT doc_id, place, count(*) AS n FROM g GROUP BY ALL) GROUP BY 1),
+v AS (SELECT w.doc_id AS i, list_transform(range(0, 64), lambda k: coalesce(map_extract_value(m, k), 0)::BIGINT) AS v FROM w LEFT JOIN m USING (doc_id)),
+f AS (SELECT i, v, list_reverse(v) AS r, list_sort(v[2:])[32] AS mv, list_sort(list_reverse(v)[2:])[32] AS mr FROM v),
+h AS MATERIALIZED (SELECT i, v::DOUBLE[] AS v, list_inner_product(v::DOUBLE[], v::DOUBLE[]) AS nn,
+  list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 64), lambda k: (v[k] > mv)::BIGINT)), lambda p, q: p * 2 + q) AS p,
+  list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 64), lambda k: (v[k + 1] > v[k])::BIGINT)), lambda p, q: p * 2 + q) AS d,
+  list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 64), lambda k: (r[k] > mr)::BIGINT)), lambda p, q: p * 2 + q) AS pf,
+  list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 64), lambda k: (r[k + 1] > r[k])::BIGINT)), lambda p, q: p * 2 + q) AS df FROM f)"""

@@ -1,7 +1,7 @@
 """The checks of a scan, as compositions of the operators over roles.
 
 Roles (all optional): samples (sample_id, label, contributor, batch, digest, timestamp, sensor, source, boxes, width,
-height), hashes (sample_id, phash, dhash, phash_flip), embeddings (sample_id, contributor, label, embedding), reference
+height), hashes (sample_id, phash, dhash, phash_flip, dhash_flip), embeddings (sample_id, contributor, label, embedding), reference
 (same), axes (is_ref, grp, axis, value), predictions (grp, candidate, reference), overlays (input_id, role, predicted),
 parameters and reference_parameters (tensor, idx, value), models and approved (artifact_digest, param_digest),
 operators and reference_operators (op), probes (variant, before, after), masks (cls, l1), energies (sample_id, energies),
@@ -15,13 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofgrid.operators import duplicates
 from proofgrid.operators import labels as lb
 from proofgrid.operators import ledger as lg
 from proofgrid.operators import statistics as st
 from proofgrid.operators import triggers
 from proofgrid.operators.activations import split_classes
-from proofgrid.operators.components import connected_components
-from proofgrid.operators.pairs import hamming_pairs, nearest
+from proofgrid.operators.pairs import nearest
 from proofgrid.plans import data, drift, extras, model
 from proofgrid.plans.engine import Check, Context, Frames, Mode
 
@@ -46,10 +46,17 @@ def manifest_integrity(c: Context) -> Frames:
     return Frames(_findings(groups, "data.manifest_integrity", "DATA", "corrupted_samples", F.col("kind"), "HIGH", 1.0, F.col("n"), F.col("who")), _flags(bad, "corrupted_samples", "HIGH", 1.0))
 
 
+def _duplicates(c: Context, max_phash: int, max_dhash: int, min_cosine: float) -> DataFrame:
+    """(node, component) by both hashes, confirmed by cosine where there are embeddings."""
+    rows, vector = c.roles["hashes"], None
+    if "embeddings" in c.roles:
+        rows, vector = rows.join(c.roles["embeddings"].select("sample_id", "embedding"), "sample_id", "left"), "embedding"
+    return duplicates.components(rows, vector, max_phash=max_phash, max_dhash=max_dhash, min_cosine=min_cosine)
+
+
 def near_duplicate(c: Context) -> Frames:
-    h, p = c.roles["hashes"], c.params.get("data.near_duplicate", {})
-    pairs = hamming_pairs(h, "sample_id", "phash", p.get("max_phash", 8), 63, "phash_flip")
-    comp = connected_components(pairs, "i", "j")
+    p = c.params.get("data.near_duplicate", {})
+    comp = _duplicates(c, p.get("max_phash", 8), p.get("max_dhash", 10), p.get("min_cosine", 0.9))
     rows = c.roles["samples"].join(comp, F.col("sample_id") == F.col("node"), "left").drop("node")
     first = rows.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.coalesce(F.col("timestamp").cast("string"), F.lit("")).alias("t"), "sample_id")).alias("f"), F.count("*").alias("size"), F.collect_set("contributor").alias("who"))
     rows = rows.join(first, "component", "left").withColumn("redundant", F.col("component").isNotNull() & (F.col("sample_id") != F.col("f.sample_id")))
@@ -61,8 +68,9 @@ def near_duplicate(c: Context) -> Frames:
 
 
 def duplicate_label_conflict(c: Context) -> Frames:
-    pairs = hamming_pairs(c.roles["hashes"], "sample_id", "phash", 6, 63, "phash_flip")
-    rows = c.roles["samples"].join(connected_components(pairs, "i", "j"), F.col("sample_id") == F.col("node")).filter("label IS NOT NULL")
+    p = c.params.get("data.duplicate_label_conflict", {})
+    comp = _duplicates(c, p.get("max_phash", 6), p.get("max_dhash", ), p.get("min_cosine", 0.95))
+    rows = c.roles["samples"].join(comp, F.col("sample_id") == F.col("node")).filter("label IS NOT NULL")
     n = rows.groupBy("component", "label").agg(F.count("*").alias("n"))
     top = n.groupBy("component").agg(F.max("n").alias("top"), F.count("*").alias("labels"), F.sum("n").alias("size")).filter("labels > 1")
     tied = n.join(top, "component").filter("n = top").groupBy("component").agg(F.count("*").alias("ties"), F.min("label").alias("majority"))

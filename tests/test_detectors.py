@@ -20,14 +20,14 @@ def test_a_scan_finds_what_was_planted(spark):
         ts = "2024-01-02T00:00:%02dZ" % (k % 60) if who == "c1" and k < 80 else f"2024-01-{1 + k // 10:02d}T{k % 10 + 8:02d}:00:00Z" if k != 50 else "soon"
         box = [("car", 1.0, 1.0, 5.0 + k % 3, 5.0)] if k != 60 else [("car", 1.0, 1.0, -2.0, 5.0)]
         rows.append((k, label, who, "b", "d", "d" if k != 70 else "x", None if k != 71 else "missing", ts, box, 40.0, 40.0))
-        hashes.append((k, h, h, rng.getrandbits(63)))
+        hashes.append((k, h, h, rng.getrandbits(63), rng.getrandbits(63)))
         x = nrg.normal(0, 1, 6) + (3 if label == "a" else -3) + (25 if k in (5, 9) else 0)
         vectors.append((k, who, label, x.tolist()))
     samples = spark.createDataFrame(rows, "sample_id long, label string, contributor string, batch string, digest string, declared_digest string, error_kind string, timestamp string, boxes array<struct<category:string,x:double,y:double,w:double,h:double>>, width double, height double")
     emb = spark.createDataFrame(vectors, "sample_id long, contributor string, label string, embedding array<double>")
     axes = [(k < 150, "g", "u", float(nrg.normal(0, 1))) for k in range(300)] + [(k < 150, "g", "v", float(nrg.normal(0 if k < 150 else 2, 1))) for k in range(300)] + [(k < 150, "h", "v", float(nrg.normal(0, 1))) for k in range(300)]
     roles = {
-        "samples": samples, "hashes": spark.createDataFrame(hashes, "sample_id long, phash long, dhash long, phash_flip long"), "embeddings": emb,
+        "samples": samples, "hashes": spark.createDataFrame(hashes, "sample_id long, phash long, dhash long, phash_flip long, dhash_flip long"), "embeddings": emb,
         "axes": spark.createDataFrame(axes, "is_ref boolean, grp string, axis string, value double"),
         "parameters": spark.createDataFrame([("w", k, 1.0 if k else float("nan")) for k in range(9)] + [("v", k, float(k)) for k in range(9)], "tensor string, idx int, value double"),
         "probes": spark.createDataFrame([("p", 1, 2)] * 8 + [("q", 1, 1)] * 8, "variant string, before int, after int"),
