@@ -69,7 +69,7 @@ def near_duplicate(c: Context) -> Frames:
 
 def duplicate_label_conflict(c: Context) -> Frames:
     p = c.params.get("data.duplicate_label_conflict", {})
-    comp = _duplicates(c, p.get("max_phash", 6), p.get("max_dhash", ), p.get("min_cosine", 0.95))
+    comp = _duplicates(c, p.get("max_phash", 6), p.get("max_dhash", 8), p.get("min_cosine", 0.95))
     rows = c.roles["samples"].join(comp, F.col("sample_id") == F.col("node")).filter("label IS NOT NULL")
     n = rows.groupBy("component", "label").agg(F.count("*").alias("n"))
     top = n.groupBy("component").agg(F.max("n").alias("top"), F.count("*").alias("labels"), F.sum("n").alias("size")).filter("labels > 1")
