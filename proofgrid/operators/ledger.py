@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from proofgrid.functions.provenance import CanonicalError, canonical, canonical_json, merkle_root, signature_ok
+from proofgrid.functions.provenance import CanonicalError, canonical, canonical_json, signature_ok
+from proofgrid.operators.components import shared_table
 
 GENESIS = "sha256:" + "0" * 64
+#: Lines or numbers that a task orders at once.
+BLOCK = 1 << 16
 REQUIRED = ("v", "ledger", "seq", "prev", "ts", "nonce", "kind", "body", "key_id", "sig")
 
 
@@ -42,17 +43,71 @@ def gaps(df: DataFrame, ledger: str = "ledger", line: str = "line", seq: str = "
     return counted.withColumn("kind", kind).drop("_n")
 
 
-def merkle_roots(df: DataFrame, ledger: str = "ledger", seq: str = "seq", leaf: str = "entry_hash", most_levels: int = 40) -> DataFrame:
-    """(ledger, size, root) of each ledger's leaves in ``seq`` order, level by level: each step halves the rows, and an
-    odd last node moves up unchanged, which gives the root of the recursive definition."""
-    at = F.row_number().over(Window.partitionBy(ledger).orderBy(seq)) - 1
-    level = df.select(F.col(ledger).alias("ledger"), at.cast("long").alias("pos"), F.unhex(F.sha2(F.concat(F.unhex(F.lit("00")), F.col(leaf).cast("binary")), 256)).alias("h"))
-    sizes = level.groupBy("ledger").agg(F.count("*").alias("size"))
-    largest = sizes.agg(F.max("size")).first()[0] or 0
-    for _ in range(min(most_levels, max(0, int(largest - 1).bit_length()))):
-        pair = level.groupBy("ledger", F.floor(F.col("pos") / 2).alias("pos")).agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("h"))).alias("a"), F.max(F.when(F.col("pos") % 2 == 1, F.col("h"))).alias("b"))
-        level = pair.select("ledger", "pos", F.when(F.col("b").isNull(), F.col("a")).otherwise(F.unhex(F.sha2(F.concat(F.unhex(F.lit("01")), F.col("a"), F.col("b")), 256))).alias("h"))
-    return level.join(sizes, "ledger").select("ledger", "size", F.concat(F.lit("sha256:"), F.lower(F.hex("h"))).alias("root"))
+def prefix(df: DataFrame, key: str, order: str, **values) -> DataFrame:
+    """``df`` with aggregates over the earlier rows of the same ``key``: name=(F.max, F.min or F.sum, column).
+
+    ``order`` is an integer that is unique under its key. Rows are cut into blocks of 2^16 of its values; what is before a
+    block comes from one row a block, so no task holds a key.
+    """
+    joined = {"max": F.greatest, "min": F.least, "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))}
+    out = df.withColumn("_block", F.floor(F.col(order) / BLOCK)).withColumns({f"_v_{n}": c for n, (_, c) in values.items()})
+    part = out.groupBy(key, "_block").agg(*(f(f"_v_{n}").alias(f"_p_{n}") for n, (f, _) in values.items()))
+    earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.select(key, "_block", *(f(f"_p_{n}").over(earlier).alias(f"_b_{n}") for n, (f, _) in values.items()))
+    inside = Window.partitionBy(key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = out.join(part, [key, "_block"]).withColumns({n: joined[f.__name__](F.col(f"_b_{n}"), f(f"_v_{n}").over(inside)) for n, (f, _) in values.items()})
+    return out.drop("_block", *(f"_{x}_{n}" for n in values for x in "vb"))
+
+
+def _node(a, b):
+    return F.unhex(F.sha2(F.concat(F.unhex(F.lit("01")), a, b), 256))
+
+
+def subtrees(leaves: DataFrame, wide: int = 10) -> DataFrame:
+    """(ledger, level, pos, h): all full subtrees over leaves (ledger, pos from 0 without holes, leaf), ``wide`` levels
+    for each shuffle."""
+    now = leaves.select("ledger", "pos", F.unhex(F.sha2(F.concat(F.unhex(F.lit("00")), F.col("leaf").cast("binary")), 256)).alias("h"))
+    largest = (leaves.agg(F.max("pos")).first()[0] or 0) + 1
+    out, base = None, 0
+    while True:
+        rows = now.groupBy("ledger", F.floor(F.col("pos") / (1 << wide)).alias("b")).agg(F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("a"))
+        rows = rows.select("ledger", "b", F.transform("a", lambda x: x["h"]).alias("l0"))
+        for k in range(wide):
+            rows = rows.withColumn(f"l{k + 1}", _paired(F.col(f"l{k}")))
+        made = [F.transform(F.col(f"l{k}"), _placed(base + k, (1 << wide) >> k)) for k in range(wide + 1)]
+        nodes = shared_table(rows.select("ledger", F.explode(F.concat(*made)).alias("x")).select("ledger", "x.level", "x.pos", "x.h"))
+        top = base + wide
+        out = nodes.filter(F.col("level") < top) if out is None else out.unionByName(nodes.filter(F.col("level") < top))
+        if largest >> top == 0:
+            return out.unionByName(nodes.filter(F.col("level") == top))
+        now, base = nodes.filter(F.col("level") == top).select("ledger", "pos", "h"), top
+
+
+def _paired(below):
+    """The level above: an odd last node has no parent yet."""
+    return F.transform(F.filter(F.transform(below, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: (p["i"] % 2 == 0) & (p["i"] + 1 < F.size(below))), lambda p: _node(p["x"], F.get(below, p["i"] + 1)))
+
+
+def _placed(level: int, each: int):
+    return lambda h, i: F.struct(F.lit(level).alias("level"), (F.col("b") * each + i).alias("pos"), h.alias("h"))
+
+
+def tree_roots(sizes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(ledger, size, root) of the first ``size`` leaves for each row of ``sizes``: the full subtrees at the bits of the size,
+    joined from the smallest. A size beyond the leaves has no row."""
+    bits = F.filter(F.sequence(F.lit(0), F.lit(61)), lambda k: F.call_function("getbit", F.col("size"), k) == 1)
+    need = sizes.filter("size > 0").select("ledger", "size").distinct().select("ledger", "size", F.explode(bits).alias("level"))
+    need = need.withColumn("pos", F.call_function("shiftright", F.col("size"), F.col("level")) - 1)
+    have = need.join(nodes, ["ledger", "level", "pos"]).groupBy("ledger", "size").agg(F.sort_array(F.collect_list(F.struct("level", "h"))).alias("a"))
+    whole = have.filter(F.size("a") == F.bit_count("size"))
+    root = F.aggregate(F.slice("a", 2, 64), F.col("a")[0]["h"], lambda acc, x: _node(x["h"], acc))
+    return whole.select("ledger", "size", F.concat(F.lit("sha256:"), F.lower(F.hex(root))).alias("root"))
+
+
+def merkle_roots(df: DataFrame, ledger: str = "ledger", seq: str = "seq", leaf: str = "entry_hash") -> DataFrame:
+    """(ledger, size, root) of each ledger's leaves in ``seq`` order (an integer, unique in its ledger)."""
+    rows = shared_table(prefix(df.select(F.col(ledger).alias("ledger"), F.col(seq).alias("seq"), F.col(leaf).alias("leaf")), "ledger", "seq", pos=(F.sum, F.lit(1).cast("long"))))
+    return tree_roots(rows.groupBy("ledger").agg(F.count("*").alias("size")), subtrees(rows))
 
 
 def key_states(records: DataFrame, keys: DataFrame, role: str = "ledger") -> DataFrame:
@@ -108,108 +163,76 @@ def _unsigned(raw: pd.Series) -> pd.Series:
     return raw.map(one)
 
 
-STATUS = "ledger_file string, line long, seq long, kind string, entry_hash string, status string, classes array<string>"
-
-
-class _Chain:
-    """The rules that need the lines before: one pass over a ledger in file order."""
-
-    def __init__(self) -> None:
-        self.name = self.broken = None
-        self.tip, self.expected = GENESIS, 0
-        self.entries: set[str] = set()
-        self.nonces: set[str] = set()
-        self.by_seq: dict[int, str] = {}
-        self.gaps: list[tuple[int, int]] = []
-
-    def take(self, r: dict) -> tuple[int | None, str, list[str]]:
-        if not r["complete"]:
-            self.broken = -1 if self.broken is None else self.broken
-            return None, "FAILED", ["record_modification"]
-        seq = int(r["seq"]) if r["seq"] is not None and r["seq"].lstrip("-").isdigit() else None
-        if self.name is None:
-            self.name = r["ledger"]
-        classes = ["record_replay"] if r["ledger"] != self.name else []
-        if r["canonical"] is None:
-            self.broken = (-1 if seq is None else seq) if self.broken is None else self.broken
-            return seq, "FAILED", [*classes, "record_modification"]
-        if r["key_error"] is not None:
-            classes.append("signature_forgery")
-        elif not r["signed"]:
-            classes.append("record_modification")
-        if r["entry_hash"] in self.entries or r["nonce"] in self.nonces or (seq is not None and seq in self.by_seq):
-            classes.append("record_replay")
-        self.entries.add(r["entry_hash"])
-        self.nonces.add(r["nonce"])
-        replay = "record_replay" in classes
-        if seq is None:
-            classes.append("record_modification")
-        elif not replay and seq > self.expected:
-            classes.append("record_deletion")
-            self.gaps.append((self.expected, seq - 1))
-        elif not replay and seq < self.expected:
-            classes.append("record_reorder")
-        if r["prev"] != self.tip and not replay and self.broken is None and not classes:
-            classes.append("record_modification" if seq == self.expected else "record_reorder")
-        status = "VALID"
-        if classes:
-            status = "FAILED"
-            if self.broken is None and set(classes) != {"record_replay"}:
-                self.broken = -1 if seq is None else seq
-        elif self.broken is not None:
-            status = "UNTRUSTED"
-        if not replay and seq is not None:
-            self.by_seq.setdefault(seq, r["entry_hash"])
-            if seq >= self.expected:
-                self.tip, self.expected = r["entry_hash"], seq + 1
-        if r["kind"] == "checkpoint" and status == "VALID" and not self._agrees(r["body"]):
-            status = "FAILED"
-        return seq, status, classes
-
-    def _agrees(self, body: str | None) -> bool:
-        try:
-            own = json.loads(body)
-            size, root = own["tree_size"], own["root"]
-            leaves = [self.by_seq[i] for i in range(size)]
-        except (ValueError, TypeError, KeyError):
-            return False
-        return bool(leaves) and "sha256:" + merkle_root([x.encode() for x in leaves]).hex() == root
+def _earliest(rows: DataFrame, by: str, mark: str) -> DataFrame:
+    """(ledger_file, line, ``mark``) of the first line of a file with each value of ``by``."""
+    return rows.groupBy("ledger_file", by).agg(F.min("line").alias("line")).select("ledger_file", "line", F.lit(True).alias(mark))
 
-    def settle(self, seq: int | None, classes: list[str]) -> list[str]:
-        """A gap that was filled later is a reorder."""
-        for low, high in self.gaps:
-            if seq == high + 1 and all(i in self.by_seq for i in range(low, high + 1)):
-                return ["record_reorder" if c == "record_deletion" else c for c in classes]
-        return classes
 
+def _marked(rows: DataFrame, first: DataFrame, mark: str) -> DataFrame:
+    return rows.join(first, ["ledger_file", "line"], "left").withColumn(mark, F.coalesce(mark, F.lit(False)))
 
-def verify(checked: DataFrame) -> DataFrame:
-    """(ledger_file, line, seq, kind, entry_hash, status, classes) of `parsed` lines.
 
-    Hashes and signatures are done beforehand and in parallel; what is left is one ordered pass over a ledger, whose
-    state (hashes by sequence number) is that of the one log. Different ledgers run in different tasks.
+def _filled(accepted: DataFrame, jumps: DataFrame) -> DataFrame:
+    """(ledger_file, line) of the ``jumps`` (ledger_file, line, seq, top) whose missing numbers all occur in ``accepted``.
+
+    In the order of numbers, a number less its rank is the same for all of an unbroken run.
     """
-    names = ["complete", "ledger", "seq", "canonical", "key_error", "signed", "entry_hash", "nonce", "prev", "kind", "body", "line", "ledger_file"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chain, out, file = _Chain(), [], None
-
-        def flush():
-            rows = [(r["ledger_file"], r["line"], seq, r["kind"], r["entry_hash"], status, chain.settle(seq, classes)) for r, seq, status, classes in out]
-            types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["ledger_file", "line", "seq", "kind", "entry_hash", "status", "classes"])
-
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["ledger_file"] != file:
-                    if out:
-                        yield flush()
-                    chain, out, file = _Chain(), [], r["ledger_file"]
-                out.append((r, *chain.take(r)))
-        if out:
-            yield flush()
-
-    return checked.select(*names).repartition("ledger_file").sortWithinPartitions("ledger_file", "line").mapInArrow(run, STATUS)
+    runs = prefix(accepted.filter("seq >= 0").select("ledger_file", "seq"), "ledger_file", "seq", rank=(F.sum, F.lit(1).cast("long")))
+    runs = runs.select("ledger_file", "seq", (F.col("seq") - F.col("rank")).alias("run"))
+    own = jumps.join(runs, ["ledger_file", "seq"]).withColumnRenamed("run", "own")
+    before = runs.select("ledger_file", F.col("seq").alias("top"), "run")
+    return own.join(before, ["ledger_file", "top"], "left").filter(F.col("own") == F.coalesce("run", F.lit(0))).select("ledger_file", "line", F.lit(True).alias("filled"))
+
+
+def verify(checked: DataFrame) -> DataFrame:
+    """(ledger_file, line, seq, kind, entry_hash, status, classes) of `parsed` lines; a line has a class once.
+
+    What a line is depends on the lines before through four running values, each a prefix aggregate over blocks of lines:
+    the ledger's name (that of its first complete line), first occurrences of hashes, nonces and numbers, the largest
+    number so far with its hash, and whether the chain was broken. A line is *accepted* if it is readable, of this ledger,
+    and the first with its hash and nonce, and, of those, the first with its number. Accepted lines set the running number;
+    one above it leaves a gap, one below it is out of order. The chain breaks at the first line that has a class other
+    than replay, or that doesn't name the hash of the largest number before it; only that line fails for its link, and
+    later ones are untrusted. Checkpoints are compared with roots over the full subtrees of the unbroken lines. Line
+    numbers are unique in a file; no task holds a ledger.
+    """
+    number = F.when(F.col("complete") & F.col("seq").rlike("^-*[0-9]+$"), F.col("seq").try_cast("long"))
+    rows = checked.select("ledger_file", "line", "kind", "ledger", "entry_hash", "nonce", "prev", "body", F.coalesce("complete", F.lit(False)).alias("complete"), "key_error", F.coalesce("signed", F.lit(False)).alias("signed"), number.alias("seq"), (F.col("complete") & F.col("canonical").isNotNull()).alias("readable"))
+    named = F.when(F.col("complete") & F.col("ledger").isNotNull(), F.struct("line", "ledger"))
+    rows = shared_table(prefix(shared_table(rows), "ledger_file", "line", name=(F.min, named)))  # hashes and signatures once
+    rows = rows.withColumn("foreign", F.col("complete") & F.col("name").isNotNull() & ~F.col("ledger").eqNullSafe(F.col("name.ledger")))
+    readable = rows.filter("readable")
+    rows = _marked(_marked(rows, _earliest(readable, "entry_hash", "new_entry"), "new_entry"), _earliest(readable, "nonce", "new_nonce"), "new_nonce")
+    rows = rows.withColumn("clean", F.expr("readable AND NOT foreign AND new_entry AND new_nonce"))
+    rows = _marked(rows, _earliest(rows.filter("clean AND seq IS NOT NULL"), "seq", "new_seq"), "new_seq")
+    rows = shared_table(rows.withColumn("accepted", F.expr("clean AND new_seq")).withColumn("replay", F.expr("readable AND (NOT clean OR (seq IS NOT NULL AND NOT new_seq))")))
+    rows = prefix(rows, "ledger_file", "line", tip=(F.max, F.when(F.expr("accepted AND seq >= 0"), F.struct("seq", "entry_hash"))))
+    due = F.coalesce(F.col("tip.seq") + 1, F.lit(0))
+    say = lambda when, name: F.when(when, F.lit(name))
+    alone = F.array(
+        say(F.col("foreign") | F.col("replay"), "record_replay"), say(F.col("readable") & F.col("key_error").isNotNull(), "signature_forgery"),
+        say(~F.col("readable") | (F.col("key_error").isNull() & ~F.col("signed")) | F.col("seq").isNull(), "record_modification"),
+        say(F.col("accepted") & (F.col("seq") > due), "record_deletion"), say(F.col("accepted") & (F.col("seq") < due), "record_reorder"),
+    )
+    rows = rows.withColumn("classes", F.array_compact(alone))
+    unlinked = F.col("readable") & ~F.col("replay") & (F.size("classes") == 0) & ~F.col("prev").eqNullSafe(F.coalesce("tip.entry_hash", F.lit(GENESIS)))
+    rows = rows.withColumn("unlinked", unlinked)
+    breaks = F.col("unlinked") | F.exists("classes", lambda x: x != "record_replay")
+    rows = prefix(rows, "ledger_file", "line", broken=(F.max, breaks.cast("int"))).withColumn("broken", F.coalesce("broken", F.lit(0)) == 1)
+    rows = rows.withColumn("classes", F.when(F.col("unlinked") & ~F.col("broken"), F.array(F.lit("record_modification"))).otherwise(F.col("classes")))
+    rows = rows.withColumn("status", F.when(F.size("classes") > 0, "FAILED").when(F.col("broken"), "UNTRUSTED").otherwise("VALID"))
+    rows = shared_table(rows.select("ledger_file", "line", "seq", "kind", "entry_hash", "body", "accepted", F.col("tip.seq").alias("top"), "status", "classes"))
+
+    jumps = rows.filter(F.array_contains("classes", "record_deletion")).select("ledger_file", "line", "seq", "top")
+    filled = _filled(rows.filter("accepted"), jumps)
+    claims = rows.filter("kind = 'checkpoint' AND status = 'VALID'").select(F.col("ledger_file").alias("ledger"), "line", "seq", F.get_json_object("body", "$.tree_size").try_cast("long").alias("size"), F.get_json_object("body", "$.root").alias("claim"))
+    sound = rows.filter("accepted AND status = 'VALID'").select(F.col("ledger_file").alias("ledger"), F.col("seq").alias("pos"), F.col("entry_hash").alias("leaf"))
+    possible = claims.filter("size > 0 AND size <= seq + 1")
+    agreed = possible.join(tree_roots(possible, subtrees(sound)), ["ledger", "size"]).filter("root = claim").select(F.col("ledger").alias("ledger_file"), "line", F.lit(True).alias("agreed"))
+    out = rows.join(filled, ["ledger_file", "line"], "left").join(agreed, ["ledger_file", "line"], "left")
+    status = F.when(F.expr("kind = 'checkpoint' AND status = 'VALID' AND agreed IS NULL"), "FAILED").otherwise(F.col("status"))
+    classes = F.when(F.col("filled"), F.transform("classes", lambda x: F.when(x == "record_deletion", F.lit("record_reorder")).otherwise(x))).otherwise(F.col("classes"))
+    return out.select("ledger_file", "line", "seq", "kind", "entry_hash", status.alias("status"), classes.alias("classes"))
 
 
 def check_anchors(anchors: DataFrame, verified: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from proofgrid.operators import ledger as lg
@@ -44,7 +45,6 @@ def merkle_root(spark, d):
 
 @query("SELECT event_type || ':' || s AS anchor, s AS tree_size, CASE WHEN n < s THEN 'TRUNCATED' ELSE 'MISMATCH' END AS status FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1), (SELECT unnest([10::BIGINT, 100000000]) AS s)")
 def anchor_check(spark, d):
-    from pyspark.sql import Window
 
     i = F.row_number().over(Window.partitionBy("ledger_file").orderBy("event_id"))
     e = b.read(spark, d, "events").select(F.col("event_type").alias("ledger_file"), "event_id").withColumn("line", i.cast("long")).withColumn("seq", F.col("line") - 1).withColumn("entry_hash", F.concat(F.lit("e"), F.col("event_id").cast("string")))
@@ -66,3 +66,30 @@ def key_validity(spark, d):
     keys = spark.createDataFrame([(f"k{i}", "", ["audit"] if i == 4 else ["ledger"], "2024-01-10T00:00:00Z" if i < 3 else None, "2024-01-20T00:00:00Z" if i > 5 else None, i == 3) for i in range(10)], "key_id string, public_key string, roles array<string>, not_before string, not_after string, revoked boolean")
     e = b.read(spark, d, "events").select("event_id", F.concat(F.lit("k"), (F.col("user_id") % 12).cast("string")).alias("key_id"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"))
     return lg.key_states(e, keys).select("event_id", F.coalesce("key_error", F.lit("ok")).alias("state"))
+
+
+_CHECKED_SQL = f"""l AS MATERIALIZED (SELECT ledger AS ledger_file, line, seq, entry_hash, nonce, CASE WHEN line % 733 = 0 THEN 'other' ELSE ledger END AS ledger, line % 1009 <> 0 AS complete, line % 1009 <> 0 AND line % 877 <> 0 AS readable, line % 997 = 0 AS bad_key, line % 613 <> 0 AS signed,
+  line % 64 = 0 AS checkpoint, CASE WHEN line % 97 = 0 AND line > 150 THEN 'broken' ELSE coalesce(lag(entry_hash) OVER (PARTITION BY ledger ORDER BY line), '{lg.GENESIS}') END AS prev FROM ({b.LOG_SQL})),
+n AS (SELECT *, complete AND ledger <> first_value(ledger) OVER (PARTITION BY ledger_file ORDER BY NOT complete, line) AS foreign_ FROM l),
+r AS (SELECT *, readable AND row_number() OVER (PARTITION BY ledger_file, readable, entry_hash ORDER BY line) = 1 AND row_number() OVER (PARTITION BY ledger_file, readable, nonce ORDER BY line) = 1 AND NOT foreign_ AS clean FROM n),
+a AS (SELECT *, clean AND row_number() OVER (PARTITION BY ledger_file, clean, CASE WHEN complete THEN seq END ORDER BY line) = 1 AS accepted FROM r),
+t AS (SELECT *, max(CASE WHEN accepted THEN seq END) OVER w AS top, arg_max(entry_hash, CASE WHEN accepted THEN seq END) OVER w AS tip FROM a WINDOW w AS (PARTITION BY ledger_file ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, readable AND NOT accepted AS replay, bad_key AND readable AS forged, NOT readable OR (NOT bad_key AND NOT signed) AS modified, accepted AND seq > coalesce(top, -1) + 1 AS gap, accepted AND seq < coalesce(top, -1) + 1 AS late FROM t),
+u AS (SELECT *, foreign_ OR replay OR forged OR modified OR gap OR late AS any_, accepted AND prev <> coalesce(tip, '{lg.GENESIS}') AS unlinked FROM c),
+k AS (SELECT *, coalesce(bool_or(forged OR modified OR gap OR late OR (unlinked AND NOT any_)) OVER (PARTITION BY ledger_file ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS broken FROM u),
+f AS (SELECT *, unlinked AND NOT any_ AND NOT broken AS cut, gap AND (SELECT count(*) FROM a x WHERE x.ledger_file = k.ledger_file AND x.accepted AND x.seq > coalesce(k.top, -1) AND x.seq < k.seq) = k.seq - coalesce(k.top, -1) - 1 AS filled FROM k)"""
+
+
+@query(f"""WITH {_CHECKED_SQL}
+SELECT ledger_file, line, CASE WHEN any_ OR cut OR (NOT broken AND checkpoint) THEN 'FAILED' WHEN broken THEN 'UNTRUSTED' ELSE 'VALID' END AS status,
+  array_to_string(list_sort(list_filter([CASE WHEN foreign_ OR replay THEN 'record_replay' END, CASE WHEN forged THEN 'signature_forgery' END, CASE WHEN modified OR cut THEN 'record_modification' END, CASE WHEN gap AND NOT filled THEN 'record_deletion' END, CASE WHEN late OR filled THEN 'record_reorder' END], lambda x: x IS NOT NULL)), ',') AS classes FROM f""")
+def ledger_verdicts(spark, d):
+    """Whole ledgers, with damage by line number; no checkpoint has the right root."""
+    along = Window.partitionBy("ledger").orderBy("line")
+    own = F.when((F.col("line") % 97 == 0) & (F.col("line") > 150), "broken").otherwise(F.coalesce(F.lag("entry_hash").over(along), F.lit(lg.GENESIS)))
+    nth = lambda n: F.col("line") % n == 0
+    rows = b.log(spark, d).withColumn("prev", own).select(
+        F.col("ledger").alias("ledger_file"), "line", F.col("seq").cast("string").alias("seq"), "entry_hash", "nonce", "prev", F.when(nth(733), "other").otherwise(F.col("ledger")).alias("ledger"), (~nth(1009)).alias("complete"), F.when(~nth(877), "{}").alias("canonical"),
+        F.when(nth(997), "unknown key").alias("key_error"), (~nth(613)).alias("signed"), F.when(nth(64), "checkpoint").otherwise("inference").alias("kind"), F.lit('{"tree_size": 1, "root": "no"}').alias("body"),
+    )
+    return lg.verify(rows).select("ledger_file", "line", "status", F.array_join(F.array_sort("classes"), ",").alias("classes"))

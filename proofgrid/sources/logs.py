@@ -17,7 +17,7 @@ def ledger_lines(spark: SparkSession, path: str) -> DataFrame:
 
     A whole file is one record, as line numbers exist only within it; ledgers are many files of moderate size.
     """
-    files = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("ledger_file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("ledger_file"), "value")
     lines = files.select("ledger_file", F.posexplode(F.split("value", "\n")).alias("line", "raw")).filter(F.trim("raw") != "")
     return lines.select("ledger_file", (F.col("line") + 1).cast("long").alias("line"), F.when(F.octet_length("raw") <= MAX_LINE, F.col("raw")).otherwise("{}").alias("raw"))
 
