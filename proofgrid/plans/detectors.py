@@ -15,11 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofgrid.functions import special
 from proofgrid.operators import duplicates
 from proofgrid.operators import labels as lb
 from proofgrid.operators import ledger as lg
+from proofgrid.operators import shrinkage, triggers
 from proofgrid.operators import statistics as st
-from proofgrid.operators import triggers
 from proofgrid.operators.activations import split_classes
 from proofgrid.operators.pairs import nearest
 from proofgrid.plans import data, drift, extras, model
@@ -79,20 +80,29 @@ def duplicate_label_conflict(c: Context) -> Frames:
 
 
 def ood(c: Context) -> Frames:
-    e, reference = c.roles["embeddings"], c.roles.get("reference")
+    """Distances to the nearest neighbours; with a reference also the shrunk Mahalanobis distance, which corroborates."""
+    e, reference, p = c.roles["embeddings"], c.roles.get("reference"), c.params.get("data.ood", {})
+    alpha = p.get("alpha", 0.01)
+    mean_of_five = lambda q, base: nearest(q, base, "sample_id", "embedding", 5).groupBy(F.col("query").alias("sample_id")).agg(F.avg("distance").alias("score"))
     if c.mode == "reference":
-        ref = reference.withColumn("_half", F.pmod(F.xxhash64("sample_id"), F.lit(2)))
-        base = ref.filter("_half = 0").drop("_half")
-        score = lambda q: nearest(q, base, "sample_id", "embedding", 5).groupBy(F.col("query").alias("sample_id")).agg(F.avg("distance").alias("score"))
-        out = st.bh_qvalues_of_rows(extras.tail_pvalues(score(ref.filter("_half = 1").drop("_half")), score(e), "score"), "p")
+        if (n := reference.count()) < p.get("min_reference", 100):
+            return Frames(abstained=f"the reference has {n} samples")
+        half = F.pmod(F.xxhash64("sample_id"), F.lit(2))
+        base, held = reference.filter(half == 0), reference.filter(half == 1)
+        out = st.bh_qvalues_of_rows(extras.tail_pvalues(mean_of_five(held, base), mean_of_five(e, base), "score"), "p")
+        model = shrinkage.fit(base, "embedding", p.get("pca_dims", 32))
+        far = lambda q: shrinkage.distances(model, q, "sample_id", "embedding").withColumnRenamed("distance", "score")
+        second = extras.tail_pvalues(far(held), far(e), "score").select("sample_id", (F.col("p") <= alpha).alias("both"))
+        out = out.join(second, "sample_id", "left")
     else:
-        own = nearest(e, e, "sample_id", "embedding", 5).groupBy(F.col("query").alias("sample_id")).agg(F.log(F.avg("distance") + 1e-12).alias("score")).withColumn("_all", F.lit(1))
-        from proofgrid.functions import special
-
-        out = st.bh_qvalues_of_rows(st.robust_z(own, "score", ["_all"]).withColumn("p", special.normal_tail("z")), "p")
-    hit = out.filter("q < 0.01").join(e.select("sample_id", "contributor"), "sample_id")
-    groups = hit.groupBy("contributor").agg(F.count("*").alias("n"))
-    return Frames(_findings(groups, "data.ood", "DATA", "ood_injection", F.coalesce("contributor", F.lit("unattributed")), "MEDIUM", 0.7, F.col("n"), F.array("contributor"), False), _flags(hit, "ood_injection", "MEDIUM", 0.7))
+        own = mean_of_five(e, e).withColumn("score", F.log(F.col("score") + 1e-12)).withColumn("_all", F.lit(1))
+        out = st.bh_qvalues_of_rows(st.robust_z(own, "score", ["_all"]).withColumn("p", special.normal_tail("z")), "p").withColumn("both", F.lit(None).cast("boolean"))
+    hit = out.filter(F.col("q") < alpha).join(e.select("sample_id", "contributor"), "sample_id")
+    sure = F.coalesce("both", F.lit(False)) & (F.col("q") < 1e-4)
+    hit = hit.withColumn("severity", F.when(sure, "HIGH").otherwise("MEDIUM")).withColumn("confidence", F.least(F.lit(0.99), 1 - F.col("q")) * F.when(~F.col("both"), 0.85).otherwise(1.0))
+    groups = hit.groupBy("contributor").agg(F.count("*").alias("n"), F.min("severity").alias("severity"))  # HIGH sorts before MEDIUM
+    flags = hit.select("sample_id", F.lit("ood_injection").alias("attack_class"), "confidence", "severity")
+    return Frames(_findings(groups, "data.ood", "DATA", "ood_injection", F.coalesce("contributor", F.lit("unattributed")), F.col("severity"), 0.7, F.col("n"), F.array("contributor"), False), flags)
 
 
 def label_consistency(c: Context) -> Frames:

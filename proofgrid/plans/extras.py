@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from proofgrid.functions import special
+from proofgrid.operators import bootstrap, shrinkage
 from proofgrid.operators import labels as lb
 from proofgrid.operators import statistics as st
 from proofgrid.operators import triggers
@@ -126,27 +127,20 @@ def calibration(spark, d):
     return iso.select("doc_id", F.round("calibrated", 8).alias("calibrated"))
 
 
-def mahalanobis(reference: DataFrame, rows: DataFrame, id_col: str, vector: str, shrink: float = 0.1) -> DataFrame:
-    """(id, distance) under the reference's mean and covariance, which is shrunk towards a multiple of the identity.
+def mahalanobis(reference: DataFrame, rows: DataFrame, id_col: str, vector: str, dims: int = 32) -> DataFrame:
+    """(id, distance): squared distances under the reference's leading components with a shrunk covariance."""
+    return shrinkage.distances(shrinkage.fit(reference, vector, dims), rows, id_col, vector)
 
-    Both come from sums over the dimensions (a few thousand numbers); the rows are scored where they are.
-    """
-    v = reference.select(F.col(vector).alias("v"))
-    dims = v.select(F.size("v")).first()[0]
-    pairs = v.select(F.posexplode("v").alias("i", "x"), "v").select("i", F.col("x").cast("double").alias("x"), F.posexplode("v").alias("j", "y"))
-    sums = pairs.groupBy("i", "j").agg(F.avg(F.col("x") * F.col("y").cast("double")).alias("xy"), F.avg("x").alias("mx")).collect()
-    cov, mean = np.zeros((dims, dims)), np.zeros(dims)
-    for r in sums:
-        cov[r.i, r.j], mean[r.i] = r.xy, r.mx
-    cov -= np.outer(mean, mean)
-    inverse = np.linalg.inv((1 - shrink) * cov + shrink * np.trace(cov) / dims * np.eye(dims) + 1e-9 * np.eye(dims))
-
-    @F.pandas_udf(T.DoubleType())
-    def distance(x: pd.Series) -> pd.Series:
-        z = np.vstack(x.to_numpy()).astype(float) - mean
-        return pd.Series(np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", z, inverse, z), 0)))
 
-    return rows.select(id_col, distance(vector).alias("distance"))
+@query("""WITH r AS (SELECT lang, n_chars, toxic FROM labels JOIN documents USING (doc_id) WHERE n_chars IS NOT NULL),
+n AS (SELECT lang, count(*) FILTER (toxic = 1) AS n_pos, count(*) FILTER (toxic = 0) AS n_neg FROM r GROUP BY 1),
+u AS (SELECT a.lang, sum(CASE WHEN a.n_chars > b.n_chars THEN 1.0 WHEN a.n_chars = b.n_chars THEN 0.5 ELSE 0 END)::DOUBLE AS u FROM r a JOIN r b ON a.lang IS NOT DISTINCT FROM b.lang AND a.toxic = 1 AND b.toxic = 0 GROUP BY 1)
+SELECT n.lang, n_pos, n_neg, round(u / n_pos / n_neg, 8) AS auroc, CASE WHEN u IS NOT NULL THEN true END AS inside FROM n LEFT JOIN u ON n.lang IS NOT DISTINCT FROM u.lang""")
+def auroc_interval(spark, d):
+    """AUROC of text lengths for toxic documents in each language, and whether its bootstrap interval holds it."""
+    rows = b.read(spark, d, "labels").join(b.read(spark, d, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
+    out = bootstrap.auroc_intervals(rows, ["lang"], "n_chars", F.col("toxic") == 1, replicates=200)
+    return out.select("lang", "n_pos", "n_neg", F.round("auroc", 8).alias("auroc"), ((F.col("low") <= F.col("auroc")) & (F.col("auroc") <= F.col("high"))).alias("inside"))
 
 
 @query()

@@ -46,3 +46,16 @@ def test_a_scan_finds_what_was_planted(spark):
     assert got["drift.covariate", "axes"].severity in ("LOW", "MEDIUM", "HIGH") and ("drift.interpretation", "g") in got
     hit = {r.sample_id for r in flags.filter("attack_class = 'ood_injection'").collect()}
     assert {5, 9} <= hit and flags.filter(F.col("attack_class") == "duplicate_flood").count() == 14
+
+
+def test_samples_far_from_a_reference(spark):
+    nrg = np.random.default_rng(2)
+    frame = lambda x: spark.createDataFrame([(k, "c1" if k < 3 else "c2", "a", v.tolist()) for k, v in enumerate(x)], "sample_id long, contributor string, label string, embedding array<double>")
+    x = nrg.normal(size=(60, 6))
+    x[:3] += 30
+    (check,) = (k for k in CHECKS if k.id == "data.ood")
+    run = lambda n: check.run(engine.Context(spark, roles := {"embeddings": frame(x), "reference": frame(nrg.normal(size=(n, 6)))}, present(roles), mode="reference"))
+    assert "99" in run(99).abstained
+    out = run(500)
+    assert [(r.subject, r.severity, r.affected) for r in out.findings.collect()] == [("c1", "HIGH", 3)]
+    assert sorted(r.sample_id for r in out.flags.filter("confidence > 0.9").collect()) == [0, 1, 2]
