@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proofgrid.functions import columns as c
 from proofgrid.functions import special
+from proofgrid.operators import ivf
 from proofgrid.operators import statistics as st
 from proofgrid.operators.components import connected_components
 from proofgrid.operators.pairs import digest_links, hamming_pairs, nearest
@@ -289,3 +290,12 @@ def systematic_mislabel(spark, d):
     """Transitions that exceed the other contributors' rate: q < 0.01, at least 5, three times the rate."""
     t = st.bh_qvalues(transition_tests(_predicted(spark, d)), "p").filter("q < 0.01 AND k >= 5").filter(F.col("k") / F.col("n") / F.col("p0") >= 3)
     return t.select("contributor", "declared", "inferred", "k", "n", F.round("p0", 6).alias("p0"), F.round("q", 8).alias("q"))
+
+
+@query("SELECT count(*) * 5 AS n_true, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def knn_indexed_recall(spark, d):
+    """Neighbours by the inverted file over all rows, for ids divisible by 50, against the exact ones: 0.9 or more are found."""
+    v = b.vectors(spark, d)
+    asked = v.filter("vec_id % 50 = 0")
+    found = ivf.search(asked, v, "vec_id", "embedding", 5, ivf.fit(v, "vec_id", "embedding", 5))
+    return ivf.recall(found, asked, v, "vec_id", "embedding", 5).select("n_true", (F.col("n_found") >= 0.9 * F.col("n_true")).alias("enough"))
