@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from graphlib import TopologicalSorter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proofgrid.operators.components import shared_table
+
 BUDGETS = ("QUICK", "STANDARD", "DEEP")
 
 
@@ -125,8 +127,14 @@ def build_plan(checks: list[Check], context: Context) -> list[Planned]:
     return list(out.values())
 
 
+def _written(found: Frames) -> Frames:
+    """``found`` with its frames computed, so that what fails in them fails here."""
+    return replace(found, findings=found.findings if found.findings is None else shared_table(found.findings), flags=found.flags if found.flags is None else shared_table(found.flags))
+
+
 def execute(plan: list[Planned], context: Context) -> tuple[list[dict], dict[str, Frames]]:
-    """Run what can run. An exception is that check's ERROR and its dependants', and nobody else's."""
+    """Run what can run. An exception, also one that comes up only while rows are computed, is that check's ERROR and its
+    dependants', and nobody else's: each check's frames are written before the next one runs."""
     states: dict[str, str] = {}
     log, frames = [], {}
     for p in plan:
@@ -140,7 +148,7 @@ def execute(plan: list[Planned], context: Context) -> tuple[list[dict], dict[str
         else:
             try:
                 own = Context(context.spark, context.roles, context.capabilities, context.withheld, context.budget, context.params, frames, p.mode)
-                frames[name] = p.check.run(own)
+                frames[name] = _written(p.check.run(own))
                 states[name] = "ABSTAINED" if frames[name].abstained else "COMPLETED_DEGRADED" if p.availability == "DEGRADED" else "COMPLETED"
                 reason = frames[name].abstained or reason
             except Exception as e:  # a check's failure is a result of the scan

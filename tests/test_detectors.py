@@ -59,3 +59,12 @@ def test_samples_far_from_a_reference(spark):
     out = run(500)
     assert [(r.subject, r.severity, r.affected) for r in out.findings.collect()] == [("c1", "HIGH", 3)]
     assert sorted(r.sample_id for r in out.flags.filter("confidence > 0.9").collect()) == [0, 1, 2]
+
+
+def test_errors_while_rows_are_computed_stay_with_their_check(spark):
+    rows = spark.range(3).withColumnRenamed("id", "sample_id")
+    late = lambda c: engine.Frames(rows.withColumn("x", F.raise_error(F.lit("late"))))
+    checks = [engine.Check("bad", "DATA", late), engine.Check("after", "DATA", lambda c: engine.Frames(rows), depends_on=("bad",)), engine.Check("good", "DATA", lambda c: engine.Frames(rows))]
+    log, findings, _ = engine.scan(checks, engine.Context(spark, {}, frozenset()))
+    assert {r["detector_id"]: r["state"] for r in log} == {"bad": "ERROR", "after": "ERROR", "good": "COMPLETED"}
+    assert findings.count() == 3 and "late" in next(r["reason"] for r in log if r["detector_id"] == "bad")
