@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from proofgrid.functions import columns as c
 from proofgrid.functions import special
+from proofgrid.operators import interpretation as ip
 from proofgrid.operators import statistics as st
 from proofgrid.plans import bindings as b
 from proofgrid.plans.catalog import query
@@ -147,3 +148,13 @@ def c2st(x, y, id_col, vector, most=600, folds=5, penalty=0.5):
 def c2st_auc(spark, d):
     v = b.vectors(spark, d).withColumnRenamed("label", "cls")
     return c2st(v.filter("cls < 5").drop("cls"), v.filter("cls >= 5").drop("cls"), "vec_id", "embedding")
+
+
+@query("""WITH e AS (SELECT ts < TIMESTAMP '2024-01-16' AS is_ref, 'u' || (user_id % 6) AS grp, event_type AS cls FROM events),
+r AS (SELECT cls, count(*) AS r FROM e WHERE is_ref GROUP BY 1), n AS (SELECT grp, count(*) AS n FROM e WHERE NOT is_ref GROUP BY 1 HAVING count(*) >= 15), c AS (SELECT grp, cls, count(*) AS c FROM e WHERE NOT is_ref GROUP BY ALL),
+k AS (SELECT cls FROM r UNION SELECT cls FROM c), s AS (SELECT n.grp, n.n, k.cls, coalesce(c, 0) / n.n - coalesce(r, 0) / (SELECT sum(r) FROM r) AS rise FROM n CROSS JOIN k LEFT JOIN c ON c.grp = n.grp AND c.cls = k.cls LEFT JOIN r ON r.cls = k.cls)
+SELECT grp, n, cls AS spike_class, round(rise, 9) AS spike FROM s QUALIFY row_number() OVER (PARTITION BY grp ORDER BY rise DESC, cls) = 1""")
+def class_spikes(spark, d):
+    """For each of six sources, the event type whose share rose most against the first half of the month."""
+    e = b.read(spark, d, "events").select((F.col("ts") < F.lit("2024-01-16").cast("timestamp")).alias("is_ref"), F.concat(F.lit("u"), (F.col("user_id") % 6).cast("string")).alias("grp"), F.col("event_type").alias("cls"))
+    return ip.spikes(e).select("grp", "n", "spike_class", F.round("spike", 9).alias("spike"))
