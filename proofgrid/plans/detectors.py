@@ -5,7 +5,7 @@ height), hashes (sample_id, phash, dhash, phash_flip, dhash_flip), embeddings (s
 (same), axes (is_ref, grp, axis, value), predictions (grp, candidate, reference), overlays (input_id, role, predicted),
 parameters and reference_parameters (tensor, idx, value), models and approved (artifact_digest, param_digest),
 operators and reference_operators (op), probes (variant, before, after), masks (cls, l1), energies (sample_id, energies),
-refused (artifact), ledger (parsed lines), keys, approved_models. A check whose roles are absent doesn't run.
+windows (id, is_ref, grp, pos, energy), predicted (is_ref, grp, cls), refused (artifact), ledger (parsed lines), keys, approved_models. A check whose roles are absent doesn't run.
 
 Every finding has: detector_id, layer, attack_class, subject, severity, confidence, affected, contributors, deterministic.
 """
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from proofgrid.functions import special
 from proofgrid.operators import duplicates
+from proofgrid.operators import interpretation as ip
 from proofgrid.operators import labels as lb
 from proofgrid.operators import ledger as lg
 from proofgrid.operators import shrinkage, triggers
@@ -27,10 +28,10 @@ from proofgrid.plans import data, drift, extras, model
 from proofgrid.plans.engine import Check, Context, Frames, Mode
 
 
-def _findings(df: DataFrame, detector: str, layer: str, attack: str | Column, subject: Column, severity: str | Column, confidence: float, affected: Column, contributors: Column | None = None, deterministic: bool = True) -> DataFrame:
+def _findings(df: DataFrame, detector: str, layer: str, attack: str | Column, subject: Column, severity: str | Column, confidence: float | Column, affected: Column, contributors: Column | None = None, deterministic: bool = True) -> DataFrame:
     text = lambda v: F.lit(v) if isinstance(v, str) else v
     return df.select(
-        F.lit(detector).alias("detector_id"), F.lit(layer).alias("layer"), text(attack).alias("attack_class"), subject.cast("string").alias("subject"), text(severity).alias("severity"), F.lit(float(confidence)).alias("confidence"),
+        F.lit(detector).alias("detector_id"), F.lit(layer).alias("layer"), text(attack).alias("attack_class"), subject.cast("string").alias("subject"), text(severity).alias("severity"), (confidence if isinstance(confidence, Column) else F.lit(float(confidence))).alias("confidence"),
         affected.cast("long").alias("affected"), (contributors if contributors is not None else F.array()).cast("array<string>").alias("contributors"), F.lit(deterministic).alias("deterministic"),
     )
 
@@ -249,12 +250,23 @@ def drift_semantic(c: Context) -> Frames:
 
 
 def drift_interpretation(c: Context) -> Frames:
-    r = drift.compare_axes(c.roles["axes"], ["grp", "axis"])
-    g = r.groupBy("grp").agg(F.count_if((F.col("q") < 0.01) & (F.abs("delta") >= 0.147)).alias("material"))
-    moved = g.filter("material > 0")
-    n = g.agg(F.count("*").alias("groups"), F.count_if(F.col("material") > 0).alias("moved"))
-    one = moved.crossJoin(F.broadcast(n)).filter("moved = 1 AND groups > 1")  # n is one row
-    return Frames(_findings(one, "drift.interpretation", "DRIFT", "drift_manipulation", F.col("grp"), "HIGH", 0.6, F.col("material"), F.array(F.col("grp").cast("string")), False))
+    """The verdict over all sources. Roles windows and predicted bring artifacts and class spikes of each source; the axes
+    alone can tell an operational shift from none."""
+    axes = c.roles["axes"]
+    moved = (F.col("q") < 0.01) & (F.abs("delta") >= 0.147)
+    nothing = F.lit(None).cast("double")
+    overall = drift.compare_axes(axes).agg(F.coalesce(F.max(moved), F.lit(False)).alias("material"), F.coalesce(F.max(F.when(moved, F.abs("delta"))), F.lit(0.0)).alias("low_level"), nothing.alias("auc"), F.lit(False).alias("semantic"))
+    sources = drift.compare_axes(axes, ["grp", "axis"]).groupBy("grp").agg(F.max(F.abs("delta")).alias("low_level")).withColumn("auc", nothing)
+    if "windows" in c.roles:
+        sources = sources.join(ip.artifacts(c.roles["windows"]).select("grp", F.col("present").alias("artifact"), F.col("q").alias("artifact_q")), "grp", "left")
+    else:
+        sources = sources.withColumn("artifact", F.lit(False)).withColumn("artifact_q", nothing)
+    sources = sources.join(ip.spikes(c.roles["predicted"]).select("grp", "spike"), "grp", "left") if "predicted" in c.roles else sources.withColumn("spike", nothing)
+    sources = sources.withColumn("artifact", F.coalesce("artifact", F.lit(False))).withColumn("artifact_q", F.coalesce("artifact_q", F.lit(1.0)))
+    one = ip.interpret(sources, overall)
+    kind = F.when(F.col("verdict") == "suspicious", "drift_manipulation").when(F.col("verdict") == "content", "semantic_drift").otherwise("operational_drift")
+    subject = F.coalesce(F.col("grp").cast("string"), F.concat(F.lit("drift:"), "verdict"))
+    return Frames(_findings(one, "drift.interpretation", "DRIFT", kind, subject, F.col("severity"), F.col("confidence"), F.lit(0), F.array_compact(F.array(F.col("grp").cast("string"))), False), None, {"verdict": one})
 
 
 CHECKS = [
