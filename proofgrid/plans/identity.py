@@ -59,7 +59,7 @@ def parameter_digest(spark, d):
 
 
 @query()
-def operator_alignment(spark, d):
+def alignment_of_operators(spark, d):
     """The operators of each order against those of the customer's order before."""
     li = _operators(spark, d).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "op"))), lambda x: x["op"]).alias("ops"))
     along = Window.partitionBy("o_custkey").orderBy("o_orderkey")

@@ -27,7 +27,7 @@ def test_alignment_of_every_order(spark, sf_dir):
     from proofgrid.plans import catalog, identity
 
     got = {}
-    for r in catalog.queries()["operator_alignment"](spark, sf_dir).collect():
+    for r in catalog.queries()["alignment_of_operators"](spark, sf_dir).collect():
         got.setdefault(r.o_orderkey, []).append((r.tag, r.i1, r.i2, r.j1, r.j2, r.after))
     lists = {}
     for r in identity._operators(spark, sf_dir).select("l_orderkey", "k", "op").collect():
