@@ -119,7 +119,8 @@ def imprints(spark: SparkSession, d: str) -> DataFrame:
     out = docs.select("sample_id").join(counts, "sample_id", "left").select("sample_id", v.alias("v")).withColumn("r", F.reverse("v"))
     packed = lambda bits: F.aggregate(bits, F.lit(0).cast("long"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR(x.cast("long")))
     low = lambda c: F.element_at(F.array_sort(F.slice(c, 2, 63)), 32)
-    above = lambda c: packed(F.transform(F.slice(c, 1, 63), lambda x: x > low(c)))
+    # the array of one holds the median, so that it is sorted for once and not for every place
+    above = lambda c: packed(F.transform(F.array(low(c)), lambda m: F.transform(F.slice(c, 1, 63), lambda x: x > m))[0])
     rising = lambda c: packed(F.zip_with(F.slice(c, 2, 63), F.slice(c, 1, 63), lambda x, y: x > y))
     return out.select("sample_id", above("v").alias("phash"), rising("v").alias("dhash"), above("r").alias("phash_flip"), rising("r").alias("dhash_flip"), F.transform("v", lambda x: x.cast("double")).alias("embedding"))
 
