@@ -5,7 +5,7 @@ height), hashes (sample_id, phash, dhash, phash_flip, dhash_flip), embeddings (s
 (same), axes (is_ref, grp, axis, value), predictions (grp, candidate, reference), overlays (input_id, role, predicted),
 parameters and reference_parameters (tensor, idx, value), models and approved (artifact_digest, param_digest),
 operators and reference_operators (op), probes (variant, before, after), masks (cls, l1), energies (sample_id, energies),
-windows (id, is_ref, grp, pos, energy), predicted (is_ref, grp, cls), refused (artifact), ledger (parsed lines), keys, approved_models. A check whose roles are absent doesn't run.
+residuals (sample_id, residual, copy), windows (id, is_ref, grp, pos, energy), predicted (is_ref, grp, cls), refused (artifact), ledger (parsed lines), keys, approved_models. A check whose roles are absent doesn't run.
 
 Every finding has: detector_id, layer, attack_class, subject, severity, confidence, affected, contributors, deterministic.
 """
@@ -20,7 +20,7 @@ from proofgrid.operators import duplicates
 from proofgrid.operators import interpretation as ip
 from proofgrid.operators import labels as lb
 from proofgrid.operators import ledger as lg
-from proofgrid.operators import shrinkage, triggers
+from proofgrid.operators import residuals, shrinkage, triggers
 from proofgrid.operators import statistics as st
 from proofgrid.operators.activations import split_classes
 from proofgrid.operators.pairs import nearest
@@ -155,12 +155,22 @@ def metadata_anomaly(c: Context) -> Frames:
 
 
 def trigger_artifact(c: Context) -> Frames:
-    e = c.roles["energies"]
+    """Windows that are hot at one place in many images, and, with the role residuals, groups that share a faint pattern; who is
+    in the former isn't counted for the latter."""
+    e, p = c.roles["energies"], c.params.get("data.trigger_artifact", {})
     size = e.agg(F.count("*").alias("n"), F.max(F.size("energies")).alias("m")).first()
     hot = triggers.hot_windows(e)
     places = triggers.persistent_positions(hot, size.n, size.m)
     members = hot.join(places, "position").select("sample_id").distinct()
-    return Frames(_findings(places, "data.trigger_artifact", "DATA", "localized_trigger", F.concat(F.lit("window:"), F.col("position").cast("string")), "HIGH", 0.8, F.col("k"), None, False), _flags(members, "localized_trigger", "HIGH", 0.8))
+    found = _findings(places, "data.trigger_artifact", "DATA", "localized_trigger", F.concat(F.lit("window:"), F.col("position").cast("string")), "HIGH", 0.8, F.col("k"), None, False)
+    flags = _flags(members, "localized_trigger", "HIGH", 0.8)
+    if "residuals" in c.roles:
+        rest = c.roles["residuals"].join(members, "sample_id", "left_anti")
+        units = residuals.centred(rest, "residual", "sample_id", "copy" if "copy" in rest.columns else None)
+        groups, own = residuals.groups(units, p.get("blend_similarity", 0.3), p.get("min_members", 6), p.get("blend_max_fraction", 0.4))
+        found = found.unionByName(_findings(groups, "data.trigger_artifact", "DATA", "blended_trigger", F.concat(F.lit("blend:"), F.col("component").cast("string")), "HIGH", 0.7, F.col("n"), None, False))
+        flags = flags.unionByName(_flags(own.withColumnRenamed("id", "sample_id"), "blended_trigger", "HIGH", 0.7))
+    return Frames(found, flags)
 
 
 def model_intake(c: Context) -> Frames:

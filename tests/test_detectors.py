@@ -78,3 +78,16 @@ def test_a_source_with_an_artifact_is_suspicious(spark):
     (check,) = (k for k in CHECKS if k.id == "drift.interpretation")
     (r,) = check.run(engine.Context(spark, roles, present(roles))).findings.collect()
     assert (r.attack_class, r.subject, r.severity, r.contributors) == ("drift_manipulation", "h", "HIGH", ["h"])
+
+
+def test_a_blended_pattern_is_flagged(spark):
+    rng = np.random.default_rng(6)
+    wave = rng.normal(size=64)
+    x = rng.normal(size=(150, 64))
+    x[:20] = 0.5 * x[:20] + 1.2 * wave
+    roles = {"energies": spark.createDataFrame([(k, rng.normal(size=4).tolist()) for k in range(150)], "sample_id long, energies array<double>"), "residuals": spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "sample_id long, residual array<double>")}
+    (check,) = (k for k in CHECKS if k.id == "data.trigger_artifact")
+    out = check.run(engine.Context(spark, roles, present(roles), params={"data.trigger_artifact": {"blend_similarity": 0.6}}))
+    (r,) = out.findings.filter("attack_class = 'blended_trigger'").collect()
+    assert (r.subject, r.affected) == ("blend:0", 20)
+    assert {f.sample_id for f in out.flags.filter("attack_class = 'blended_trigger'").collect()} == set(range(20))
