@@ -5,8 +5,11 @@ words and the first ``depth`` words lead to a leaf. A leaf may hold any number o
 one if at least ``alike`` of their places hold the same word; as at most d places then differ, the places behind
 the first ``depth`` are cut into d + 1 bands, of which one at least is equal. In each band of equal words the line
 that occurs most often leads; a line joins the most frequent lead that it is alike to, and where they differ is
-another variable field. Lines that joined none meet the leads among themselves again, ``rounds`` times in all. What
-leads a line may itself have joined another: the template is that of the last.
+another variable field. Lines that joined none meet new leads among themselves in further rounds, until no band has
+two lines left: two lines that share a band and are alike are compared unless one has joined a template before. Each
+round has twice the leads of the last (the most frequent line of each of so many parts of a band by hash, ``MOST_LEADS``
+at most), so that a band of many templates needs few rounds. What leads a line may itself have joined another: the
+template is that of the last.
 
 A template that occurs in two documents or more is recurring: its lines are dropped, except the first, in the
 document with the least id. Copies of whole documents are not a matter of lines: a document follows an earlier
@@ -19,7 +22,8 @@ Lines that make a thousandth of all lines or more are few and go by broadcast, s
 
 Lines are parts between line feeds; lines of fewer than ``least_words`` words stay (the queries judge every line
 with a word). A null text has no lines
-and stays null. Rows that share id and text count as one document. Rows without an id come last in the order.
+and stays null. Rows that share id and text count as one document. Ids that aren't integers are ordered by their hash.
+Rows without an id come last in the order.
 All columns go along whatever their names; a count whose name is taken gets an underscore (``n_lines_``).
 """
 
@@ -34,6 +38,8 @@ FIELD = "<*>"
 #: What links two documents in the n-gram join: words of a gram, and the least percent of their Jaccard index.
 GRAM = 5
 LINK = 75
+#: Leads of a band in one round, at most (a band of more templates takes more rounds).
+MOST_LEADS = 64
 
 
 BLANK = r"\x20\x09\x0B-\x0D"
@@ -89,7 +95,7 @@ def _words_of(kinds: DataFrame, docs: DataFrame) -> DataFrame:
     return found.distinct()  # rows that repeat name their lines again
 
 
-def _templates(kinds: DataFrame, depth: int, alike: float, rounds: int) -> DataFrame:
+def _templates(kinds: DataFrame, depth: int, alike: float) -> DataFrame:
     """(body, template) of the lines that joined another: ``kinds`` has (leaf, body, times, words)."""
     n = F.size("words")
     apart = (n - F.ceil(F.lit(alike) * n)).cast("int")
@@ -98,16 +104,24 @@ def _templates(kinds: DataFrame, depth: int, alike: float, rounds: int) -> DataF
     bands = cut(kinds.filter(apart > 0).select("body", "times", F.explode(band).alias("band")), "bands")
     mine = kinds.select("body", "words")
     theirs = kinds.select(F.col("body").alias("lead"), F.col("words").alias("others"))
-    joined = None
-    for _ in range(rounds):
-        leads = bands.groupBy("band").agg(F.max(F.struct("times", "body")).alias("top"), F.count("*").alias("n")).filter("n > 1")
-        leads = leads.select("band", F.col("top.body").alias("lead"), F.col("top.times").alias("often"))
-        met = bands.join(leads, "band").filter("body <> lead").select("body", "lead", "often").distinct()
+    joined, groups = None, 1
+    while True:
+        tops = bands.groupBy("band", (F.crc32("body") % groups).alias("group")).agg(F.max(F.struct("times", "body")).alias("top"), F.count("*").alias("n"))
+        tops = cut(tops.groupBy("band").agg(F.collect_list("top").alias("tops"), F.sum("n").alias("n")).filter("n > 1"), "leads")
+        total = tops.agg(F.sum("n")).first()[0]
+        if not total:
+            break
+        met = cut(shared_join(bands, tops, ["band"], "n", total).drop("n"), "bands")
+        pairs = met.select(F.struct("times", "body").alias("own"), F.explode("tops").alias("top")).filter("own.body <> top.body")
+        pairs = pairs.select(F.least("own", "top").alias("low"), F.greatest("own", "top").alias("high")).select("low.body", F.col("high.body").alias("lead"), F.col("high.times").alias("often")).distinct()
         same = F.aggregate(F.zip_with("words", "others", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
-        near = met.join(mine, "body").join(theirs, "lead").filter((F.size("words") == F.size("others")) & (same >= F.lit(alike) * n))
+        near = pairs.join(mine, "body").join(theirs, "lead").filter((F.size("words") == F.size("others")) & (same >= F.lit(alike) * n))
         near = cut(near.groupBy("body").agg(F.max(F.struct("often", "lead")).alias("x")).select("body", F.col("x.lead").alias("template")), "joined")
         joined = near if joined is None else joined.unionByName(near)
-        bands = bands.join(leads.select("band", F.col("lead").alias("body")), ["band", "body"], "left_anti").join(near, "body", "left_anti")
+        bands = met.filter(~F.array_contains("tops.body", F.col("body"))).select("band", "body", "times").join(near, "body", "left_anti")
+        groups = min(2 * groups, MOST_LEADS)
+    if joined is None:
+        return kinds.select("body", F.col("body").alias("template")).limit(0)
     while True:  # to the last lead: steps double, and every step leads to a more frequent line
         up = joined.select(F.col("body").alias("template"), F.col("template").alias("next"))
         step = cut(joined.join(up, "template", "left").select("body", F.coalesce("next", "template").alias("template"), F.col("next").isNotNull().alias("moved")), "joined")
@@ -116,7 +130,7 @@ def _templates(kinds: DataFrame, depth: int, alike: float, rounds: int) -> DataF
             return joined
 
 
-def dropped_lines(docs: DataFrame, depth: int = 3, alike: float = 0.8, least_words: int = 3, link: int = 0, rounds: int = 2) -> DataFrame:
+def dropped_lines(docs: DataFrame, depth: int = 3, alike: float = 0.8, least_words: int = 3, link: int = 0) -> DataFrame:
     """(o, k, drop): for documents (o, k, text), the indexes of the lines to drop, where there are any."""
     lines = cut(_lines(docs, depth), "lines").filter(F.col("n") >= least_words)
     # over all lines only numbers are aggregated, which needs no sort
@@ -128,7 +142,7 @@ def dropped_lines(docs: DataFrame, depth: int = 3, alike: float = 0.8, least_wor
     low = F.struct("at.o", "at.k")
     bodies = cut(shared.groupBy("body").agg(F.min("leaf").alias("leaf"), F.max("mixed").alias("mixed"), F.min(F.struct("o", "k", "idx")).alias("at"), F.max(F.struct("o", "k")).alias("high"), F.count("*").alias("times")), "bodies")
     kinds = cut(_words_of(bodies.filter("mixed").select("leaf", "body", "at", "times"), docs), "kinds")
-    own = bodies.join(_templates(kinds, depth, alike, rounds), "body", "left").withColumn("template", F.coalesce("template", "body"))
+    own = bodies.join(_templates(kinds, depth, alike), "body", "left").withColumn("template", F.coalesce("template", "body"))
     first = own.groupBy("template").agg(F.min("at").alias("first"), F.min(low).alias("low"), F.max("high").alias("high")).filter("low <> high").select("template", "first")
     again = cut(own.join(first, "template").select("body", "times", F.col("first.o").alias("fo"), F.col("first.k").alias("fk")), "recurring")
     again = shared_join(shared.drop("leaf", "mixed"), again, ["body"], "times", total).drop("times")
@@ -150,7 +164,9 @@ def dropped_lines(docs: DataFrame, depth: int = 3, alike: float = 0.8, least_wor
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the text less its dropped lines, and n_lines and n_dropped (long)."""
-    o = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("o")
+    whole = dict(docs.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint")
+    number = F.col(id_col).cast("long") if whole else F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("string")))
+    o = F.coalesce(number, F.lit((1 << 63) - 1)).alias("o")
     k = F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("k")
     drops = dropped_lines(docs.select(o, k, F.col(text_col).alias("text")), **options)
     out = docs.select(o, k, row_of(docs).alias("row")).join(drops, ["o", "k"], "left")

@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 from proofgrid.llm.line_dedup import dedup_lines
@@ -46,10 +48,11 @@ def brute(rows, depth=3, alike=0.8, least=3):
     return drop
 
 
-def joins(own, depth, alike, rounds=2):
-    """{words: lead's words} of one leaf, every line against every lead."""
+def joins(own, depth, alike):
+    """{words: lead's words} of one leaf, every line of a band against every lead, until no band has two lines."""
     times = Counter(x[2] for x in own)
-    rank = lambda w: (times[w], hashlib.md5(" ".join(w).encode()).digest())
+    body = {w: hashlib.md5(" ".join(w).encode()).digest() for w in times}
+    rank = lambda w: (times[w], body[w])
     n = len(own[0][2])
     apart = n - math.ceil(alike * n)
     if not apart:
@@ -59,19 +62,24 @@ def joins(own, depth, alike, rounds=2):
     for w in times:
         for j in range(apart + 1):
             lists[j, w[edge[j] : edge[j + 1]]].add(w)
-    out = {}
-    for _ in range(rounds):
+    out, groups = {}, 1
+    while any(len(band) > 1 for band in lists.values()):
         near = {}
         for band in lists.values():
-            if len(band) > 1:
-                lead = max(band, key=rank)
+            tops = {}
+            for w in band:
+                part = zlib.crc32(body[w]) % groups
+                tops[part] = max(tops.get(part, w), w, key=rank)
+            for lead in tops.values():
                 for w in band - {lead}:
                     if sum(a == b for a, b in zip(w, lead, strict=True)) >= alike * n:
-                        near[w] = max(near.get(w, lead), lead, key=rank)
-                band.discard(lead)
+                        low, high = sorted((w, lead), key=rank)
+                        near[low] = max(near.get(low, high), high, key=rank)
+            band -= set(tops.values())
         out |= near
         for band in lists.values():
-            band -= near.keys()
+            band.difference_update(near)
+        groups = min(2 * groups, 64)
     return out
 
 
@@ -138,6 +146,33 @@ def test_a_leaf_holds_several_templates(spark):
     assert sorted(r.doc_id for r in got if not r.n_dropped) == [0, 5, 9, 12]
 
 
+def own_text(i):
+    return " ".join(f"own{'abcdefghijklmnopqrstuvwxyz'[i // 26]}{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{c}{d}" for d in "abcdefgh" for c in "jklmn")
+
+
+def test_templates_that_share_one_band_are_all_found(spark):
+    for n_templates, n_lines in ((4, 5), (40, 3)):
+        name = lambda i: "abcdefghijklmnopqrstuvwxyz"[i // 26] + "abcdefghijklmnopqrstuvwxyz"[i % 26]
+        line = lambda t, v: f"one two three same band words t{name(t)} u{name(t)} v{name(t)} w{name(t)} x{name(t)} y{name(t)} name{name(v)}"
+        rows = [(t * n_lines + v, f"{line(t, v)}\n{own_text(t * n_lines + v)}") for t in range(n_templates) for v in range(n_lines)]
+        got = check(spark, rows)
+        assert Counter(r.doc_id // n_lines for r in got if r.n_dropped) == {t: n_lines - 1 for t in range(n_templates)}
+
+
+def test_random_lines_of_few_words_match_brute_force(spark):
+    dice = random.Random(5)
+    line = lambda: "all lines begin " + " ".join(dice.choice("abc") for _ in range(dice.choice((5, 8, 10))))
+    got = check(spark, [(i, f"{line()}\n{own_text(i)}") for i in range(400)])
+    assert sum(r.n_dropped for r in got) > 100
+
+
+def test_ids_that_are_no_integers(spark):
+    rows = [(i, f"shared footer line here\n{own_text(k)}") for k, i in enumerate(["a", "b", None, "7"])]
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted(r.n_dropped for r in got) == [0, 1, 1, 1] and {r.doc_id for r in got} == {"a", "b", None, "7"}
+    assert next(r for r in got if r.doc_id is None).n_dropped == 1
+
+
 def test_a_long_line_of_short_documents_is_no_copy(spark):
     line = " ".join(f"shared{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60))
     own = lambda i: " ".join(f"own{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40))
