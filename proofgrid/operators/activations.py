@@ -169,3 +169,12 @@ def split_classes(rows: DataFrame, components: int = 10, rounds: int = 50) -> Da
             centres = used  # the sides that the last sums are of
     each = z.mapInArrow(_silhouettes(centres, clusters), f"{cls}, small boolean, value double")
     return each.groupBy("cls").agg(F.count("*").alias("n"), F.avg(F.col("small").cast("double")).alias("minority"), F.avg("value").alias("silhouette"))
+
+
+def flag_overlap(members: DataFrame, flags: DataFrame, least: float = 0.5) -> DataFrame:
+    """(cls, n_minority, n_flagged, overlap, corroborated) of the smaller clusters, ``members`` (sample_id, cls), with samples that
+    other checks flagged; a sample counts once however many flags it has."""
+    seen = flags.select("sample_id", F.lit(1).alias("hit")).distinct()
+    out = members.select("sample_id", "cls").join(seen, "sample_id", "left").groupBy("cls").agg(F.count("*").alias("n_minority"), F.count("hit").alias("n_flagged"))
+    share = F.col("n_flagged") / F.col("n_minority")
+    return out.select("cls", "n_minority", "n_flagged", share.alias("overlap"), (share >= least).alias("corroborated"))

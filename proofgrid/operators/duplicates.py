@@ -111,3 +111,16 @@ def clusters(rows: DataFrame, contributors: DataFrame, vector: str | None = "emb
     top = F.min(F.struct((-F.col("m")).alias("m"), F.col("contributor").isNull().alias("unknown"), "contributor"))
     best = who.groupBy("component").agg(F.sum("m").alias("size"), top.alias("top")).select("component", "size", F.col("top.contributor").alias("dominant"), (-F.col("top.m")).alias("dominant_n"))
     return best.join(mean, "component")
+
+
+def majorities(rows: DataFrame) -> DataFrame:
+    """(component, n_labels, majority, n_minority) of clusters with two labels or more, from rows (component, label, vote). Labels
+    that are tied for most rows are told apart by the votes for them in the cluster; if these tie too, there is no majority and all
+    labelled rows are the minority. Rows without a label count as votes only; a null vote is none."""
+    both = F.explode(F.array(F.struct(F.col("label").alias("what"), F.lit(1).alias("n"), F.lit(0).alias("votes")), F.struct(F.col("vote").alias("what"), F.lit(0).alias("n"), F.lit(1).alias("votes")))).alias("x")
+    by = rows.select("component", both).select("component", "x.*").filter("what IS NOT NULL").groupBy("component", "what").agg(F.sum("n").alias("n"), F.sum("votes").alias("votes")).filter("n > 0")
+    # a label more than once at the top shows as a second label with the same two numbers
+    top = by.groupBy("component").agg(F.count("*").alias("n_labels"), F.sum("n").alias("all"), F.max(F.struct("n", "votes")).alias("top")).filter("n_labels > 1")
+    best = by.join(top, "component").filter((F.col("n") == F.col("top.n")) & (F.col("votes") == F.col("top.votes"))).groupBy("component", "n_labels", "all", "top").agg(F.count("*").alias("ways"), F.min("what").alias("what"))
+    one = F.col("ways") == 1
+    return best.select("component", "n_labels", F.when(one, F.col("what")).alias("majority"), (F.col("all") - F.when(one, F.col("top.n")).otherwise(0)).alias("n_minority"))

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofgrid.functions.special import normal_tail
 from proofgrid.operators.components import shared_table
 
 
@@ -113,3 +114,24 @@ def reliability(df: DataFrame, prob: str, label: str, bins: int = 10) -> DataFra
     """One row for each equal bin that has rows: n, mean prediction, observed rate. The last bin is closed."""
     b = F.least(F.floor(F.col(prob) * bins), F.lit(bins - 1))
     return df.groupBy(b.cast("int").alias("bin")).agg(F.count("*").alias("n"), F.avg(prob).alias("mean_predicted"), F.avg(F.col(label).cast("double")).alias("observed_rate"))
+
+
+def mann_whitney(rows: DataFrame, group: str, value: str, least: int = 8) -> DataFrame:
+    """(a, b, n_a, n_b, u, z, p) for each two groups a < b of at least ``least`` values: U of a over b with ties halved, and the
+    two-sided p-value of the normal approximation, corrected for ties and continuity (1 if all values are equal).
+
+    Rows are counted by value before they meet other groups, so a pair handles each distinct value once. Nulls and NaN don't count.
+    """
+    v = F.col(value).cast("double")
+    counts = shared_table(rows.filter(F.col(group).isNotNull() & v.isNotNull() & ~F.isnan(v)).groupBy(F.col(group).alias("g"), v.alias("value")).agg(F.count("*").alias("n")))
+    sizes = counts.groupBy("g").agg(F.sum("n").alias("size")).filter(F.col("size") >= least)
+    names = sizes.agg(F.collect_list("g").alias("names"))
+    met = counts.join(sizes.select("g"), "g").crossJoin(F.broadcast(names)).select("g", "value", "n", F.explode("names").alias("o")).filter("g <> o")  # names is one row
+    first = F.col("g") < F.col("o")
+    met = met.groupBy(F.least("g", "o").alias("a"), F.greatest("g", "o").alias("b"), "value").agg(F.sum(F.when(first, F.col("n")).otherwise(0)).alias("x"), F.sum(F.when(first, 0).otherwise(F.col("n"))).alias("y"))
+    t = (F.col("x") + F.col("y")).cast("double")
+    out = running(met, ["a", "b"], "value", ["y"]).groupBy("a", "b").agg(F.sum("x").alias("n_a"), F.sum("y").alias("n_b"), F.sum(F.col("x") * (F.col("cum_y") - F.col("y") / 2)).alias("u"), F.sum(t * t * t - t).alias("ties"))
+    n, m = F.col("n_a").cast("double"), F.col("n_b").cast("double")
+    variance = n * m / 12 * (n + m + 1 - F.col("ties") / ((n + m) * (n + m - 1)))
+    z = F.when(variance <= 0, 0.0).otherwise(F.greatest(F.abs(F.col("u") - n * m / 2) - 0.5, F.lit(0.0)) / F.sqrt(variance))
+    return out.select("a", "b", "n_a", "n_b", "u", z.alias("z")).withColumn("p", F.least(F.lit(1.0), 2 * normal_tail("z")))

@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from proofgrid.plans import data, drift, duplicates, extras, identity, images, lookups, model, profiles, provenance, residuals, rollups, statistics  # noqa: F401
+    from proofgrid.plans import data, drift, duplicates, extras, identity, images, lookups, model, profiles, provenance, residuals, reviews, rollups, statistics  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
