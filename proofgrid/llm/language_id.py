@@ -6,9 +6,9 @@ their count of common places over the geometric mean of their counts. Landmark t
 kernel ridge regression with one output for each language (+1 or -1) is solved on it. A block of texts is then
 scored by two matrix products: presence times landmarks, and kernel times weights.
 
-Bounds: at most ``most_rows`` labelled texts of each language are learned from, the first by a hash of id and text,
-of at most ``most_langs`` languages (those with the most texts); they reach the driver as bitmaps of 2 KB. A
-threshold on the hash, from the languages' counts, leaves a few times as many texts before any is made a bitmap,
+Bounds: at most ``most_rows`` labelled texts of each language are learned from, the first by a hash of id and text, and
+at most ``most_total`` of all: of many languages fewer each, but every language keeps one at least. They reach the
+driver as bitmaps of 2 KB, and are unpacked a block at a time. A threshold on the hash, from the languages' counts, leaves a few times as many texts before any is made a bitmap,
 so no task sees all of a language. Every text is scored whole. Nothing but the text enters a prediction.
 
 Null texts and texts without a letter get ``und`` and score 0; so do all if there is nothing to learn from.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofgrid.llm.common import bounded, chunks, columns
+from proofgrid.llm.common import bounded, chunks, columns, cut
 from proofgrid.llm.kernels import U, mixed, powers
 
 WIDTH = 1 << 14
@@ -73,14 +73,18 @@ class Model:
         self.names, self.marks, self.weights = names, marks, weights
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: list[str], landmarks: int = 256, ridge: float = 1e-2) -> Model:
-        """The rows' order decides which become landmarks: the first of each language."""
-        names = sorted(set(y))
-        own = np.array([names.index(v) for v in y])
+    def fit(cls, bits: np.ndarray, y: list[str], landmarks: int = 256, ridge: float = 1e-2) -> Model:
+        """Learns from rows of packed bits, whose order decides which become landmarks: the first of each language. Of more
+        languages than ``landmarks``, each has one."""
+        names, own = np.unique(np.array(y, object), return_inverse=True)
+        names = names.tolist()
         share = max(1, landmarks // len(names))
-        chosen = np.concatenate([np.flatnonzero(own == k)[:share] for k in range(len(names))])
-        marks = unit(x[chosen])
-        k = (unit(x) @ marks.T).astype(np.float64)
+        order = np.argsort(own, kind="stable")
+        begin = np.searchsorted(own[order], np.arange(len(names) + 1))
+        chosen = np.concatenate([order[s : min(s + share, e)] for s, e in zip(begin[:-1], begin[1:], strict=True)])
+        rows = lambda b: unit(np.unpackbits(b, axis=1).astype(np.float32))
+        marks = rows(bits[chosen])
+        k = np.vstack([rows(bits[s : s + BLOCK]) @ marks.T for s in range(0, len(bits), BLOCK)]).astype(np.float64)
         value, vector = np.linalg.eigh(k[chosen])
         keep = value > 1e-6 * value.max()
         back = vector[:, keep] / np.sqrt(value[keep])  # the Nyström map of a kernel row
@@ -119,17 +123,16 @@ def _predict(model):
     return run
 
 
-def _sample(docs: DataFrame, most_rows: int, most_langs: int, spare: int = 4) -> DataFrame:
-    """(doc_id, lang, text, u) of labelled texts (doc_id, lang, text): about ``spare`` times ``most_rows`` of each language,
-    all of those that have fewer."""
-    counts = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(most_langs)
+def _sample(docs: DataFrame, counts: DataFrame, most_rows: int, spare: int = 4) -> DataFrame:
+    """(doc_id, lang, text, u) of labelled texts (doc_id, lang, text): about ``spare`` times ``most_rows`` of each language, but
+    64 at least, and all of those that have fewer."""
     span = 1 << 40
-    level = counts.select("lang", F.least(F.lit(float(span)), F.lit(float(spare * most_rows * span)) / F.col("n")).alias("level"))
+    level = counts.select("lang", F.least(F.lit(float(span)), F.lit(float(max(64, spare * most_rows) * span)) / F.col("n")).alias("level"))
     rows = docs.withColumn("u", F.pmod(F.xxhash64("doc_id", "text"), F.lit(span)))
-    return rows.join(F.broadcast(level), "lang").filter("u < level").drop("level")  # most_langs rows at most
+    return rows.join(level, "lang").filter("u < level").drop("level")
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = 1_000, most_langs: int = 200, landmarks: int = 256, ridge: float = 1e-2) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = 1_000, most_total: int = 20_000, landmarks: int = 256, ridge: float = 1e-2) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): learned where crc32 of the id as text, modulo 3, is not 1."""
     spark = bounded(docs.sparkSession)
     held = F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
@@ -137,11 +140,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     kind = dict(docs.dtypes)[id_col]
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held_out"), letter.alias("letter"), F.col(text_col).alias("text"))
     known = docs.filter(~held & F.col(lang_col).isNotNull() & letter).select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    bits = _sample(known, most_rows, most_langs).mapInArrow(_bitmaps, f"doc_id {kind}, lang string, u long, bits binary").dropDuplicates(["lang", "u", "doc_id"])
+    counts = cut(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    most_rows = max(1, min(most_rows, most_total // max(1, counts.count())))
+    bits = _sample(known, counts, most_rows).mapInArrow(_bitmaps, f"doc_id {kind}, lang string, u long, bits binary").dropDuplicates(["lang", "u", "doc_id"])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id"))
     rows = sorted(bits.withColumn("rank", rank).filter(F.col("rank") <= most_rows).collect(), key=lambda r: (r.lang, r.rank))
     if not rows:
         return base.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    x = np.unpackbits(np.frombuffer(b"".join(r.bits for r in rows), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
-    model = spark.sparkContext.broadcast(Model.fit(x, [r.lang for r in rows], landmarks, ridge))
+    packed = np.frombuffer(b"".join(r.bits for r in rows), np.uint8).reshape(len(rows), -1)
+    model = spark.sparkContext.broadcast(Model.fit(packed, [r.lang for r in rows], landmarks, ridge))
     return base.mapInArrow(_predict(model), f"doc_id {kind}, held_out boolean, lang_pred string, score double")

@@ -114,6 +114,20 @@ def test_threshold_lies_in_the_widest_gap(scores, good, want):
     assert got < 1.0 if want is None else abs(got - want) < 1e-12
 
 
+def test_every_language_is_learned(spark):
+    dice = random.Random(2)
+    words = {f"l{k:03d}": ["".join(dice.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for k in range(250)}
+    rows = [(i, " ".join(dice.choices(words[lang], k=30)), lang) for i, lang in enumerate(sorted(words) * 6)]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), most_total=600).collect()
+    truth = {i: lang for i, _, lang in rows}
+    held = [r for r in got if r.held_out]
+    learned = {truth[r.doc_id] for r in got if not r.held_out}
+    assert len(got) == len(rows) and len(learned) > 240
+    assert {r.lang_pred for r in got} == learned
+    known = [r for r in held if truth[r.doc_id] in learned]
+    assert sum(r.lang_pred == truth[r.doc_id] for r in known) > 0.95 * len(known)
+
+
 def test_the_kernel_is_that_of_sets_of_grams():
     from proofgrid.llm import language_id as li
 
@@ -130,7 +144,7 @@ def test_the_kernel_is_that_of_sets_of_grams():
             own = float(li.unit(x)[i] @ li.unit(x)[j])
             assert abs(own - len(a & b) / (len(a) * len(b)) ** 0.5) < 0.05
     y = ["en", "fr", "en", "fr"]
-    model = li.Model.fit(x, y, landmarks=4, ridge=1e-6)
+    model = li.Model.fit(np.packbits(x.astype(bool), axis=1), y, landmarks=4, ridge=1e-6)
     k = np.array([[len(a & b) / (len(a) * len(b)) ** 0.5 for b in sets] for a in sets])
     target = np.array([[1.0, -1.0] if v == "en" else [-1.0, 1.0] for v in y])
     dense = k @ np.linalg.solve(k + 1e-6 * np.eye(4), target)
