@@ -64,7 +64,8 @@ def fit(reference: DataFrame, vector: str, dims: int = 32) -> Shrunk:
     spread, axes = np.maximum(spread[::-1][:k], 0), axes[:, ::-1][:, :k]
 
     def fourth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array([sum(float(((((_vectors(b.column(0)) - mean) @ axes) ** 2).sum(1) ** 2).sum()) for b in batches if b.num_rows)])], ["s"])
+        # the type is given, as a task without rows has the integer 0
+        yield pa.RecordBatch.from_arrays([pa.array([sum(float(((((_vectors(b.column(0)) - mean) @ axes) ** 2).sum(1) ** 2).sum()) for b in batches if b.num_rows)], pa.float64())], ["s"])
 
     power = rows.mapInArrow(fourth, "s double").agg(F.sum("s")).first()[0]
     square, level = float((spread**2).sum()), float(spread.mean())

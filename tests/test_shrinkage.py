@@ -37,6 +37,12 @@ def test_no_covariance_of_one_row(spark):
         shrinkage.fit(spark.createDataFrame([([1.0, 2.0],)], "v array<double>"), "v")
 
 
+def test_partitions_without_rows(spark):
+    rows = spark.range(0, 5, 1, 8).selectExpr("id", "array(double(id), double(id * id), 1D) AS v")  # 8 partitions
+    model, one = shrinkage.fit(rows, "v", 2), shrinkage.fit(rows.coalesce(1), "v", 2)
+    assert model.rows == 5 and abs(model.shrinkage - one.shrinkage) < 1e-12
+
+
 def test_intervals_agree_with_resampling_and_cover(spark):
     rng = np.random.default_rng(0)
     rows = [(k, float(rng.normal(0.8 if i % 2 else 0)), i % 2) for k in range(120) for i in range(100)]
