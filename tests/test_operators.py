@@ -175,3 +175,9 @@ def test_split_classes_counts_every_row(spark):
     assert abs(got["a"].silhouette - ((other - own) / np.maximum(own, other)).mean()) < 0.02
     assert 0 < got["b"].minority <= 0.5 and got["b"].silhouette < 0.25
     assert not split_classes(df.limit(0)).collect()
+
+
+def test_dealt_probes_are_never_broadcast(spark):
+    """A row asks for thousands of keys, but Spark would judge the side by its rows before they are dealt."""
+    df = spark.range(100).select("id", F.xxhash64("id").alias("h"))
+    assert "BroadcastHashJoin" not in hamming_pairs(df, "id", "h", 8, 64)._jdf.queryExecution().executedPlan().toString()
