@@ -74,15 +74,19 @@ def bh_qvalues_of_rows(df: DataFrame, p: str, out: str = "q") -> DataFrame:
     return df.join(q, F.col(p).cast("double") == F.col("_p"), "left").drop("_p")
 
 
-def robust_z(df: DataFrame, x: str, by: Sequence[str], out: str = "z") -> DataFrame:
-    """Modified z-score in each group: the median and the scaled median deviation, or the scaled mean one if that is 0."""
+def robust_z(df: DataFrame, x: str, by: Sequence[str], out: str = "z", or_mean: bool = True) -> DataFrame:
+    """Modified z-score in each group: the median and the scaled median deviation, or the scaled mean one if that is 0.
+    Without ``or_mean`` a median deviation of 0 leaves the floating-point quotient: NaN at the median, else infinity."""
     keys = list(by)
     med = df.groupBy(*keys).agg(F.percentile(x, 0.5).alias("_med"))
     near = df.join(med, keys)
     dev = near.groupBy(*keys).agg(F.percentile(F.abs(F.col(x) - F.col("_med")), 0.5).alias("_mad"), F.avg(F.abs(F.col(x) - F.col("_med"))).alias("_mean"))
     mean = F.col("_mean") * 1.2533
     scale = F.when(F.col("_mad") * 1.4826 >= 1e-12, F.col("_mad") * 1.4826).when(mean > 0, mean).otherwise(1e-12)
-    return near.join(dev, keys).withColumn(out, (F.col(x) - F.col("_med")) / scale).drop("_med", "_mad", "_mean")
+    off = F.col(x) - F.col("_med")
+    none = F.when(off > 0, float("inf")).when(off < 0, float("-inf")).when(off == 0, float("nan"))
+    z = off / scale if or_mean else F.when(F.col("_mad") == 0, none).otherwise(off / F.nullif(F.col("_mad") * 1.4826, F.lit(0.0)))
+    return near.join(dev, keys).withColumn(out, z).drop("_med", "_mad", "_mean")
 
 
 def conformal_pvalues(calibration: DataFrame, test: DataFrame, score: str, out: str = "p") -> DataFrame:

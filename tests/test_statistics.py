@@ -113,3 +113,16 @@ def test_qvalues_of_many_rows_are_those_of_one_window(spark):
     odd = spark.createDataFrame([(1, None), (2, 0.5)], "i long, p double")
     assert {r.i: r.q for r in st.bh_qvalues_of_rows(odd, "p").collect()} == {1: None, 2: 0.5}
     assert not st.bh_qvalues_of_rows(df.limit(0), "p").collect()
+
+
+def test_anomaly_index_without_a_median_deviation_follows_its_sql(spark, tmp_path):
+    import duckdb
+
+    from proofgrid.plans import catalog
+
+    spark.range(70).selectExpr("id AS p_partkey", "'B' || id % 7 AS p_brand", "CASE id % 7 WHEN 5 THEN 880.0D WHEN 6 THEN 907.0D ELSE 900.0D END AS p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    want = con.execute(catalog.oracle_sql()["anomaly_index"]).fetchall()
+    got = [tuple(r) for r in catalog.queries()["anomaly_index"](spark, str(tmp_path)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 7
