@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from proofgrid.functions.provenance import CanonicalError, canonical, canonical_json, signature_ok
 from proofgrid.operators.components import shared_table
+from proofgrid.operators.statistics import running
 
 GENESIS = "sha256:" + "0" * 64
 #: Lines or numbers that a task orders at once.
@@ -33,14 +34,22 @@ def replays(df: DataFrame, ledger: str = "ledger", line: str = "line") -> DataFr
 
 def gaps(df: DataFrame, ledger: str = "ledger", line: str = "line", seq: str = "seq") -> DataFrame:
     """(ledger, line, first_missing, last_missing, kind): jumps above the greatest sequence number so far; a gap whose
-    numbers all turn up later is a reorder, otherwise a deletion."""
-    top = F.coalesce(F.max(seq).over(Window.partitionBy(ledger).orderBy(line).rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
-    jumps = df.withColumn("_top", top).filter(F.col(seq) > F.col("_top") + 1).select(ledger, line, (F.col("_top") + 1).alias("first_missing"), (F.col(seq) - 1).alias("last_missing"))
-    later = df.select(F.col(ledger).alias("_l"), F.col(seq).alias("_s")).distinct()
-    found = jumps.join(later, (F.col(ledger) == F.col("_l")) & F.col("_s").between(F.col("first_missing"), F.col("last_missing")), "left")
-    counted = found.groupBy(ledger, line, "first_missing", "last_missing").agg(F.count("_s").alias("_n"))
-    kind = F.when(F.col("_n") == F.col("last_missing") - F.col("first_missing") + 1, "record_reorder").otherwise("record_deletion")
-    return counted.withColumn("kind", kind).drop("_n")
+    numbers all turn up later is a reorder, otherwise a deletion.
+
+    The numbers that turn up in a gap are the difference of two running counts of distinct numbers, at its end and before its
+    start, so no line meets the others of its ledger. ``line`` is an integer that is unique in its ledger.
+    """
+    rows = shared_table(df.select(F.col(ledger).alias("_l"), F.col(line).alias("_line"), F.col(seq).alias("_s")))
+    first, last = F.coalesce(F.col("_top"), F.lit(-1)) + 1, F.col("_s") - 1
+    jumps = shared_table(prefix(rows, "_l", "_line", _top=(F.max, F.col("_s"))).filter(F.col("_s") > first).select("_l", "_line", first.alias("first_missing"), last.alias("last_missing")))
+    at = F.explode(F.array(F.col("first_missing") - 1, F.col("last_missing"))).alias("_s")
+    points = rows.filter("_s IS NOT NULL").select("_l", "_s", F.lit(1).alias("_n")).unionByName(jumps.select("_l", at, F.lit(0).alias("_n"))).groupBy("_l", "_s").agg(F.max("_n").alias("_n"))
+    count = shared_table(running(points, ["_l"], "_s", ["_n"]).select("_l", "_s", "cum__n"))
+    below = count.select("_l", (F.col("_s") + 1).alias("first_missing"), F.col("cum__n").alias("_below"))
+    upto = count.select("_l", F.col("_s").alias("last_missing"), F.col("cum__n").alias("_upto"))
+    counted = jumps.join(below, ["_l", "first_missing"], "left").join(upto, ["_l", "last_missing"], "left")
+    kind = F.when(F.col("_upto") - F.col("_below") == F.col("last_missing") - F.col("first_missing") + 1, "record_reorder").otherwise("record_deletion")
+    return counted.select(F.col("_l").alias(ledger), F.col("_line").alias(line), "first_missing", "last_missing", kind.alias("kind"))
 
 
 def prefix(df: DataFrame, key: str, order: str, **values) -> DataFrame:
