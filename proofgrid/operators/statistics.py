@@ -30,25 +30,45 @@ def running(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str])
     return out.drop("_part", "_after", *(f"_b_{c}" for c in sums))
 
 
+def side_counts(df: DataFrame, keys: Sequence[str], value: str, is_ref: Column) -> DataFrame:
+    """(keys, value, r, c): rows of the reference and of the current side by distinct value. Nulls and NaN don't count."""
+    v = F.col(value)
+    return df.filter(v.isNotNull() & ~F.isnan(v.cast("double"))).groupBy(*keys, v.cast("double").alias("value")).agg(F.sum(is_ref.cast("long")).alias("r"), F.sum((~is_ref).cast("long")).alias("c"))
+
+
 def ecdf(df: DataFrame, keys: Sequence[str], value: str, is_ref: Column) -> DataFrame:
     """One row for each key and distinct value: r and c (rows of the reference and of the current side), running sums,
     totals and the next value. Nulls and NaN don't count."""
-    v = F.col(value)
-    counts = df.filter(v.isNotNull() & ~F.isnan(v.cast("double"))).groupBy(*keys, v.cast("double").alias("value")).agg(F.sum(is_ref.cast("long")).alias("r"), F.sum((~is_ref).cast("long")).alias("c"))
+    return ecdf_of_counts(side_counts(df, keys, value, is_ref), keys)
+
+
+def ecdf_of_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     totals = counts.groupBy(*keys).agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"))
     return running(counts, keys, "value", ["r", "c"]).join(totals, list(keys))
 
 
+def quantile(p: float, cum: str, total: str, value: str = "value") -> Column:
+    """An aggregate over running counts ``cum`` of ``total`` rows by distinct value: the exact quantile, interpolated between
+    the two ranks around it. Partial results are two numbers, so that no task gets a group's values."""
+    at = F.lit(p) * (F.max(total) - 1)
+    low, high = (F.min(F.when((F.col(total) > 0) & (F.col(cum) > f(F.lit(p) * (F.col(total) - 1))), F.col(value))) for f in (F.floor, F.ceil))
+    return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+
+
 def compare(df: DataFrame, keys: Sequence[str], value: str, is_ref: Column, least: int = 5) -> DataFrame:
     """For each key: n_ref, n_cur, KS statistic, Wasserstein distance and Cliff's delta (current against reference)."""
+    return compare_ecdf(ecdf(df, keys, value, is_ref), keys, least)
+
+
+def compare_ecdf(steps: DataFrame, keys: Sequence[str], least: int = 5) -> DataFrame:
+    """The same from the result of ``ecdf``, with the medians of both sides."""
     gap = F.col("cum_r") / F.col("n_ref") - F.col("cum_c") / F.col("n_cur")
     wins = F.col("c") * (2 * F.col("cum_r") - F.col("r") - F.col("n_ref"))
     return (
-        ecdf(df, keys, value, is_ref)
+        steps.filter((F.col("n_ref") >= least) & (F.col("n_cur") >= least))
         .groupBy(*keys, "n_ref", "n_cur")
-        .agg(F.max(F.abs(gap)).alias("ks"), F.sum(F.abs(gap) * F.coalesce(F.col("next_") - F.col("value"), F.lit(0.0))).alias("wasserstein"), F.sum(wins).alias("_wins"))
-        .filter((F.col("n_ref") >= least) & (F.col("n_cur") >= least))
-        .select(*keys, "n_ref", "n_cur", "ks", "wasserstein", (F.col("_wins") / F.col("n_ref") / F.col("n_cur")).alias("delta"))
+        .agg(F.max(F.abs(gap)).alias("ks"), F.sum(F.abs(gap) * F.coalesce(F.col("next_") - F.col("value"), F.lit(0.0))).alias("wasserstein"), F.sum(wins).alias("_wins"), quantile(0.5, "cum_r", "n_ref").alias("ref_median"), quantile(0.5, "cum_c", "n_cur").alias("cur_median"))
+        .select(*keys, "n_ref", "n_cur", "ks", "wasserstein", (F.col("_wins") / F.col("n_ref") / F.col("n_cur")).alias("delta"), "ref_median", "cur_median")
     )
 
 
@@ -102,8 +122,15 @@ def conformal_pvalues(calibration: DataFrame, test: DataFrame, score: str, out:
 def psi(df: DataFrame, keys: Sequence[str], value: str, is_ref: Column, bins: int = 10, eps: float = 1e-4) -> DataFrame:
     """Population stability index over the reference's quantile bins, the outer ones open; 0 with fewer than 3 edges."""
     # rows are counted by value first, so that quantiles and bins handle each distinct value once
-    seen = df.groupBy(*keys, value).agg(F.sum(is_ref.cast("long")).alias("r"), F.sum((~is_ref).cast("long")).alias("c"))
-    cuts = seen.filter("r > 0").groupBy(*keys).agg(F.array_distinct(F.percentile(value, [i / bins for i in range(bins + 1)], F.col("r"))).alias("edges"))
+    seen = shared_table(df.groupBy(*keys, value).agg(F.sum(is_ref.cast("long")).alias("r"), F.sum((~is_ref).cast("long")).alias("c")))
+    known = seen.filter(F.col("r") > 0).filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("value"), "r", "c")
+    return psi_of_counts(seen, ecdf_of_counts(known, keys), keys, value, bins, eps)
+
+
+def psi_of_counts(seen: DataFrame, steps: DataFrame, keys: Sequence[str], value: str = "value", bins: int = 10, eps: float = 1e-4) -> DataFrame:
+    """The same from rows counted by value (keys, value, r, c) and their ``ecdf``, which gives the edges."""
+    edges = F.array_distinct(F.array(*(quantile(i / bins, "cum_r", "n_ref") for i in range(bins + 1))))
+    cuts = shared_table(steps.filter("n_ref > 0").groupBy(*keys).agg(edges.alias("edges")))
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
     at = seen.join(cuts, list(keys)).withColumn("bin", F.size(F.filter(inner, lambda e: F.col(value) >= e)))
     counts = at.groupBy(*keys, "edges", "bin").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))

@@ -11,6 +11,7 @@ from proofgrid.functions import columns as c
 from proofgrid.functions import special
 from proofgrid.operators import interpretation as ip
 from proofgrid.operators import statistics as st
+from proofgrid.operators.components import shared_table
 from proofgrid.plans import bindings as b
 from proofgrid.plans.catalog import query
 from proofgrid.plans.statistics import _ECDF
@@ -20,9 +21,10 @@ def compare_axes(axes, keys=("axis",)):
     """Medians, shift, KS with its asymptotic p and q, PSI, Wasserstein and Cliff's delta of each axis."""
     keys = list(keys)
     is_ref = F.col("is_ref")
-    base = st.compare(axes, keys, "value", is_ref)
-    med = axes.groupBy(*keys).agg(F.percentile(F.when(is_ref, F.col("value")), 0.5).alias("ref_median"), F.percentile(F.when(~is_ref, F.col("value")), 0.5).alias("cur_median"), F.stddev_pop(F.when(is_ref, F.col("value"))).alias("sd"))
-    out = base.join(med, keys).join(st.psi(axes, keys, "value", is_ref), keys)
+    counts = shared_table(st.side_counts(axes, keys, "value", is_ref))  # all but the deviation comes from these
+    steps = shared_table(st.ecdf_of_counts(counts, keys))
+    sd = axes.groupBy(*keys).agg(F.stddev_pop(F.when(is_ref, F.col("value"))).alias("sd"))
+    out = st.compare_ecdf(steps, keys).join(sd, keys).join(st.psi_of_counts(counts, steps, keys), keys)
     sd = F.when(F.col("sd") > 0, F.col("sd")).otherwise(1e-9)
     out = out.withColumn("shift_sd", (F.col("cur_median") - F.col("ref_median")) / sd).withColumn("wasserstein_sd", F.col("wasserstein") / sd)
     out = out.withColumn("p", special.ks_pvalue("ks", F.col("n_ref").cast("double"), F.col("n_cur").cast("double")))

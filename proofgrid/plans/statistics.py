@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from proofgrid.functions import columns as c
 from proofgrid.functions import special
 from proofgrid.operators import statistics as st
+from proofgrid.operators.components import shared_table
 from proofgrid.plans import bindings as b
 from proofgrid.plans.catalog import query
 
@@ -141,11 +142,13 @@ def entropy_bits(spark, d):
 @query("""WITH q AS (SELECT quantile_cont(l_extendedprice, 0.01) AS lo, quantile_cont(l_extendedprice, 0.99) AS hi FROM lineitem)
 SELECT bin, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM (SELECT least(23, floor((l_extendedprice - lo) / ((hi - lo) / 24)))::INT AS bin FROM lineitem, q WHERE l_extendedprice BETWEEN lo AND hi) GROUP BY bin""")
 def histogram_fixed(spark, d):
-    li = b.read(spark, d, "lineitem").select(F.col("l_extendedprice").alias("v"))
-    q = li.agg(F.percentile("v", 0.01).alias("lo"), F.percentile("v", 0.99).alias("hi"))
+    counts = shared_table(b.read(spark, d, "lineitem").filter("l_extendedprice IS NOT NULL").groupBy(F.col("l_extendedprice").alias("v")).agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n").alias("all"))
+    steps = st.running(counts, [], "v", ["n"]).crossJoin(F.broadcast(total))  # one row
+    q = steps.agg(st.quantile(0.01, "cum_n", "all", "v").alias("lo"), st.quantile(0.99, "cum_n", "all", "v").alias("hi"))
     at = F.least(F.lit(23), F.floor((F.col("v") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 24))).cast("int")
-    counts = li.crossJoin(F.broadcast(q)).filter(F.col("v").between(F.col("lo"), F.col("hi"))).groupBy(at.alias("bin")).count()  # q is one row
-    return counts.select("bin", F.round(F.col("count") / F.sum("count").over(Window.partitionBy()), 9).alias("share"))
+    bins = counts.crossJoin(F.broadcast(q)).filter(F.col("v").between(F.col("lo"), F.col("hi"))).groupBy(at.alias("bin")).agg(F.sum("n").alias("count"))  # q is one row
+    return bins.select("bin", F.round(F.col("count") / F.sum("count").over(Window.partitionBy()), 9).alias("share"))
 
 
 _PROB = "SELECT least(1.0, n_chars / 4000.0::DOUBLE) AS prob, toxic AS label FROM labels JOIN documents USING (doc_id)"

@@ -126,3 +126,15 @@ def test_anomaly_index_without_a_median_deviation_follows_its_sql(spark, tmp_pat
     want = con.execute(catalog.oracle_sql()["anomaly_index"]).fetchall()
     got = [tuple(r) for r in catalog.queries()["anomaly_index"](spark, str(tmp_path)).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 7
+
+
+def test_medians_of_axes_come_from_running_counts(spark):
+    from proofgrid.plans.drift import compare_axes
+
+    rng = np.random.default_rng(4)
+    rows = [(a, bool(r), float(v)) for a in "xy" for r, v in zip(rng.random(301) < 0.4, rng.integers(0, 40, 301) / 8, strict=True)]
+    out = compare_axes(spark.createDataFrame(rows, "axis string, is_ref boolean, value double"))
+    for r in out.collect():
+        side = lambda s: np.median([v for a, f, v in rows if a == r.axis and f == s])  # noqa: E731, B023
+        assert abs(r.ref_median - side(True)) < 1e-12 and abs(r.cur_median - side(False)) < 1e-12
+    assert "percentile" not in out._jdf.queryExecution().optimizedPlan().toString()  # it takes all of a group to one task
