@@ -64,3 +64,15 @@ def test_weights_are_poisson(spark):
     for n in (1, 7, 200):
         r = spark.range(20_000).select(bootstrap.weight(F.lit(n), F.col("id")).alias("w")).agg(F.avg("w").alias("m"), F.variance("w").alias("v")).first()
         assert abs(r.m - n) < 4 * (n / 20_000) ** 0.5 + 0.01 and abs(r.v / n - 1) < 0.06
+
+
+def test_intervals_of_rows_without_a_key(spark):
+    """A null key is a key, and no replicate of a score moves between tasks."""
+    rows = [(None if i % 3 else "a", float(i % 17), i % 2) for i in range(90)]
+    out = bootstrap.auroc_intervals(spark.createDataFrame(rows, "k string, score double, y int"), ["k"], "score", F.col("y") == 1, replicates=20)
+    got = {r.k: r for r in out.collect()}
+    for k in (None, "a"):
+        p, m = (np.array([s for j, s, y in rows if j == k and y == v]) for v in (1, 0))
+        want = ((p[:, None] > m).mean() + (p[:, None] == m).mean() / 2)
+        assert (got[k].n_pos, got[k].n_neg) == (len(p), len(m)) and abs(got[k].auroc - want) < 1e-12 and got[k].low <= want <= got[k].high
+    assert "explode" not in out._jdf.queryExecution().optimizedPlan().toString()
