@@ -2,25 +2,27 @@
 
 Steps, with what each moves:
 
-1. ``profile``: one pass over the texts gives each document's set size and a 128-bit digest of its set, and
-   a count sketch of all shingles (fixed size, merged on the executors). Equal sets are one class from here on.
+1. ``profile``: one pass over the texts gives each document's set size, a 128-bit digest and a signature of its set (one
+   or two bits a shingle), and a count sketch of all shingles (fixed size, merged on the executors). Equal sets are one
+   class from here on.
 2. ``postings``: a second pass orders each set rare-first by the sketch and emits the prefix that any
    partner must meet: the inverted lists of the join, one posting a class and prefix shingle.
 3. ``candidates``: lists stream through a task, sorted by size. A list of at most ``pairwise`` classes gives its
    pairs that pass the length and positional filters. A longer one gives stars first: of every ``star`` classes the
    one with the least place (the most typical) is paired with the others, and with the next star's.
-4. ``verified``: pairs are made distinct, get both sets by joins on their classes, and pass the suffix filter and
-   the count of common shingles; each pair once. Links make components.
+4. ``verified``: pairs are made distinct and get both signatures, whose bits that differ are a lower bound on the sets'
+   difference; this drops nearly all pairs that don't link, and no other. Only classes of the rest have their texts read
+   again. These pairs get both sets by joins, and pass the suffix filter and the count of common shingles; each pair
+   once. Links make components.
 5. In longer lists whose classes lie in several components, each class is paired with a few others of its list in an
    order by hash, if these are in other components. These pairs are verified and their links join components: in a
    group of near copies nearly any pair links, so that few components remain.
 6. Longer lists whose classes lie in several components still give all their pairs that pass the filters and run
-   across components, dealt out by ``block`` classes, and these are verified too; before sets are sent, a bound on
-   their difference drops most (of ``PARITY`` ranges of hashes, those where one set has an odd number of shingles and
-   the other an even one differ in a shingle at least). Pairs inside a component need no look. What remains unlinked is unlinked by a verified pair or a filter, so components are exact.
+   across components, dealt out by ``block`` classes, less those that the first ``PARITY`` bits of their signatures tell
+   apart, and these are verified too. Pairs inside a component need no look. What remains unlinked is unlinked by a verified pair or a filter, so components are exact.
 
 Nothing about single documents reaches the driver, no task holds a list or a component, and a set is sent once
-for each pair. `similar_pairs` gives every link between classes instead, and `link_counts` how many a document has.
+for each pair that signatures leave. `similar_pairs` gives every link between classes instead, and `link_counts` how many a document has.
 
 Null or empty texts and texts of white space have an empty set, size 0 and themselves as component. Repeated rows
 are copies of each other; rows that share an id but not a text are told apart by their texts. Columns other than
@@ -46,6 +48,8 @@ SKETCH_BLOCKS = 64
 PARITY = 512
 #: Stands for a null id where rows are matched by id.
 NO_ID = -(1 << 63)
+#: Bits of the filter that says which texts aren't read again, in rows of 2^15.
+WANTED_BITS = 24
 
 
 def set_digest(s: np.ndarray) -> tuple[int, int]:
@@ -65,6 +69,26 @@ def parities(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((mixed(s) >> U(55)).astype(np.int64), minlength=PARITY) & 1).tobytes()
 
 
+def signature(s: np.ndarray) -> bytes:
+    """The parities, and those of finer ranges for a set of more than PARITY elements: one range for each element at least."""
+    bits = 1 << max(0, len(s) - 1).bit_length()
+    fine = np.packbits(np.bincount((mixed(s) & U(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes() if bits > PARITY else b""
+    return parities(s) + fine
+
+
+def signatures_apart(a: bytes, b: bytes) -> int:
+    """Lower bound of the Hamming distance of two sets from their signatures: where one set has an odd number of elements in
+    a range and the other an even one, they differ in an element at least."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    short = PARITY // 64
+    if min(len(x), len(y)) == short:
+        return int(np.bitwise_count(x[:short] ^ y[:short]).sum())
+    x, y = x[short:], y[short:]
+    if len(x) > len(y):
+        x, y = y, x
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), 0)).sum())
+
+
 def _profile(id_col: str, text_col: str, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -75,13 +99,13 @@ def _profile(id_col: str, text_col: str, n: int):
             digests = [set_digest(s) for s in sets]
             size = len(sets)
             yield pa.RecordBatch.from_arrays(
-                [columns(rows, id_col).cast(pa.int64()), columns(rows, "text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())],
-                ["doc_id", "text_key", "n_shingles", "node", "check", "block", "counts"],
+                [columns(rows, id_col).cast(pa.int64()), columns(rows, "text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())],
+                ["doc_id", "text_key", "n_shingles", "node", "check", "sign", "block", "counts"],
             )
         if counts.any():
             blocks = counts.reshape(SKETCH_BLOCKS, -1)
             nulls = pa.nulls(SKETCH_BLOCKS, pa.int64())
-            yield pa.RecordBatch.from_arrays([nulls, nulls, nulls, nulls, nulls, pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["doc_id", "text_key", "n_shingles", "node", "check", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([nulls, nulls, nulls, nulls, nulls, pa.nulls(SKETCH_BLOCKS, pa.binary()), pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["doc_id", "text_key", "n_shingles", "node", "check", "sign", "block", "counts"])
 
     return run
 
@@ -308,13 +332,28 @@ def suffix_apart(x: np.ndarray, y: np.ndarray, most: int, depth: int = 2) -> int
 
 
 def _sets(n: int):
-    """(node, check, items, odd): the sorted set of each text, as bytes, and its parities."""
+    """(vertex, items): the sorted set of each text, as bytes, if it is the one that the row names by node and check."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in chunks(batches):
+        for rows, texts in chunks(batches):
             sets = shingle_sets(texts, n)
-            digests = [set_digest(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([parities(s) for s in sets], pa.binary())], ["node", "check", "items", "odd"])
+            named = zip(columns(rows, "node").to_pylist(), columns(rows, "check").to_pylist(), strict=True)
+            own = [k for k, (s, d) in enumerate(zip(sets, named, strict=True)) if set_digest(s) == d]
+            yield pa.RecordBatch.from_arrays([columns(rows, "vertex").take(pa.array(own, pa.int64())), pa.array([sets[k].tobytes() for k in own], pa.binary())], ["vertex", "items"])
+
+    return run
+
+
+def _alike(percent: int):
+    """The pairs (u, v, m, n, a, b), with sizes and signatures, that may link by these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = columns(batch, "m").to_numpy() + columns(batch, "n").to_numpy()
+            most = both - 2 * (-(-percent * both // (100 + percent)))
+            signs = zip(columns(batch, "a").to_pylist(), columns(batch, "b").to_pylist(), strict=True)
+            at = pa.array([k for k, (x, y) in enumerate(signs) if signatures_apart(x, y) <= most[k]], pa.int64())
+            yield pa.RecordBatch.from_arrays([columns(batch, "u").take(at), columns(batch, "v").take(at)], ["u", "v"])
 
     return run
 
@@ -352,37 +391,54 @@ class _Join:
         self.spark = bounded(docs.sparkSession)
         self.n, self.percent, self.block = n, percent, block
         self.texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        seen = cut(self.texts.withColumn("text_key", F.xxhash64("text")).mapInArrow(_profile("doc_id", "text", n), "doc_id long, text_key long, n_shingles long, node long, check long, block int, counts binary"), "profile")
-        self.profile = seen.filter("block IS NULL").select("doc_id", "text_key", "n_shingles", "node", "check")
+        seen = cut(self.texts.withColumn("text_key", F.xxhash64("text")).mapInArrow(_profile("doc_id", "text", n), "doc_id long, text_key long, n_shingles long, node long, check long, sign binary, block int, counts binary"), "profile")
+        self.profile = seen.filter("block IS NULL").select("doc_id", "text_key", "n_shingles", "node", "check", "sign")
         sketch = self.spark.sparkContext.broadcast(sketch_of(seen.filter("block IS NOT NULL")))
         # one row for each distinct set, with the row that gives its text
-        at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-        self.kinds = self.profile.filter("n_shingles > 0").groupBy("node", "check", "n_shingles").agg(F.min(at).alias("at"))
+        self.kinds = self._kinds(self.profile, "doc_id", "text_key")
         postings = self.texts.select("text").mapInArrow(_postings(sketch, "text", n, percent), "h long, node long, size int, place int")
         found = postings.repartition("h").sortWithinPartitions("h", "size", "node").mapInArrow(_candidates(percent, pairwise, star), "u long, v long, h long, size int, place int")
         found = cut(found, "candidates")
         self.lists = found.filter("v IS NULL").select("h", F.col("u").alias("node"), "size", "place")
         self.pairs = cut(found.filter("v IS NOT NULL").select("u", "v").distinct(), "pairs")
 
+    @staticmethod
+    def _kinds(profile: DataFrame, *names: str) -> DataFrame:
+        at = F.struct(F.col("doc_id").isNull().alias("no_id"), *names)
+        return profile.filter("n_shingles > 0").groupBy("node", "check", "n_shingles").agg(F.min(at).alias("at"))
+
     def members(self) -> DataFrame:
-        """(vertex, node, check, n_shingles, rep, items, odd) of the classes that have a pair or are in a longer list. Should two
-        sets share 64 bits of their digests, both go under these in the lists, and are told apart here."""
+        """(vertex, node, check, n_shingles, rep, sign, _id, _text) of the classes that have a pair or are in a longer list.
+        Should two sets share 64 bits of their digests, both go under these in the lists, and are told apart here."""
         wanted = self.pairs.select(F.col("u").alias("node")).union(self.pairs.select("v")).union(self.lists.select("node")).distinct()
-        own = self.kinds.join(wanted, "node").select("node", "check", "n_shingles", F.col("at.doc_id").alias("rep"), F.coalesce("at.doc_id", F.lit(NO_ID)).alias("_id"), F.col("at.text_key").alias("_text"))
+        kinds = self._kinds(self.profile.join(wanted, "node", "left_semi"), "doc_id", "text_key", "sign")
+        own = kinds.select("node", "check", "n_shingles", F.col("at.doc_id").alias("rep"), F.col("at.sign").alias("sign"), F.coalesce("at.doc_id", F.lit(NO_ID)).alias("_id"), F.col("at.text_key").alias("_text"))
         nth = F.row_number().over(Window.partitionBy("node").orderBy("check", "n_shingles"))
-        own = cut(own.withColumn("vertex", F.when(nth == 1, F.col("node")).otherwise(F.xxhash64("node", "check", "n_shingles"))), "classes")
-        keyed = self.texts.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("_text"), "text")
-        sets = keyed.join(own.select("_id", "_text").distinct(), ["_id", "_text"], "left_semi").select("text").mapInArrow(_sets(self.n), "node long, check long, items binary, odd binary")
-        return cut(own.drop("_id", "_text").join(sets.dropDuplicates(["node", "check"]), ["node", "check"]), "sets")
-
-    def verified(self, pairs: DataFrame, members: DataFrame, few: bool = False) -> DataFrame:
-        """(u, v, common) by vertices: the pairs whose sets link, each looked at once. ``few``: pairs of few of the members."""
-        if few:
-            members = members.join(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "node", "left_semi")
-        x = members.select(F.col("node").alias("u"), F.col("vertex").alias("x"), F.col("items").alias("a"))
-        y = members.select(F.col("node").alias("v"), F.col("vertex").alias("y"), F.col("items").alias("b"))
-        both = pairs.join(x.hint("merge"), "u").join(y.hint("merge"), "v").select(F.col("x").alias("u"), F.col("y").alias("v"), "a", "b")
-        return both.mapInArrow(_verify(self.percent), "u long, v long, common long")
+        return cut(own.withColumn("vertex", F.when(nth == 1, F.col("node")).otherwise(F.xxhash64("node", "check", "n_shingles"))), "classes")
+
+    def sets(self, pairs: DataFrame, members: DataFrame) -> DataFrame:
+        """(vertex, items) of the members in ``pairs``, by their texts. A bitmap of a fixed size (2 MB) over hashes of their ids
+        keeps nearly all other texts from being sent."""
+        wanted = pairs.select(F.col("u").alias("vertex")).union(pairs.select("v")).distinct()
+        own = cut(members.join(wanted, "vertex", "left_semi").select("_id", "_text", "node", "check", "vertex"), "wanted")
+        at = F.xxhash64("_id").bitwiseAND((1 << WANTED_BITS) - 1)
+        row, bit = F.shiftright(at, 15).alias("row"), at.bitwiseAND((1 << 15) - 1)
+        bits = own.select(row, bit.alias("bit")).groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits"))
+        texts = self.texts.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "text").withColumns({"row": row, "bit": bit.cast("int")})
+        byte = F.conv(F.hex(F.expr("substring(bits, shiftright(bit, 3) + 1, 1)")), 16, 10).cast("int")
+        texts = texts.join(F.broadcast(bits), "row").filter(F.call_function("getbit", byte, F.col("bit").bitwiseAND(7)) == 1)
+        texts = texts.select("_id", F.xxhash64("text").alias("_text"), "text").join(own, ["_id", "_text"]).dropDuplicates(["_id", "_text", "vertex"])
+        return cut(texts.select("node", "check", "vertex", "text").mapInArrow(_sets(self.n), "vertex long, items binary"), "sets")
+
+    def verified(self, pairs: DataFrame, members: DataFrame) -> DataFrame:
+        """(u, v, common) by vertices: the pairs whose sets link, each looked at once."""
+        x = members.select(F.col("node").alias("u"), F.col("vertex").alias("x"), F.col("n_shingles").alias("m"), F.col("sign").alias("a"))
+        y = members.select(F.col("node").alias("v"), F.col("vertex").alias("y"), F.col("n_shingles").alias("n"), F.col("sign").alias("b"))
+        both = pairs.join(x.hint("merge"), "u").join(y.hint("merge"), "v").select(F.col("x").alias("u"), F.col("y").alias("v"), "m", "n", "a", "b")
+        alike = cut(both.mapInArrow(_alike(self.percent), "u long, v long"), "alike")
+        sets = self.sets(alike, members)
+        x, y = (sets.select(F.col("vertex").alias(k), F.col("items").alias(name)).hint("merge") for k, name in (("u", "a"), ("v", "b")))
+        return alike.join(x, "u").join(y, "v").select("u", "v", "a", "b").mapInArrow(_verify(self.percent), "u long, v long, common long")
 
     def parted(self, component: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """The longer lists with the component of each class (node, component; without any, each is its own), and of each
@@ -407,7 +463,7 @@ class _Join:
         seen = self.pairs if seen is None else self.pairs.union(seen)
         rows, many = self.parted(component)
         many = many.select("h", F.col("top.component").alias("most"), F.ceil((F.col("n") - F.col("top.n")) / self.block).cast("int").alias("blocks"))
-        odd = members.filter(F.col("vertex") == F.col("node")).select("node", "odd")
+        odd = members.filter(F.col("vertex") == F.col("node")).select("node", F.substring("sign", 1, PARITY // 8).alias("odd"))
         rows = rows.join(many, "h").join(odd, "node")
         left = rows.filter("component <> most").select("h", F.pmod(F.hash("node"), "blocks").alias("block"), F.lit(True).alias("left"), "node", "size", "place", "component", "odd")
         right = rows.select("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("left"), "node", "size", "place", "component", "odd")
@@ -432,14 +488,14 @@ def _components(docs: DataFrame, id_col: str, text_col: str, n: int = 5, percent
     labels = cut(connected_components(links, "u", "v"), "labels")
     # lists hold digests, labels vertices: they differ only where two sets share 64 bits, and then nothing is left out
     near = cut(j.nearby(labels), "near")
-    close = cut(j.verified(near, members, few=True), "close")
+    close = cut(j.verified(near, members), "close")
     labels = cut(connected_components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(close.select("u", "v")), "u", "v"), "labels")
     more = cut(j.across(members, labels, near), "across")
-    again = cut(j.verified(more, members, few=True), "further")
+    again = cut(j.verified(more, members), "further")
     own = lambda k: labels.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
     bridges = again.join(own("u"), "u", "left").join(own("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
     joined = connected_components(bridges, "u", "v").select(F.col("node").alias("component"), F.col("component").alias("whole"))
-    linked = members.drop("items", "odd").join(labels.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
+    linked = members.drop("sign", "_id", "_text").join(labels.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
     linked = linked.join(joined, "component", "left").withColumn("component", F.coalesce("whole", "component"))
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))
     linked = linked.join(least, "component").select("node", "check", "n_shingles", "least")

@@ -142,3 +142,34 @@ def test_the_rest_of_a_long_list_stays_with_it(after):
     for _ in range(20):
         reach = reach.union(*(near[k] for k in reach))
     assert reach == set(range(17 + after)) - {16}
+
+
+def test_signatures_bound_the_difference_and_tell_sets_apart():
+    rng = np.random.default_rng(9)
+    told = 0
+    for _ in range(100):
+        size = int(rng.integers(50, 3_000))
+        x, y = (np.unique(rng.integers(0, 1 << 40, k).astype(np.uint64)) for k in (size, size * 7 // 8))
+        z = np.unique(np.concatenate([x[: -len(x) // 9], y[: len(x) // 20]]))
+        for a, b in ((x, y), (x, z), (y, x), (x, x)):
+            low, true = nj.signatures_apart(nj.signature(a), nj.signature(b)), len(set(a.tolist()) ^ set(b.tolist()))
+            assert low <= true and (low - true) % 2 == 0
+        most = (len(x) + len(y)) // 7  # 75 % of a union
+        told += nj.signatures_apart(nj.signature(x), nj.signature(y)) > most
+    assert told > 95
+
+
+def test_only_sets_that_may_link_are_built(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"v{rng.randrange(5_000)}" for _ in range(900)) for _ in range(40)]
+    texts += [texts[0] + " x y z", "one two three"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    j = nj._Join(df, "doc_id", "text", 5, 75, 4, 256, 2_048)
+    node = {r.doc_id: r.node for r in j.profile.collect()}
+    j.pairs = spark.createDataFrame([tuple(sorted((node[a], node[b]))) for a in range(42) for b in range(a)], "u long, v long")
+    members = j.members()
+    sets = []
+    build = j.sets
+    j.sets = lambda pairs, own: sets.append(build(pairs, own)) or sets[-1]
+    assert [(r.u, r.v) for r in j.verified(j.pairs, members).collect()] == [tuple(sorted((node[0], node[40])))]
+    assert members.count() == 42 and sets[0].count() == 2
