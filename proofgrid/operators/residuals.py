@@ -62,7 +62,7 @@ def centred(rows: DataFrame, vector: str, id_col: str, copy: str | None = None)
     return shared_table(out.withColumn("_n", norm).filter("_n > 1e-9").select("id", "copy", F.transform("v", lambda x: x / F.col("_n")).alias("u")))
 
 
-def _keys(width: int, bits: int, tables: int, extra: int, seed: int):
+def _keys(width: int, bits: int, tables: int, extra: int, seed: int, whole_rows: bool = True):
     planes = np.random.default_rng(seed).normal(size=(width, tables * (bits + extra)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,6 +73,9 @@ def _keys(width: int, bits: int, tables: int, extra: int, seed: int):
                 signs = (_vectors(part.column(2)) @ planes > 0).reshape(part.num_rows, tables, bits + extra)
                 whole = (signs * weights).sum(2)
                 for t in range(tables):
+                    if not whole_rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, t, np.int32)), pa.array(whole[:, t] & ((1 << bits) - 1))], ["tab", "key"])
+                        continue
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, t, np.int32)), pa.array(whole[:, t] & ((1 << bits) - 1)), pa.array(whole[:, t] >> bits), *part.columns], ["tab", "key", "rest", "id", "copy", "u"])
 
     return run
@@ -127,15 +130,19 @@ def links(units: DataFrame, threshold: float, recall: float = 0.95, most: int =
     extra = 16
     kind = units.schema["id"].dataType
     fields = f"tab int, key long, rest long, id {kind.simpleString()}, copy {units.schema['copy'].dataType.simpleString()}, u array<double>"
-    dealt = shared_table(units.select("id", "copy", "u").mapInArrow(_keys(first.w if first else 1, bits, tables, extra, seed), fields))
-    size = dealt.groupBy("tab", "key").agg(F.count("*").alias("n")).filter(F.col("n") > most)
+    width = first.w if first else 1
+    rows_of = units.select("id", "copy", "u")
+    # keys are made twice, so that no table has a vector for each of its keys
+    dealt = rows_of.mapInArrow(_keys(width, bits, tables, extra, seed), fields)
+    size = rows_of.mapInArrow(_keys(width, bits, tables, extra, seed, False), "tab int, key long").groupBy("tab", "key").agg(F.count("*").alias("n")).filter(F.col("n") > most)
     # the further signs that a large bucket is split by: as many as bring it to ``most`` rows
     size = size.withColumn("more", F.least(F.lit(extra), F.ceil(F.log2(F.col("n") / most)).cast("int")))
     split = dealt.join(F.broadcast(size.select("tab", "key", "more")), ["tab", "key"], "left")  # a bucket is a share of all: rows / most at most
     part = F.col("rest").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.coalesce("more", F.lit(0))) - 1)
     bucket = F.concat_ws(":", F.col("tab").cast("string"), F.col("key").cast("string"), part.cast("string")).alias("bucket")
     tagged = split.select(bucket, "id", "copy", "u").repartition("bucket").sortWithinPartitions("bucket", "id")
-    return tagged.mapInArrow(_spanning(threshold, to_arrow_type(kind)), f"i {kind.simpleString()}, j {kind.simpleString()}")
+    # a table, as components read their edges more than once
+    return shared_table(tagged.mapInArrow(_spanning(threshold, to_arrow_type(kind)), f"i {kind.simpleString()}, j {kind.simpleString()}"))
 
 
 def _dot(a, b):

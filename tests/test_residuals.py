@@ -63,3 +63,16 @@ def test_plans_keep_their_recall():
 def test_no_rows(spark):
     found, members = rs.groups(rs.centred(spark.createDataFrame([], SCHEMA), "v", "id"), 0.5)
     assert found.count() == 0 and members.count() == 0
+
+
+def test_vectors_are_not_written_for_each_key_and_links_are_made_once(spark, monkeypatch):
+    written = []
+    table = rs.shared_table
+    monkeypatch.setattr(rs, "shared_table", lambda df: written.append(df.columns) or table(df))
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=8)
+    rows = [(i, [float(x) for x in (base if i < 6 else 0) + 0.1 * rng.normal(size=8)]) for i in range(12)]
+    units = rs.centred(spark.createDataFrame(rows, "id long, v array<double>"), "v", "id")
+    out = rs.links(units, 0.6)
+    assert written == [["id", "copy", "u"], ["i", "j"]] and out.inputFiles()
+    assert {r.i for r in out.collect()} | {r.j for r in out.collect()} >= set(range(6))
