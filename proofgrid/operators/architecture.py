@@ -24,15 +24,16 @@ def wired(ops: DataFrame, inputs: DataFrame, shapes: DataFrame) -> DataFrame:
     latest definition before the operator, so names may be reused; definitions and uses of a name meet in one ordered
     pass over that name alone.
     """
-    uses = ops.select("model", "k", F.posexplode("inputs").alias("place", "name"))
-    made = ops.select("model", F.col("k").cast("long").alias("k"), F.posexplode("outputs").alias("j", "name"))
-    defined = made.select("model", "name", "k", F.struct("j", F.concat(F.lit("t"), F.col("k").cast("string"), F.lit("."), F.col("j").cast("string")).alias("ref")).alias("d"))
-    given = inputs.select("model", "name", F.lit(-1).cast("long").alias("k"), F.struct(F.col("i").cast("int").alias("j"), F.concat(F.lit("in"), F.col("i").cast("string")).alias("ref")).alias("d"))
     kind = "struct<j:int,ref:string>"
-    last = defined.unionByName(given).groupBy("model", "name", "k").agg(F.max("d").cast(kind).alias("d"))  # the last of equal names of one operator
-    rows = last.select("model", "name", "k", "d", F.lit(1).alias("late"), F.lit(None).cast("int").alias("place")).unionByName(uses.select("model", "name", F.col("k").cast("long").alias("k"), F.lit(None).cast(kind).alias("d"), F.lit(0).alias("late"), "place"))
-    before = Window.partitionBy("model", "name").orderBy("k", "late").rowsBetween(Window.unboundedPreceding, -1)
-    found = rows.withColumn("known", F.last("d", ignorenulls=True).over(before)).filter("late = 0")
+    k = F.col("k").cast("long")
+    use = lambda x, i: F.struct(x.alias("name"), F.lit(None).cast(kind).alias("d"), F.lit(0).alias("late"), i.cast("int").alias("place"))
+    made = lambda x, j: F.struct(x.alias("name"), F.struct(j.cast("int").alias("j"), F.concat(F.lit("t"), k.cast("string"), F.lit("."), j.cast("string")).alias("ref")).alias("d"), F.lit(1).alias("late"), F.lit(None).cast("int").alias("place"))
+    named = lambda c, f: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), f)
+    rows = ops.select("model", "k", F.explode(F.concat(named("inputs", use), named("outputs", made))).alias("e")).select("model", "e.name", k.alias("k"), "e.d", "e.late", "e.place")
+    given = inputs.select("model", "name", F.lit(-1).cast("long").alias("k"), F.struct(F.col("i").cast("int").alias("j"), F.concat(F.lit("in"), F.col("i").cast("string")).alias("ref")).cast(kind).alias("d"), F.lit(1).alias("late"), F.lit(None).cast("int").alias("place"))
+    # of equal names of one operator the last counts
+    before = Window.partitionBy("model", "name").orderBy("k", "late", "d").rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.unionByName(given).withColumn("known", F.last("d", ignorenulls=True).over(before)).filter("late = 0")
     own = shapes.select("model", "name", F.concat(F.lit("p"), F.col("shape")).alias("shape"))
     return found.join(own, ["model", "name"], "left").select("model", "k", "place", F.coalesce("shape", "known.ref", F.lit("?")).alias("ref"))
 
@@ -40,9 +41,9 @@ def wired(ops: DataFrame, inputs: DataFrame, shapes: DataFrame) -> DataFrame:
 def architecture_digests(ops: DataFrame, inputs: DataFrame, outputs: DataFrame, shapes: DataFrame) -> DataFrame:
     """(model, n_ops, digest): the shapes of inputs and outputs, and each operator with its attributes and operands."""
     refs = wired(ops, inputs, shapes).groupBy("model", "k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "ref"))), lambda x: x["ref"]), " ").alias("refs"))
-    node = F.sha2(F.concat_ws("\n", "op", F.coalesce("attrs", F.lit("")), F.coalesce("refs", F.lit(""))), 256)
+    node = F.unhex(F.sha2(F.concat_ws("\n", "op", F.coalesce("attrs", F.lit("")), F.coalesce("refs", F.lit(""))), 256))
     nodes = ops.select("model", F.col("k").cast("long").alias("k"), "op", "attrs").join(refs, ["model", "k"], "left").select("model", "k", node.alias("node"))
-    listed = nodes.groupBy("model").agg(F.count("*").alias("n_ops"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "node"))), lambda x: x["node"]), "").alias("nodes"))
+    listed = nodes.groupBy("model").agg(F.count("*").alias("n_ops"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "node"))), lambda x: F.lower(F.hex(x["node"]))), "").alias("nodes"))
     ends = lambda t, name: t.groupBy("model").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "shape"))), lambda x: x["shape"]), ",").alias(name))
     out = listed.join(ends(inputs, "ins"), "model", "left").join(ends(outputs, "outs"), "model", "left")
     return out.select("model", "n_ops", F.sha2(F.concat_ws("|", F.coalesce("ins", F.lit("")), F.coalesce("outs", F.lit("")), "nodes"), 256).alias("digest"))

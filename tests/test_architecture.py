@@ -81,3 +81,11 @@ def test_parameter_digests_do_not_depend_on_partitions(spark, chunk):
     assert make(rows[::-1], 7) == base and (base.n_tensors, base.n_values) == (4, 69)
     moved = [(m, t, (i + 1) % 23, v) for m, t, i, v in rows]
     assert make(moved, 2).digest != base.digest and make(rows[:-1], 2).digest != base.digest
+
+
+def test_names_meet_in_one_shuffle_and_the_last_of_equal_names_counts(spark):
+    ops = spark.createDataFrame([("m", 1, "a", "", ["x"], ["y", "y"]), ("m", 2, "b", "", ["y", "w", "z"], ["z"]), ("m", 3, "c", "", ["z"], None)], "model string, k int, op string, attrs string, inputs array<string>, outputs array<string>")
+    inputs = spark.createDataFrame([("m", 0, "x", "3")], "model string, i int, name string, shape string")
+    out = ar.wired(ops, inputs, spark.createDataFrame([("m", "w", "8")], "model string, name string, shape string"))
+    assert sorted((r.k, r.place, r.ref) for r in out.collect()) == [(1, 0, "in0"), (2, 0, "t1.1"), (2, 1, "p8"), (2, 2, "?"), (3, 0, "t2.0")]
+    assert "Aggregate" not in out._jdf.queryExecution().executedPlan().toString()
