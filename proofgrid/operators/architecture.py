@@ -67,8 +67,27 @@ def parameter_digests(values: DataFrame, tensors: DataFrame, text: Column, chunk
     return whole.select("model", "n_tensors", "n_values", F.sha2(F.array_join(F.transform("lines", lambda x: x["line"]), "\n\n"), 256).alias("digest"))
 
 
+#: Up to so many comparisons plain loops take less time than arrays.
+SHORT = 256
+
+
+def _longest_of_short(a: list, b: list) -> tuple[int, int, int]:
+    best, run = (0, 0, 0), [0] * (len(b) + 1)
+    for i, x in enumerate(a):
+        now = [0] * (len(b) + 1)
+        for j, y in enumerate(b):
+            if x == y:
+                now[j + 1] = n = run[j] + 1
+                if n > best[2]:
+                    best = i + 1 - n, j + 1 - n, n
+        run = now
+    return best
+
+
 def _longest(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     """(start in a, start in b, length) of the longest common run; of equals the first in a, then in b."""
+    if len(a) * len(b) <= SHORT:
+        return _longest_of_short(a.tolist(), b.tolist())
     best, run = (0, 0, 0), np.zeros(len(b) + 1, np.int64)
     for i, x in enumerate(a.tolist()):
         now = np.zeros_like(run)

@@ -1,6 +1,7 @@
 import difflib
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -89,3 +90,11 @@ def test_names_meet_in_one_shuffle_and_the_last_of_equal_names_counts(spark):
     out = ar.wired(ops, inputs, spark.createDataFrame([("m", "w", "8")], "model string, name string, shape string"))
     assert sorted((r.k, r.place, r.ref) for r in out.collect()) == [(1, 0, "in0"), (2, 0, "t1.1"), (2, 1, "p8"), (2, 2, "?"), (3, 0, "t2.0")]
     assert "Aggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_short_lists_give_the_same_steps_as_long_ones(monkeypatch):
+    rng = np.random.default_rng(4)
+    lists = [[f"o{x}" for x in rng.integers(0, 3, rng.integers(0, 12))] for _ in range(200)]
+    short = [ar.opcodes(a, b) for a, b in zip(lists, lists[1:])]
+    monkeypatch.setattr(ar, "SHORT", 0)
+    assert short == [ar.opcodes(a, b) for a, b in zip(lists, lists[1:])]
