@@ -9,7 +9,7 @@ from proofgrid.functions import columns as c
 from proofgrid.functions import special
 from proofgrid.operators import ivf
 from proofgrid.operators import statistics as st
-from proofgrid.operators.components import connected_components
+from proofgrid.operators.components import connected_components, shared_table
 from proofgrid.operators.pairs import digest_links, hamming_pairs, nearest
 from proofgrid.operators.risk import BASELINE, decide
 from proofgrid.plans import bindings as b
@@ -128,8 +128,9 @@ def ood_conformal(spark, d):
     """Distances to the fifth nearest reference vector, conformal p-values against held-out reference ones, and q."""
     v = b.vectors(spark, d)
     ref = v.filter("vec_id % 4 = 0")
-    score = lambda q: nearest(q, ref, "vec_id", "embedding", 5).filter("rank = 5").select(F.col("query").alias("sample_id"), F.col("distance").alias("score"))
-    out = st.conformal_pvalues(score(v.filter("vec_id % 4 = 1")), score(v.filter("vec_id % 4 > 1")), "score")
+    # written once: calibration and test scores are each read twice, and all pairs are behind them
+    scores = shared_table(nearest(v.filter("vec_id % 4 > 0"), ref, "vec_id", "embedding", 5).filter("rank = 5").select(F.col("query").alias("sample_id"), F.col("distance").alias("score")))
+    out = st.conformal_pvalues(scores.filter("sample_id % 4 = 1"), scores.filter("sample_id % 4 > 1"), "score")
     return st.bh_qvalues_of_rows(out, "p").select("sample_id", F.round("score", 6).alias("score"), F.round("p", 8).alias("p"), F.round("q", 8).alias("q"))
 
 

@@ -1,6 +1,8 @@
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +10,7 @@ from proofgrid.functions import vision
 from proofgrid.operators import fixtures, risk, triggers
 from proofgrid.operators.activations import split_classes
 from proofgrid.operators.components import connected_components
-from proofgrid.operators.pairs import hamming_pairs, nearest
+from proofgrid.operators.pairs import _solve, hamming_pairs, nearest
 from proofgrid.plans import engine
 
 
@@ -60,6 +62,55 @@ def test_nearest_in_blocks_matches_brute_force(spark):
         assert len(got) == 80
 
 
+def odd_vectors(n):
+    """Copies, rows far from the others, a common offset, and rows without a distance."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n, 32)) + 1e5
+    x[n // 8 : n // 4] = x[3]
+    x[7], x[8], x[9] = 1e12, -1e9, 1e200
+    x[11, 2], x[12, 0], x[13, 31] = np.nan, np.inf, -np.inf
+    return x
+
+
+def brute(ids, x, base_ids, base, k):
+    out = []
+    with np.errstate(all="ignore"):
+        for q, row in zip(ids, x, strict=True):
+            d = np.sqrt(((base - row) ** 2).sum(1))
+            d[(base_ids == q) | ~np.isfinite(d)] = np.inf
+            out += [(int(q), int(base_ids[j]), float(d[j])) for j in np.lexsort((base_ids, d))[:k] if d[j] < np.inf]
+    return out
+
+
+def test_nearest_by_products_is_the_measured_order_at_a_fraction_of_its_time(spark):
+    x = odd_vectors(6_000)
+    ids = np.random.default_rng(6).permutation(6_000)
+    base, asked = np.arange(0, 6_000, 2), np.arange(1, 6_000, 4)
+    at = np.concatenate([base, base[:30], asked])
+    kinds = [pa.array(np.zeros(len(at), np.int32)), pa.array(np.arange(len(at)) < len(base)), pa.array(ids[at]), pa.array(list(x[at]), pa.list_(pa.float64()))]
+    batch = pa.RecordBatch.from_arrays(kinds, ["block", "is_base", "id", "v"])
+
+    def timed(f):
+        began = time.perf_counter()
+        return f(), time.perf_counter() - began
+
+    want, slow = timed(lambda: brute(ids[at[len(base) :]], x[at[len(base) :]], ids[base], x[base], 5))
+    got, fast = timed(lambda: [tuple(r.values()) for b in _solve(5, "euclidean")(iter([batch])) for r in b.to_pylist()])
+    assert got == want
+    assert fast < slow / 2
+
+
+def test_nearest_in_blocks_and_groups_with_odd_vectors(spark):
+    x = odd_vectors(160)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(900, None), (901, [None] + [1e5] * 31)], "id long, v array<double>")
+    got = nearest(df.filter("id % 3 > 0 or id >= 900"), df.filter("id % 2 = 0 or id >= 900"), "id", "v", 5, base_block=17).collect()
+    asked, base = np.array([k for k in range(160) if k % 3]), np.arange(0, 160, 2)
+    want = brute(asked, x[asked], base, x[base], 5)
+    assert sorted((r.query, r["rank"], r.neighbour, r.distance) for r in got) == sorted((q, 1 + sum(w[0] == q for w in want[:i]), n, d) for i, (q, n, d) in enumerate(want))
+    with pytest.raises(Exception, match="differ in length"):
+        nearest(df, df.union(spark.sql("SELECT 999L, array(1d)")), "id", "v", 5).collect()
+
+
 def test_contributor_risk_on_a_planted_contributor(spark):
     samples = [(k, f"c{k % 5}", "b") for k in range(500)] + [(1000 + k, "small", None) for k in range(4)]
     flags = [(k, "duplicate_flood", 0.95, "HIGH") for k in range(500) if k % 5 == 2 and k % 3] + [(k, "ood_injection", 0.9, "LOW") for k in range(0, 500, 41)] + [(9999, "x", 1.0, "HIGH"), (3, "x", 0.1, "HIGH")]
