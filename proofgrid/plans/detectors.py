@@ -23,6 +23,7 @@ from proofgrid.operators import ledger as lg
 from proofgrid.operators import residuals, shrinkage, triggers
 from proofgrid.operators import statistics as st
 from proofgrid.operators.activations import split_classes
+from proofgrid.operators.components import shared_table
 from proofgrid.operators.pairs import nearest
 from proofgrid.plans import data, drift, extras, model
 from proofgrid.plans.engine import Check, Context, Frames, Mode
@@ -84,7 +85,8 @@ def ood(c: Context) -> Frames:
     """Distances to the nearest neighbours; with a reference also the shrunk Mahalanobis distance, which corroborates."""
     e, reference, p = c.roles["embeddings"], c.roles.get("reference"), c.params.get("data.ood", {})
     alpha = p.get("alpha", 0.01)
-    mean_of_five = lambda q, base: nearest(q, base, "sample_id", "embedding", 5).groupBy(F.col("query").alias("sample_id")).agg(F.avg("distance").alias("score"))
+    # written once: scores are read several times, and all pairs are behind them
+    mean_of_five = lambda q, base: shared_table(nearest(q, base, "sample_id", "embedding", 5).groupBy(F.col("query").alias("sample_id")).agg(F.avg("distance").alias("score")))
     if c.mode == "reference":
         if (n := reference.count()) < p.get("min_reference", 100):
             return Frames(abstained=f"the reference has {n} samples")

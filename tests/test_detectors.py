@@ -3,7 +3,8 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from proofgrid.plans import engine
+from proofgrid.operators import pairs
+from proofgrid.plans import data, engine
 from proofgrid.plans.detectors import CHECKS, present
 
 
@@ -61,6 +62,28 @@ def test_samples_far_from_a_reference(spark):
     assert sorted(r.sample_id for r in out.flags.filter("confidence > 0.9").collect()) == [0, 1, 2]
 
 
+def test_scores_over_all_pairs_are_not_made_again_by_each_reader(spark, sf_dir, monkeypatch):
+    made, solve = spark.sparkContext.accumulator(0), pairs._solve
+
+    def counted(k, metric):
+        def run(batches):
+            for out in solve(k, metric)(batches):
+                made.add(out.num_rows)
+                yield out
+
+        return run
+
+    monkeypatch.setattr(pairs, "_solve", counted)
+    asked = data.b.vectors(spark, sf_dir).filter("vec_id % 4 > 0").count()
+    assert data.ood_conformal(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id % 4 > 1").count()
+    assert made.value == 5 * asked
+    nrg = np.random.default_rng(3)
+    e = spark.createDataFrame([(k, "c1", "a", v.tolist()) for k, v in enumerate(nrg.normal(size=(60, 6)))], "sample_id long, contributor string, label string, embedding array<double>")
+    (check,) = (k for k in CHECKS if k.id == "data.ood")
+    check.run(engine.Context(spark, {"embeddings": e}, present({"embeddings": e}), mode="self")).flags.count()
+    assert made.value == 5 * asked + 5 * 60
+
+
 def test_errors_while_rows_are_computed_stay_with_their_check(spark):
     rows = spark.range(3).withColumnRenamed("id", "sample_id")
     late = lambda c: engine.Frames(rows.withColumn("x", F.raise_error(F.lit("late"))))
