@@ -34,10 +34,11 @@ def ledger_status(spark, d):
     return rows.groupBy("ledger", F.when(~F.col("linked"), "FAILED").when(~F.col("trusted"), "UNTRUSTED").otherwise("VALID").alias("status")).agg(F.count("*").alias("n"))
 
 
+#: Every tree goes up to level 62, above the root of any number of rows; a single node moves up unchanged.
 @query("""WITH RECURSIVE l AS (SELECT event_type AS ledger, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS pos, event_id FROM events),
 t(ledger, lvl, pos, h) AS (SELECT ledger, 0, pos, unhex(sha256(unhex('00') || encode('e' || event_id))) FROM l
- UNION ALL SELECT a.ledger, a.lvl + 1, a.pos // 2, CASE WHEN b.h IS NULL THEN a.h ELSE unhex(sha256(unhex('01') || a.h || b.h)) END FROM (SELECT * FROM t WHERE pos % 2 = 0 AND lvl < 20) a LEFT JOIN t b ON a.ledger = b.ledger AND a.lvl = b.lvl AND b.pos = a.pos + 1)
-SELECT t.ledger, n.size, 'sha256:' || lower(hex(h)) AS root FROM t JOIN (SELECT ledger, count(*) AS size FROM l GROUP BY 1) n ON n.ledger = t.ledger WHERE lvl = 20""")
+ UNION ALL SELECT a.ledger, a.lvl + 1, a.pos // 2, CASE WHEN b.h IS NULL THEN a.h ELSE unhex(sha256(unhex('01') || a.h || b.h)) END FROM (SELECT * FROM t WHERE pos % 2 = 0 AND lvl < 62) a LEFT JOIN t b ON a.ledger = b.ledger AND a.lvl = b.lvl AND b.pos = a.pos + 1)
+SELECT t.ledger, n.size, 'sha256:' || lower(hex(h)) AS root FROM t JOIN (SELECT ledger, count(*) AS size FROM l GROUP BY 1) n ON n.ledger = t.ledger WHERE lvl = 62""")
 def merkle_root(spark, d):
     e = b.read(spark, d, "events").select(F.col("event_type").alias("ledger"), F.col("event_id").alias("seq"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("entry_hash"))
     return lg.merkle_roots(e)

@@ -133,3 +133,15 @@ def test_gaps_count_their_numbers_without_meeting_the_ledger(spark):
     out = lg.gaps(df)
     assert {tuple(r) for r in out.collect()} == want and {r[4] for r in want} == {"record_reorder", "record_deletion"}
     assert "BETWEEN" not in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and ">=" not in plan
+
+
+def test_the_sql_of_merkle_root_reaches_the_root_of_more_than_20_levels():
+    import duckdb
+
+    from proofgrid.plans import catalog
+
+    n = 2**20 + 3
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE events AS SELECT i AS event_id, CASE WHEN i < {n} THEN 'long' ELSE 'short' END AS event_type FROM range({n + 3}) t(i)")
+    root = lambda ids: "sha256:" + pv.merkle_root([b"e%d" % i for i in ids]).hex()
+    assert sorted(con.execute(catalog.oracle_sql()["merkle_root"]).fetchall()) == [("long", n, root(range(n))), ("short", 3, root(range(n, n + 3)))]
