@@ -134,3 +134,46 @@ def test_band_plans_cover_every_split():
 
 def test_empty(spark):
     assert dup.components(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_row_is_sent_a_few_times_however_many_keys_it_asks_for(spark, monkeypatch):
+    sent, meet = spark.sparkContext.accumulator(0), pj._meet
+
+    def counted(*how):
+        run = meet(*how)
+        return lambda batches: run(b for b in batches if sent.add(b.num_rows) is None)
+
+    monkeypatch.setattr(pj, "_meet", counted)
+    rng = np.random.default_rng(3)
+    h = rng.integers(-(1 << 63), 1 << 63, 12_000)
+    h[9_000:] = h[:3_000] ^ np.array([sum(1 << int(b) for b in rng.choice(63, int(k), replace=False)) for k in rng.integers(0, 12, 3_000)])
+    df = spark.createDataFrame([(i, int(x)) for i, x in enumerate(h)], "id long, h long").repartition(5)
+    got = {(r.i, r.j, r.distance) for r in pj.hamming_pairs(df, "id", "h", 8, 64).collect()}
+    want = set()
+    for i in range(len(h)):
+        d = np.bitwise_count((h[i + 1 :] ^ h[i]).view(np.uint64))
+        want |= {(i, i + 1 + int(j), int(d[j])) for j in np.flatnonzero(d <= 8)}
+    assert got == want and len(want) > 1_000
+    assert 0 < sent.value <= 6 * len(h)  # three blocks and three groups; probes would be hundreds a row
+
+
+def test_pairs_that_no_cosine_confirms_are_dropped_where_they_are_found(spark):
+    rng, d = np.random.default_rng(7), 16
+    rows = planted(6, 150, d)
+    for k in range(200):  # few bits each, so all are near by both hashes, and few are alike
+        v = rng.normal(size=d).tolist() if k % 10 else [1.0] * (d - 1) + [k / 100]
+        p, q, f, g = (sum(1 << int(b) for b in rng.choice(60, 3)) for _ in range(4))
+        rows.append((1_000 + k, p, q, f, g, v))
+        rows += [(2_000 + 10 * k + n, p, q, f, g, [x + n / 50 for x in v]) for n in range(k % 4)]  # classes of several vectors
+    odd = [[0.0] * d, [1.0] * (d - 1) + [None], [1e300] * d, [1.0] * (d - 1), [float("inf")] + [1.0] * (d - 1), [float("nan")] * d, None, []]
+    rows += [(9_000 + k, 1 << k, 0, 1 << k, 1, v) for k, v in enumerate(odd)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    kinds = dup.classes(df)
+    every = dup.near_pairs(kinds)
+    whole = {tuple(r) for r in dup.confirmed(every, dup.members(df, kinds), "embedding").drop("cosine").collect()}
+    pairs, own = dup.links(df)
+    assert {tuple(r) for r in pairs.drop("cosine").collect()} == whole and len(whole) > 200
+    first = dup.classes(df, vector="embedding")
+    spread = own.filter("centre IS NOT NULL").groupBy("i").agg(dup.F.max(dup._apart("embedding", "centre")).alias("radius"))
+    sent = dup.near_pairs(first.join(spread, "i", "left"), alike=(0.9, dup.TIGHT))
+    assert sent.count() < every.count() / 4
