@@ -1,11 +1,12 @@
 """Groups of samples that share a faint pattern: a cosine join of dense residuals, and components that keep to their template.
 
 1. ``centred``: residuals less their mean at each place (the mean comes from sums by task), as unit vectors.
-2. ``links``: signs of random projections give each vector a key in each of several tables; rows that share a key are
-   compared exactly, in blocks. A bucket gives a spanning set of its links, not all its pairs, and buckets beyond ``most``
-   rows are split by further signs. Bits and tables follow from the threshold and the number of rows so that a single
-   pair at the threshold is found with a probability of at least ``recall``; a group of m rows is joined through any of
-   its m * (m - 1) / 2 pairs. Copies (rows of one ``copy`` class) aren't compared with each other.
+2. ``links``: all pairs are compared, in matrix products. Rows are dealt into parts of about ``most``, any two parts meet in
+   one task, and a task gives a spanning set of its links, not all its pairs. Copies (rows of one ``copy`` class) aren't
+   compared with each other. The work grows with the square of the rows; a ``recall`` below 1 compares less: signs of random
+   projections then give each vector a key in each of several tables, and only rows that share a key are compared. Bits and
+   tables follow from the threshold and the number of rows so that a single pair at the threshold is found with a
+   probability of at least ``recall``. A bucket beyond ``most`` rows is dealt into parts too, and loses nothing.
 3. ``groups``: components of ``least`` rows and more, up to a share of all; members stay whose cosine with the group's mean
    is at least the root of the threshold; the mean cosine between members, less pairs of copies, must reach it too. Sums
    over vectors give it without pairs.
@@ -62,49 +63,74 @@ def centred(rows: DataFrame, vector: str, id_col: str, copy: str | None = None)
     return shared_table(out.withColumn("_n", norm).filter("_n > 1e-9").select("id", "copy", F.transform("v", lambda x: x / F.col("_n")).alias("u")))
 
 
-def _keys(width: int, bits: int, tables: int, extra: int, seed: int, whole_rows: bool = True):
-    planes = np.random.default_rng(seed).normal(size=(width, tables * (bits + extra)))
+def _keys(width: int, bits: int, tables: int, seed: int, whole_rows: bool = True):
+    planes = np.random.default_rng(seed).normal(size=(width, tables * bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = 1 << np.arange(bits + extra, dtype=np.int64)
+        weights = 1 << np.arange(bits, dtype=np.int64)
         for b in batches:
             for start in range(0, b.num_rows, 1_024):
                 part = b.slice(start, 1_024)
-                signs = (_vectors(part.column(2)) @ planes > 0).reshape(part.num_rows, tables, bits + extra)
-                whole = (signs * weights).sum(2)
+                keys = ((_vectors(part.column(2)) @ planes > 0).reshape(part.num_rows, tables, bits) * weights).sum(2)
                 for t in range(tables):
-                    if not whole_rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, t, np.int32)), pa.array(whole[:, t] & ((1 << bits) - 1))], ["tab", "key"])
-                        continue
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, t, np.int32)), pa.array(whole[:, t] & ((1 << bits) - 1)), pa.array(whole[:, t] >> bits), *part.columns], ["tab", "key", "rest", "id", "copy", "u"])
+                    own = [pa.array(np.full(part.num_rows, t, np.int32)), pa.array(keys[:, t])]
+                    yield pa.RecordBatch.from_arrays(own + part.columns, ["tab", "key", "id", "copy", "u"]) if whole_rows else pa.RecordBatch.from_arrays(own, ["tab", "key"])
 
     return run
 
 
-def _spanning(threshold: float, id_type: pa.DataType, step: int = 512):
-    """A spanning set of the links of each bucket; rows come sorted by bucket."""
-
-    def solve(ids: list, copies: np.ndarray, x: np.ndarray) -> Iterator[tuple]:
-        root = np.arange(len(ids))
-        for a in range(0, len(ids), step):
-            near = (x[a : a + step] @ x[: a + step].T >= threshold) & (copies[a : a + step, None] != copies[None, : a + step])
-            for i in range(near.shape[0]):
-                hit = np.flatnonzero(near[i, : a + i])
-                if not len(hit):
-                    continue
-                old, at = np.unique(root[hit], return_index=True)
-                for j in hit[at]:
-                    yield ids[a + i], ids[j]
-                root[np.isin(root, old)] = a + i
+def _forest(x: np.ndarray, copies: np.ndarray, first: int, threshold: float, high: int = 512, wide: int = 4_096) -> Iterator[tuple[int, int]]:
+    """Links that span what pairs connect: of all rows, or, with ``first`` rows of a part, of those with the rest."""
+    n = len(x)
+    label = np.arange(n)
+    rows = first if first < n else n
+    room = np.empty((high, wide))
+    for a in range(0, rows, high):
+        for b in range(first if first < n else a, n, wide):
+            left, right = x[a : min(a + high, rows)], x[b : b + wide]
+            product = np.matmul(left, right.T, out=room if (len(left), len(right)) == room.shape else None)
+            r, c = np.divmod(np.flatnonzero(product >= threshold), len(right))
+            r, c = r + a, c + b
+            new = (label[r] != label[c]) & (copies[r] != copies[c])
+            if not new.any():
+                continue
+            r, c = r[new], c[new]
+            _, at = np.unique(label[r] * n + label[c], return_index=True)  # one pair for two labels
+            up = {}
+
+            def top(k: int, up: dict = up) -> int:
+                while k in up:
+                    k = up[k]
+                return k
+
+            for i, j in zip(r[at].tolist(), c[at].tolist(), strict=True):
+                u, v = top(int(label[i])), top(int(label[j]))
+                if u != v:
+                    up[max(u, v)] = min(u, v)
+                    yield i, j
+            root = np.arange(n)
+            for k in up:
+                root[k] = top(k)
+            label = root[label]
+
+
+def _spanning(threshold: float, id_type: pa.DataType):
+    """A spanning set of the links of each bucket; rows (bucket, second, id, copy, u) come sorted by bucket and ``second``,
+    which marks those of the second of two parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held = None, []
+        bucket, held, vectors = None, [], []
 
         def flush() -> pa.RecordBatch:
-            ids = [i for b in held for i in b.column(1).to_pylist()]
-            copies = np.unique([str(c) for b in held for c in b.column(2).to_pylist()], return_inverse=True)[1]
-            pairs = list(solve(ids, copies, np.vstack([_vectors(b.column(3)) for b in held])))
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], id_type) for k in (0, 1)], ["i", "j"])
+            rows = pa.Table.from_batches(held).combine_chunks()
+            x = np.vstack(vectors)
+            vectors.clear()
+            second = rows["second"].to_numpy()
+            copies = rows["copy"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            # of two parts, rows of one only (its partner has none) have no pairs here
+            pairs = [] if second.all() or (rows["two"][0].as_py() and not second.any()) else list(_forest(x, copies, int((~second).sum()), threshold))
+            ids = rows["id"].combine_chunks()
+            return pa.RecordBatch.from_arrays([ids.take(pa.array([p[k] for p in pairs], pa.int64())).cast(id_type) for k in (0, 1)], ["i", "j"])
 
         for b in batches:
             keys = b.column(0).to_pylist()
@@ -113,34 +139,44 @@ def _spanning(threshold: float, id_type: pa.DataType, step: int = 512):
                 if s < e:
                     if held and keys[s] != bucket:
                         yield flush()
-                        held = []
+                        held.clear()
                     bucket = keys[s]
-                    held.append(b.slice(s, e - s))
+                    part = b.slice(s, e - s)
+                    held.append(part.select(["bucket", "two", "second", "id", "copy"]))
+                    vectors.append(_vectors(part.column(5)))
         if held:
             yield flush()
 
     return run
 
 
-def links(units: DataFrame, threshold: float, recall: float = 0.95, most: int = 4_096, seed: int = 0) -> DataFrame:
-    """(i, j): links between rows with a cosine of ``threshold`` or more, which span what the buckets connect."""
+def links(units: DataFrame, threshold: float, recall: float = 1.0, most: int | None = None, seed: int = 0) -> DataFrame:
+    """(i, j): links between rows with a cosine of ``threshold`` or more, which span what these connect; with a ``recall`` below 1,
+    what those connect that share a key. ``most`` rows make a part (32 MB of doubles, if not given)."""
     first = units.select(F.size("u").alias("w")).first()
-    rows = units.count()
-    bits, tables = plan(threshold, rows, recall)
-    extra = 16
+    rows, width = units.count(), first.w if first else 1
+    most = most or max(1_024, (1 << 22) // max(1, width))
     kind = units.schema["id"].dataType
-    fields = f"tab int, key long, rest long, id {kind.simpleString()}, copy {units.schema['copy'].dataType.simpleString()}, u array<double>"
-    width = first.w if first else 1
     rows_of = units.select("id", "copy", "u")
-    # keys are made twice, so that no table has a vector for each of its keys
-    dealt = rows_of.mapInArrow(_keys(width, bits, tables, extra, seed), fields)
-    size = rows_of.mapInArrow(_keys(width, bits, tables, extra, seed, False), "tab int, key long").groupBy("tab", "key").agg(F.count("*").alias("n")).filter(F.col("n") > most)
-    # the further signs that a large bucket is split by: as many as bring it to ``most`` rows
-    size = size.withColumn("more", F.least(F.lit(extra), F.ceil(F.log2(F.col("n") / most)).cast("int")))
-    split = dealt.join(F.broadcast(size.select("tab", "key", "more")), ["tab", "key"], "left")  # a bucket is a share of all: rows / most at most
-    part = F.col("rest").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.coalesce("more", F.lit(0))) - 1)
-    bucket = F.concat_ws(":", F.col("tab").cast("string"), F.col("key").cast("string"), part.cast("string")).alias("bucket")
-    tagged = split.select(bucket, "id", "copy", "u").repartition("bucket").sortWithinPartitions("bucket", "id")
+    bits, tables = plan(threshold, rows, recall) if recall < 1 else (0, 1)
+    if bits:
+        # keys are made twice, so that no table has a vector for each of its keys
+        dealt = rows_of.mapInArrow(_keys(width, bits, tables, seed), f"tab int, key long, id {kind.simpleString()}, copy {units.schema['copy'].dataType.simpleString()}, u array<double>")
+        size = rows_of.mapInArrow(_keys(width, bits, tables, seed, False), "tab int, key long").groupBy("tab", "key").agg(F.count("*").alias("n")).filter(F.col("n") > most)
+        size = F.broadcast(size.select("tab", "key", F.ceil(F.col("n") / most).cast("int").alias("parts")))  # a bucket is a share of all: rows / most at most
+        dealt = dealt.join(size, ["tab", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    else:
+        # two tasks or more for each core, while a part has 1,024 rows
+        parts = max(-(-rows // most), min(ceil(2 * sqrt(units.sparkSession.sparkContext.defaultParallelism)), rows // 1_024), 1)
+        dealt = rows_of.select(F.lit(0).alias("tab"), F.lit(0).cast("long").alias("key"), "*", F.lit(parts).alias("parts"))
+    own = dealt.withColumn("own", F.pmod(F.xxhash64("id", "tab"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    two = [(low < high).alias("two"), ((low < high) & (F.col("own") == high)).alias("second"), "id", "copy", "u"]
+    if bits:
+        met = own.select(F.concat_ws(":", "tab", "key", low, high).alias("bucket"), *two).repartition("bucket")
+    else:
+        met = own.select((F.expr("greatest(own, other) * (greatest(own, other) + 1) div 2").cast("int") + low).alias("bucket"), *two).repartitionById(parts * (parts + 1) // 2, "bucket")
+    tagged = met.sortWithinPartitions("bucket", "second", "id")
     # a table, as components read their edges more than once
     return shared_table(tagged.mapInArrow(_spanning(threshold, to_arrow_type(kind)), f"i {kind.simpleString()}, j {kind.simpleString()}"))
 

@@ -76,3 +76,30 @@ def test_vectors_are_not_written_for_each_key_and_links_are_made_once(spark, mon
     out = rs.links(units, 0.6)
     assert written == [["id", "copy", "u"], ["i", "j"]] and out.inputFiles()
     assert {r.i for r in out.collect()} | {r.j for r in out.collect()} >= set(range(6))
+
+
+def joined(links):
+    up = {}
+
+    def top(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for i, j in links:
+        a, b = sorted((top(i), top(j)))
+        up[b] = a
+        up.setdefault(a, a)
+    return {x: top(x) for x in up}
+
+
+def test_no_link_is_lost_however_large_a_bucket(spark):
+    """A chain: each row is alike to the next alone, so that any lost link parts it."""
+    n = 300
+    rows = [(i, i, [1.0 if k in (i, i + 1) else 0.0 for k in range(n + 1)]) for i in range(n)]
+    rows = [(i, c, [x / 2**0.5 for x in v]) for i, c, v in rows]
+    units = spark.createDataFrame(rows, "id long, copy long, u array<double>").repartition(3)
+    for most in (None, 40):
+        assert joined((r.i, r.j) for r in rs.links(units, 0.45, most=most).collect()) == {i: 0 for i in range(n)}
+    whole, parts = (joined((r.i, r.j) for r in rs.links(units, 0.45, recall=0.8, most=most).collect()) for most in (10**6, 8))
+    assert whole == parts and 0.8 * n < len(whole) <= n
